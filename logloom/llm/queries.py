@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+from logloom.llm.chat import op1_chat_formatting
 from logloom.llm.decontaminate import op3_benchmark_decontamination
 from logloom.llm.language_id import op10_language_id
+from logloom.llm.sentencepiece_bpe import op9_sentencepiece
 from logloom.llm.simhash import op8_simhash_near_dedup
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP1 = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM r),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY n) AS whole,
+    coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '') AS loss,
+    CAST(sum(6 + length(replace(replace(replace(role, chr(92), '\b'), '<', '\l'), chr(10), '\n')) + 1 + length(replace(replace(text, chr(92), '\b'), '<', '\l')) + 8) AS BIGINT) AS formatted_chars
+  FROM o GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
+
 OP3 = rf"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -26,8 +44,8 @@ FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_benchmark_decontamination, op8_simhash_near_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_chat_formatting, op3_benchmark_decontamination, op8_simhash_near_dedup, op9_sentencepiece, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": OP3}
+    return {"op1_chat_formatting": OP1, "op3_benchmark_decontamination": OP3}
