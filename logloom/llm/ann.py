@@ -135,7 +135,7 @@ def fit(vectors: DataFrame, rows: int, list_size: int = 256, max_lists: int = 20
     if dims is None:
         return None
     few = bounded_sample(vectors.filter(F.size("v") == dims["n"]), F.col("id"), max(64, min(max_sample, SAMPLE_BYTES // (8 * dims["n"]))), 5)
-    x = np.array(few.select("v").toPandas()["v"].tolist(), np.float64).reshape(-1, dims["n"])
+    x = np.array(few.select("v").toArrow().to_pandas()["v"].tolist(), np.float64).reshape(-1, dims["n"])
     x = np.unique(x, axis=0)
     return Index(CentroidGraph.build(balanced_centroids(x, min(max_lists, max(1, rows // list_size), max(1, len(x) // 8)))), dims["n"], spread, copies)
 

@@ -85,7 +85,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
 
     counts, documents = np.full((1 << bits, len(names)), alpha), np.full(len(names), 1.0)
     if names:
-        got = rows.select("t", "l").mapInArrow(count, "lang int, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+        got = rows.select("t", "l").mapInArrow(count, "lang int, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
         grams = got[got.bucket >= 0]
         counts[grams.bucket, grams.lang] += grams.n
         documents[got[got.bucket < 0].lang] += got[got.bucket < 0].n

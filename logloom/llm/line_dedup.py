@@ -103,7 +103,7 @@ def token_frequency(docs: DataFrame) -> np.ndarray:
             b = bucket[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(total[b])], ["bucket", "n"])
 
-    got = docs.select("text").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select("text").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     table = np.zeros(1 << FREQUENCY_BITS, np.uint32)
     table[got.bucket] = np.minimum(got.n, 2**32 - 1)
     return table
@@ -284,7 +284,7 @@ def similar_later_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     rest = materialize(pairs.filter("complete = 0").select("h").distinct().join(found, "h", "left_anti"))
     n = rest.count()
     for block in range(-(-n // UNRESOLVED_BLOCK)):  # lines none of whose first candidates held: all of theirs
-        few = rest.filter(F.pmod(F.xxhash64("h"), F.lit(-(-n // UNRESOLVED_BLOCK))) == block).toPandas().h.to_numpy()
+        few = rest.filter(F.pmod(F.xxhash64("h"), F.lit(-(-n // UNRESOLVED_BLOCK))) == block).toArrow().to_pandas().h.to_numpy()
         more = materialize(candidates(entries, p, q, spark.sparkContext.broadcast(few)))
         found = found.union(materialize(_verify(docs, more, p, q)))
     return found.distinct()

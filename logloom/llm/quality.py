@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             found = [indicators(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["k", "found", "y"])
 
-    got = rows.select("k", "t", F.col("y").cast("int").alias("y")).mapInArrow(features, f"k {docs.schema[key].dataType.simpleString()}, found binary, y int").toPandas().sort_values("k", kind="stable")
+    got = rows.select("k", "t", F.col("y").cast("int").alias("y")).mapInArrow(features, f"k {docs.schema[key].dataType.simpleString()}, found binary, y int").toArrow().to_pandas().sort_values("k", kind="stable")
     return train([np.frombuffer(b, np.int32) for b in got.found], got.y.to_numpy())
 
 
