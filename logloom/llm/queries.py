@@ -8,8 +8,10 @@ from logloom.llm.decontaminate import op3_benchmark_decontamination
 from logloom.llm.language_id import op10_language_id
 from logloom.llm.line_dedup import op4_line_dedup
 from logloom.llm.quality import op2_quality_classifier
+from logloom.llm.secrets import op6_secret_scan
 from logloom.llm.sentencepiece_bpe import op9_sentencepiece
 from logloom.llm.simhash import op8_simhash_near_dedup
+from logloom.llm.suffix_dedup import op7_suffix_dedup
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -47,7 +49,7 @@ FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op3_benchmark_decontamination, op4_line_dedup, op5_nearest_neighbours, op8_simhash_near_dedup, op9_sentencepiece, op10_language_id)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op3_benchmark_decontamination, op4_line_dedup, op5_nearest_neighbours, op6_secret_scan, op7_suffix_dedup, op8_simhash_near_dedup, op9_sentencepiece, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -182,6 +182,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     return fps.join(of, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
+def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, most: int = 4) -> DataFrame:
+    """The rows of each component's smallest key, once where a key is repeated. Rows with a null key can't be named and all stay."""
+    groups = near_duplicates(docs, text, key, shingle, most)
+    gone = groups.filter(F.col(key) != F.col("component_id")).select(key).distinct()
+    kept = docs.filter(F.col(key).isNotNull()).join(gone, key, "left_anti").dropDuplicates([key])
+    return kept.unionByName(docs.filter(F.col(key).isNull())).select(docs.columns)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     got = near_duplicates(read(spark, sf_dir, "documents"))
