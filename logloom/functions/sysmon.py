@@ -98,28 +98,35 @@ ENRICHED = {
 }
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def enriched_template(template: Column, content: Column, event_id: Column | None = None, mode: str = "lmd_sysmon_v1") -> Column:
     """The template with the classes of its event's fields; mode none leaves it. The event id is given, else in the content, else in the template."""
-    plain = _clean(template)
     if mode == "none":
-        return plain
-    pairs = key_values(F.when(_clean(content) == "", plain).otherwise(_clean(content)))
-    in_template = F.regexp_extract(plain, r"EventID[= ](\d+)", 1)
+        return _clean(template)
     given = F.lit("") if event_id is None else _clean(event_id.cast("string"))
-    number = F.coalesce(F.nullif(given, F.lit("")), F.nullif(first_value(pairs, "EventID"), F.lit("")), F.nullif(in_template, F.lit("")), F.lit("UNKNOWN"))
-    provider = F.coalesce(F.nullif(F.trim(F.regexp_extract(plain, r"^(.*?)\bEventID[= ]\d+", 1)), F.lit("")), F.lit("Microsoft-Windows-Sysmon"))
+    source = F.struct(_clean(template).alias("plain"), key_values(F.coalesce(F.nullif(_clean(content), F.lit("")), _clean(template))).alias("pairs"), given.alias("given"))
+    return _bound(source, _enriched)
+
+
+def _enriched(x: Column) -> Column:
+    plain, pairs = x["plain"], x["pairs"]
+    in_template = F.regexp_extract(plain, r"(?i)\bEventID(?:=|\s+)(\d+)", 1)
+    number = F.coalesce(F.nullif(x["given"], F.lit("")), F.nullif(first_value(pairs, "EventID"), F.lit("")), F.nullif(in_template, F.lit("")), F.lit("UNKNOWN"))
+    provider = F.coalesce(F.nullif(F.trim(F.regexp_extract(plain, r"(?i)^(.*?)\bEventID(?:=|\s+)\d+", 1)), F.lit("")), F.lit("Microsoft-Windows-Sysmon"))
     base = F.concat(provider, F.lit(" EventID="), number)
-    user = F.concat(F.lit("UserClass="), user_class(first_value(pairs, "User")))
+    field = lambda name, of, keys: F.concat(F.lit(f"{name}="), _bound(first_value(pairs, *keys), of))
+    user = field("UserClass", user_class, ("User",))
 
     def row(fields) -> Column:
-        made = [F.concat(F.lit(f"{n}="), f(first_value(pairs, *keys))) for n, f, keys in fields]
-        return F.concat_ws(" ", base, *made, *([] if any(n == "UserClass" for n, *_ in fields) else [user]))
+        return F.concat_ws(" ", base, *[field(*f) for f in fields], *([] if any(f[0] == "UserClass" for f in fields) else [user]))
 
-    groups = {"12": ("12", "13", "14"), "11": ("11", "23")}
-    out = None
+    same = {"12": ("12", "13", "14"), "11": ("11", "23")}
+    out = F.when(F.lit(False), F.lit(""))
     for k, fields in ENRICHED.items():
-        test = number.isin(*groups.get(k, (k,)))
-        out = F.when(test, row(fields)) if out is None else out.when(test, row(fields))
-    image = first_value(pairs, "Image")
-    other = F.concat_ws(" ", base, F.when(image != "", F.concat(F.lit("ImageClass="), process_class(image))), F.when(first_value(pairs, "User") != "", user))
-    return out.otherwise(other)
+        out = out.when(number.isin(*same.get(k, (k,))), row(fields))
+    image = F.when(first_value(pairs, "Image") != "", field("ImageClass", process_class, ("Image",)))
+    return out.otherwise(F.concat_ws(" ", base, image, F.when(first_value(pairs, "User") != "", user)))
