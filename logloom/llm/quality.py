@@ -25,7 +25,7 @@ class _Word(dict):
     """
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         low = word.lower()
         shape = min(len(low), 15) // 2 | any(map(str.isalpha, low)) << 3 | any(map(str.isdigit, low)) << 4 | (not low.strip(".,;:!?").isalnum()) << 5 | (low[-1] in ".!?") << 6 | (low[-1] == ",") << 7

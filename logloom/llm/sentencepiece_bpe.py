@@ -13,6 +13,7 @@ from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ class Codec:
     piece: list[str]
     byte_of: dict[int, int]
     byte_id: list[int]
-    max_cached: int = 400_000
+    max_cached: int = 150_000
     pair: dict = field(default_factory=dict)
     cache: dict = field(default_factory=dict)
 
@@ -205,11 +206,14 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", outputs: tuple[str
             if "n_tokens" in made:
                 made["n_tokens"].append(n)
             if "ids" in made:
-                made["ids"].append(list(chain.from_iterable([g[0] for g in got])))
+                made["ids"].append(np.fromiter(chain.from_iterable([g[0] for g in got]), np.int32, n))
             if "ids_text" in made:
                 made["ids_text"].append(",".join([g[1] for g in got]))
             if "decoded" in made:
                 made["decoded"].append("".join([g[2] for g in got])[1:])
+        if "ids" in made:
+            ends = np.cumsum([0, *map(len, made["ids"])], dtype=np.int32)
+            made["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *made["ids"]])))
         return [made[o] for o in outputs]
 
     return with_columns(docs, ", ".join(f"{o} {kinds[o]}" for o in outputs), run)
