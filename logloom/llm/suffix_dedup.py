@@ -71,6 +71,27 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
 
 
+def _heads(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros after the end."""
+    padded = np.append(text, np.zeros(8, np.uint8))
+    out = np.zeros(len(text), np.uint64)
+    for k in range(8):
+        out = (out << np.uint64(8)) | padded[k : k + len(text)]
+    return out
+
+
+def _sorted_suffixes(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Places in the order of their first depth bytes: by their first eight bytes at once, then those alike by the rest."""
+    raw, head = text.tobytes(), _heads(text)[at]
+    order = np.argsort(head, kind="stable")
+    head, out = head[order], at[order].tolist()
+    new = np.flatnonzero(np.append(True, head[1:] != head[:-1]))
+    end = np.append(new[1:], len(head))
+    for s, e in zip(new[end - new > 1].tolist(), end[end - new > 1].tolist(), strict=True):
+        out[s:e] = sorted(out[s:e], key=lambda i: raw[i : i + depth])
+    return np.array(out, np.int64)
+
+
 def two_stage_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in the order of their first `depth` symbols at least.
 
@@ -83,8 +104,7 @@ def two_stage_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     step = np.append(np.sign(text[1:].astype(np.int16) - text[:-1].astype(np.int16)), -1)  # the last suffix is larger than the empty one
     at = np.where(step != 0, np.arange(n), n)
     small = step[np.minimum.accumulate(at[::-1])[::-1]] > 0  # equal symbols decide as the next different one does
-    raw = text.tobytes()
-    first = np.array(sorted(np.flatnonzero(small).tolist(), key=lambda i: raw[i : i + depth]), np.int64)
+    first = _sorted_suffixes(text, np.flatnonzero(small), depth)
     borders = np.searchsorted(text[first], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     waiting[text[n - 1]].append(np.array([n - 1]))
@@ -113,16 +133,16 @@ def two_stage_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 def adjacent_common_prefix(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """Length of the common prefix of each suffix and the one before it in order, counted up to most; 0 for the first."""
-    padded = np.append(text, np.zeros(most + 8, np.uint8))
-    word = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    head = _heads(np.append(text, np.zeros(most, np.uint8)))
     common = np.zeros(len(order), np.int64)
     here = np.arange(1, len(order))
     for at in range(0, most, 8):
-        x, y = word[order[here] + at], word[order[here - 1] + at]
-        same = x == y
-        whole = same.all(1)
-        common[here] += np.where(whole, 8, same.argmin(1))
-        here = here[whole]
+        differ = head[order[here] + at] ^ head[order[here - 1] + at]
+        same = np.full(len(here), 8)
+        for k in range(8):
+            same -= differ >= np.uint64(1 << (8 * k))
+        common[here] += same
+        here = here[differ == 0]
     limit = len(text) - np.maximum(order, np.append(order[:1], order[:-1]))
     return np.minimum(np.minimum(common, most), limit)
 
