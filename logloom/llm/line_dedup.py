@@ -12,16 +12,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.llm.common import materialize, read, with_columns
 
 FREQUENCY_BITS = 22
-HOT_TOKEN = 20_000
-PER_BUCKET = 3
-BROADCAST_ROWS = 1_000_000
+HOT_TOKEN = 400_000
+PER_BUCKET = 64
+BROADCAST_ROWS = 2_000_000
 UNRESOLVED_BLOCK = 1_000_000
-_BLOCK_CHARS = 4 << 20
+_BLOCK_CHARS = 2 << 20
 NULL_KEY = -(2**63)
 
 
@@ -29,7 +30,7 @@ class _Hashes(dict):
     """64-bit hashes of tokens; forgotten when there are too many."""
 
     def __missing__(self, token: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[token] = xxhash.xxh64_intdigest(token)
         return h
@@ -38,6 +39,22 @@ class _Hashes(dict):
 _hash_of = _Hashes()
 
 
+def by_line(line: np.ndarray, *value: np.ndarray) -> np.ndarray:
+    """Order by line, then by the values (the first counts most): by one packed key, or column by column where two rows pack alike."""
+    bits = int(line[-1]).bit_length() if len(line) else 0
+    room = (64 - bits) // len(value)
+    key = line.astype(np.uint64)
+    for v in value:
+        top = v >> np.uint64(64 - room) if v.dtype == np.uint64 else np.minimum(v, (1 << room) - 1).astype(np.uint64)
+        key = (key << np.uint64(room)) | top
+    order = np.argsort(key)
+    ordered = key[order]
+    alike = np.flatnonzero(ordered[1:] == ordered[:-1])
+    if any((v[order[alike]] != v[order[alike + 1]]).any() for v in value):
+        return np.lexsort((*value[::-1], line))
+    return order
+
+
 class Lines:
     """Lines with tokens of some texts: owner (row number), number (of the line in its text), and their distinct token hashes by line."""
 
@@ -55,7 +72,7 @@ class Lines:
         self.owner, self.number = np.array(owner, np.int64), np.array(number, np.int64)
         token = np.fromiter(map(_hash_of.__getitem__, tokens), np.uint64, len(tokens))
         line = np.repeat(np.arange(len(owner)), size)
-        order = np.lexsort((token, line))
+        order = by_line(line, token)
         token, line = token[order], line[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
@@ -90,22 +107,36 @@ def _blocks(batches, text: int):
                 at, size = k + 1, 0
 
 
-def token_frequency(docs: DataFrame) -> np.ndarray:
-    """How many lines hold a token of each of 2^FREQUENCY_BITS hash buckets, over all lines (the size is fixed)."""
+_LINE = "kind int, h bigint, key bigint, number int, th bigint"
+
+
+def line_table(docs: DataFrame) -> DataFrame:
+    """One pass over the texts. Kind 0: a line's token set h, and where it stands (key, number, th); kind 1: how many lines of a task hold a
+    token of hash bucket h (key). docs: key, text, th."""
 
-    def count(batches):
-        total = np.zeros(1 << FREQUENCY_BITS, np.int64)
-        for _, texts in _blocks(batches, 0):
-            bucket, n = np.unique(Lines(texts).token >> np.uint64(64 - FREQUENCY_BITS), return_counts=True)
-            total[bucket] += n
+    def run(batches):
+        schema = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("key", pa.int64()), ("number", pa.int32()), ("th", pa.int64())])
+        total = np.zeros(1 << FREQUENCY_BITS, np.int32)
+        for rows, texts in _blocks(batches, 1):
+            x = Lines(texts)
+            bucket, n = np.unique(x.token >> np.uint64(64 - FREQUENCY_BITS), return_counts=True)
+            total[bucket.astype(np.int64)] += n.astype(np.int32)
+            keys, th = (rows.column(i).take(pa.array(x.owner)) for i in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x.n), np.int32)), pa.array(x.identity().view(np.int64)), keys, pa.array(x.number.astype(np.int32)), th], schema=schema)
         bucket = np.flatnonzero(total)
         for at in range(0, len(bucket), 100_000):
             b = bucket[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(total[b])], ["bucket", "n"])
+            zero = np.zeros(len(b), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 1), pa.array(b), pa.array(total[b].astype(np.int64)), pa.array(zero.astype(np.int32)), pa.array(zero)], schema=schema)
+
+    return docs.select("key", "text", "th").mapInArrow(run, _LINE)
 
-    got = docs.select("text").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+
+def token_frequency(lines: DataFrame) -> np.ndarray:
+    """How many lines hold a token of each of 2^FREQUENCY_BITS hash buckets, over all lines (the size is fixed)."""
+    got = lines.filter("kind = 1").groupBy(F.col("h").cast("int").alias("bucket")).agg(F.sum("key").alias("n")).toArrow()
     table = np.zeros(1 << FREQUENCY_BITS, np.uint32)
-    table[got.bucket] = np.minimum(got.n, 2**32 - 1)
+    table[got["bucket"].to_numpy()] = np.minimum(got["n"].to_numpy(), 2**32 - 1)
     return table
 
 
@@ -119,14 +150,14 @@ def overlap_needed(n1, n2, p: int, q: int):
     return -(-p * (n1 + n2) // (p + q))
 
 
-_ENTRY = "bucket bigint, h bigint, sketch bigint, key bigint, number int, n int, pos int"
+_ENTRY = "bucket bigint, h bigint, sketch bigint, key bigint, number bigint, sizes bigint"
 
 
-def prefixes(docs: DataFrame, frequency, p: int, q: int) -> DataFrame:
+def prefixes(docs: DataFrame, frequency, p: int, q: int, only=None) -> DataFrame:
     """One row for each token of a line's prefix: its rarest tokens, so many that similar lines share one.
 
     Tokens that no other line holds are left out. Of equal token sets in a block of rows the first one stands for all.
-    Hot tokens (over HOT_TOKEN lines) are dealt to pairs of salts, so that each two lines meet in one bucket.
+    With only (a broadcast array), rows of its buckets alone. Hot tokens (over HOT_TOKEN lines) are dealt to pairs of salts, so that each two lines meet in one bucket.
     """
 
     def run(batches):
@@ -142,7 +173,7 @@ def prefixes(docs: DataFrame, frequency, p: int, q: int) -> DataFrame:
             chosen = np.zeros(len(h), bool)
             chosen[first] = True
             f = freq[x.token >> np.uint64(64 - FREQUENCY_BITS)]
-            order = np.lexsort((x.token, f, x.line))
+            order = by_line(x.line, f, x.token)
             token, f, line = x.token[order], f[order], x.line
             pos = np.arange(len(token)) - x.start[line]
             keep = (pos < x.n[line] + p * -x.n[line] // q + 1) & (f > 1) & chosen[line]
@@ -158,8 +189,11 @@ def prefixes(docs: DataFrame, frequency, p: int, q: int) -> DataFrame:
                     lo, hi = np.minimum(own, other), np.maximum(own, other)
                     parts.append((key[of] ^ ((lo * s + hi) * 0x9E3779B1 + 1), of))
             key, of = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+            if only is not None:
+                asked = np.isin(key, only.value)
+                key, of = key[asked], of[asked]
             line, pos = line[of], pos[of]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h[line].view(np.int64)), pa.array(sketch[line].view(np.int64)), pa.array(keys[line]), pa.array(x.number[line].astype(np.int32)), pa.array(x.n[line].astype(np.int32)), pa.array(pos.astype(np.int32))], ["bucket", "h", "sketch", "key", "number", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h[line].view(np.int64)), pa.array(sketch[line].view(np.int64)), pa.array(keys[line]), pa.array(x.number[line]), pa.array(x.n[line] << 32 | pos)], ["bucket", "h", "sketch", "key", "number", "sizes"])
 
     return docs.select("key", "text").mapInArrow(run, _ENTRY)
 
@@ -176,7 +210,7 @@ def _first_of_each(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 def _candidates(c: dict[str, np.ndarray], p: int, q: int, every: np.ndarray | None):
     """(later, earlier, complete) row numbers: what passes the length, positional and parity filters; the PER_BUCKET earliest for
     each later line, or all for those in every."""
-    b, n, pos = c["bucket"], c["n"].astype(np.int64), c["pos"]
+    b, n, pos = c["bucket"], c["n"], c["pos"]
     sketch = c["sketch"].view(np.uint64)
     here, d, later, earlier = np.arange(len(b)), 1, [], []
     wanted = None if every is None else np.isin(c["h"], every)
@@ -186,7 +220,8 @@ def _candidates(c: dict[str, np.ndarray], p: int, q: int, every: np.ndarray | No
         here = here[(b[here] == b[there]) & (p * n[there] <= q * n[here])]
         there = here + d
         need = overlap_needed(n[here], n[there], p, q)
-        ok = (np.minimum(n[here] - pos[here], n[there] - pos[there]) >= need) & (np.bitwise_count(sketch[here] ^ sketch[there]) <= n[here] + n[there] - 2 * need)
+        differ = n[here] + n[there] - 2 * need  # at most so many tokens; none would be the same set
+        ok = (differ > 0) & (np.minimum(n[here] - pos[here], n[there] - pos[there]) >= need) & (np.bitwise_count(sketch[here] ^ sketch[there]) <= differ)
         x, y = here[ok], there[ok]
         if len(x):
             swap = np.lexsort(np.stack([np.stack([c["h"][x], c["h"][y]]), np.stack([c["number"][x], c["number"][y]]), np.stack([c["key"][x], c["key"][y]])]), axis=0)[0] == 0
@@ -211,8 +246,9 @@ def _candidates(c: dict[str, np.ndarray], p: int, q: int, every: np.ndarray | No
 
 
 def candidates(entries: DataFrame, p: int, q: int, every=None) -> DataFrame:
-    """(h, key, number, h2, key2, number2, complete) of a later line and earlier ones that may be similar."""
-    schema = pa.schema([(n, pa.int32() if n.startswith("number") else pa.int64()) for n in ("h", "key", "number", "h2", "key2", "number2", "complete")])
+    """(h, key, number, h2, key2, number2, rest) of a later line and earlier ones that may be similar; rest is the bucket that may have more of
+    them, 0 if it has none."""
+    schema = pa.schema([(n, pa.int32() if n.startswith("number") else pa.int64()) for n in ("h", "key", "number", "h2", "key2", "number2", "rest")])
 
     def meet(batches):
         wanted = None if every is None else every.value
@@ -221,12 +257,14 @@ def candidates(entries: DataFrame, p: int, q: int, every=None) -> DataFrame:
         def done(pieces):
             c = _first_of_each({k: np.concatenate([x[k] for x in pieces]) for k in pieces[0]})
             x, y, complete = _candidates(c, p, q, wanted)
-            return pa.RecordBatch.from_arrays([pa.array(a) for a in (c["h"][x], c["key"][x], c["number"][x], c["h"][y], c["key"][y], c["number"][y], complete)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(a) for a in (c["h"][x], c["key"][x], c["number"][x].astype(np.int32), c["h"][y], c["key"][y], c["number"][y].astype(np.int32), np.where(complete == 1, 0, c["bucket"][x]))], schema=schema)
 
         for batch in batches:
             c = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
             if not len(c["bucket"]):
                 continue
+            sizes = c.pop("sizes")
+            c |= {"n": sizes >> 32, "pos": sizes & 0xFFFFFFFF}
             cut = int(np.searchsorted(c["bucket"], c["bucket"][-1]))
             if cut:
                 yield done([*held, {k: v[:cut] for k, v in c.items()}])
@@ -240,7 +278,7 @@ def candidates(entries: DataFrame, p: int, q: int, every=None) -> DataFrame:
         if held:
             yield done(held)
 
-    return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "h bigint, key bigint, number int, h2 bigint, key2 bigint, number2 int, complete bigint").distinct()
+    return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "h bigint, key bigint, number int, h2 bigint, key2 bigint, number2 int, rest bigint").distinct()
 
 
 def _tokens_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -252,16 +290,21 @@ def _tokens_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out: dict[int, list[str]] = {}
+            asked, lines = [], []
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x, numbers = Lines([text]), {w["number"]: w["h"] for w in wanted}
-                lines = text.encode("utf-8", "surrogatepass").lower().split(b"\n")
-                for k, h in zip(x.number.tolist(), x.identity().view(np.int64).tolist(), strict=True):
-                    if k in numbers and numbers[k] == h:
-                        out[h] = sorted({w.decode("utf-8", "surrogatepass") for w in lines[k].split()})
+                own = (text or "").split("\n")
+                for w in wanted:
+                    if w["number"] < len(own):
+                        asked.append(w["h"])
+                        lines.append(own[w["number"]])
+            out: dict[int, list[str]] = {}
+            x = Lines(lines)
+            for k, h in zip(x.owner.tolist(), x.identity().view(np.int64).tolist(), strict=True):
+                if asked[k] == h:
+                    out[h] = sorted({w.decode("utf-8", "surrogatepass") for w in lines[k].encode("utf-8", "surrogatepass").lower().split()})
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.list_(pa.string()))], ["h", "tokens"])
 
-    return picked.mapInArrow(run, "h bigint, tokens array<string>").dropDuplicates(["h"])
+    return picked.mapInArrow(run, "h bigint, tokens array<string>")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, p: int, q: int) -> DataFrame:
@@ -273,19 +316,22 @@ def _verify(docs: DataFrame, pairs: DataFrame, p: int, q: int) -> DataFrame:
     return both.filter(common * q >= (F.size("tokens") + F.size("tokens2") - common) * p).select("h").distinct()
 
 
-def similar_later_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(h): token sets of which the earliest line has an earlier, different but similar line. docs: key, text."""
+def similar_later_lines(docs: DataFrame, lines: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(h): token sets of which the earliest line has an earlier, different but similar line. docs: key, text; lines: line_table(docs)."""
     spark = docs.sparkSession
     p, q = _shares(similarity)
-    frequency = spark.sparkContext.broadcast(token_frequency(docs))
+    frequency = spark.sparkContext.broadcast(token_frequency(lines))
     entries = prefixes(docs, frequency, p, q)
-    pairs = materialize(candidates(entries, p, q))
-    found = materialize(_verify(docs, pairs, p, q))
-    rest = materialize(pairs.filter("complete = 0").select("h").distinct().join(found, "h", "left_anti"))
-    n = rest.count()
-    for block in range(-(-n // UNRESOLVED_BLOCK)):  # lines none of whose first candidates held: all of theirs
-        few = rest.filter(F.pmod(F.xxhash64("h"), F.lit(-(-n // UNRESOLVED_BLOCK))) == block).toArrow().to_pandas().h.to_numpy()
-        more = materialize(candidates(entries, p, q, spark.sparkContext.broadcast(few)))
+    earliest = F.row_number().over(W.partitionBy("h").orderBy("key2", "number2", "h2"))
+    pairs = materialize(candidates(entries, p, q).withColumn("rank", earliest))
+    found = materialize(_verify(docs, pairs.filter("rank = 1"), p, q))
+    found = found.union(materialize(_verify(docs, pairs.filter("rank > 1").join(found, "h", "left_anti"), p, q)))
+    rest = materialize(pairs.filter("rest <> 0").select("h", "rest").distinct().join(found, "h", "left_anti"))
+    blocks = -(-rest.count() // UNRESOLVED_BLOCK)
+    for block in range(blocks):  # lines none of whose first candidates held: all candidates in the buckets that had more
+        few = rest.filter(F.pmod(F.xxhash64("h"), F.lit(blocks)) == block).toArrow()
+        h, buckets = (spark.sparkContext.broadcast(np.unique(few[c].to_numpy())) for c in ("h", "rest"))
+        more = materialize(candidates(prefixes(docs, frequency, p, q, buckets), p, q, h))
         found = found.union(materialize(_verify(docs, more, p, q)))
     return found.distinct()
 
@@ -299,32 +345,30 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", simila
     """
     source = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
 
-    def occurrences(batches):
-        for rows, texts in _blocks(batches, 1):
-            x = Lines(texts)
-            h = x.identity().view(np.int64)
-            keys, th = (rows.column(i).take(pa.array(x.owner)) for i in (0, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(h), keys, pa.array(x.number.astype(np.int32)), th], ["h", "key", "number", "th"])
-
-    first = source.mapInArrow(occurrences, "h bigint, key bigint, number int, th bigint").groupBy("h").agg(F.min(F.struct("key", "number", "th")).alias("first"))
-    kept = first.join(similar_later_lines(source.select("key", "text"), similarity), "h", "left_anti").select("first.*").groupBy("key", "th").agg(F.collect_list("number").alias("kept"))
-    kept = kept.select(F.col("key").alias("__key"), F.col("th").alias("__th"), F.col("kept").alias("__kept"))
-    joined = docs.join(kept, F.col(key).cast("bigint").eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__th")), "left")
+    lines = materialize(line_table(source))
+    first = lines.filter("kind = 0").groupBy("h").agg(F.min(F.struct("key", "number", "th")).alias("first"))
+    kept = first.join(similar_later_lines(source.select("key", "text"), lines, similarity), "h", "left_anti").select("first.*")
+    same = (F.col("a.number") == F.col("b.number")) & F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.th") == F.col("b.th"))
+    gone = materialize(lines.filter("kind = 0").alias("a").join(kept.alias("b"), same, "left_anti").select("key", "th", "number"))
+    by_doc = gone.groupBy(F.col("key").alias("__key"), F.col("th").alias("__th")).agg(F.collect_list("number").alias("__gone"))
+    if gone.count() <= BROADCAST_ROWS:
+        by_doc = F.broadcast(by_doc)
+    joined = docs.join(by_doc, F.col(key).cast("bigint").eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__th")), "left")
 
     def rewrite(batch: pa.RecordBatch) -> list:
         column = lambda n: batch.column(batch.schema.get_field_index(n))
         out, n_lines, n_removed = [], [], []
-        for t, kept in zip(column(text), column("__kept"), strict=True):
+        for t, gone in zip(column(text), column("__gone"), strict=True):
             t = t.as_py()
             lines = [] if t is None else t.split("\n")
-            own = set(kept.as_py() or ())
-            left = [x for k, x in enumerate(lines) if k in own or not x.encode("utf-8", "surrogatepass").strip()]
+            own = set(gone.as_py() or ())
+            left = [x for k, x in enumerate(lines) if k not in own]
             out.append(None if t is None else "\n".join(left))
             n_lines.append(len(lines))
             n_removed.append(len(lines) - len(left))
         return [out, n_lines, n_removed]
 
-    made = with_columns(joined, f"`{text}` string, n_lines bigint, n_removed bigint", rewrite).drop("__key", "__th", "__kept")
+    made = with_columns(joined, f"`{text}` string, n_lines bigint, n_removed bigint", rewrite).drop("__key", "__th", "__gone")
     return made.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
 
 
