@@ -91,9 +91,14 @@ class Lines:
         h = np.add.reduceat(x, self.start) + self.n.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
         return h ^ (h >> np.uint64(31))
 
-    def sketch(self) -> np.ndarray:
-        """Parity of the tokens in each of 64 classes: two sets' sketches differ in no more bits than the sets differ in tokens."""
-        return np.bitwise_xor.reduceat(np.uint64(1) << (self.token >> np.uint64(58)), self.start) if len(self.n) else np.empty(0, np.uint64)
+    def sketch(self) -> tuple[np.ndarray, np.ndarray]:
+        """Parity of the tokens in each of 128 classes, in two halves: two sets' sketches differ in no more bits than the sets differ in tokens."""
+        if not len(self.n):
+            return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        bit = np.uint64(1) << ((self.token >> np.uint64(57)) & np.uint64(63))
+        high = self.token >> np.uint64(63) == 1
+        zero = np.uint64(0)
+        return np.bitwise_xor.reduceat(np.where(high, zero, bit), self.start), np.bitwise_xor.reduceat(np.where(high, bit, zero), self.start)
 
 
 def _blocks(batches, text: int):
@@ -150,7 +155,7 @@ def overlap_needed(n1, n2, p: int, q: int):
     return -(-p * (n1 + n2) // (p + q))
 
 
-_ENTRY = "bucket bigint, h bigint, sketch bigint, key bigint, number bigint, sizes bigint"
+_ENTRY = "bucket bigint, h bigint, sketch bigint, sketch2 bigint, key bigint, number bigint, sizes bigint"
 
 
 def prefixes(docs: DataFrame, frequency, p: int, q: int, only=None) -> DataFrame:
@@ -167,7 +172,7 @@ def prefixes(docs: DataFrame, frequency, p: int, q: int, only=None) -> DataFrame
             if not len(x.n):
                 continue
             keys = rows.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False)[x.owner]
-            h, sketch = x.identity(), x.sketch()
+            h, (sketch, sketch2) = x.identity(), x.sketch()
             first = np.lexsort((x.number, keys, h))
             first = first[np.append(True, h[first][1:] != h[first][:-1])]
             chosen = np.zeros(len(h), bool)
@@ -193,7 +198,7 @@ def prefixes(docs: DataFrame, frequency, p: int, q: int, only=None) -> DataFrame
                 asked = np.isin(key, only.value)
                 key, of = key[asked], of[asked]
             line, pos = line[of], pos[of]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h[line].view(np.int64)), pa.array(sketch[line].view(np.int64)), pa.array(keys[line]), pa.array(x.number[line]), pa.array(x.n[line] << 32 | pos)], ["bucket", "h", "sketch", "key", "number", "sizes"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h[line].view(np.int64)), pa.array(sketch[line].view(np.int64)), pa.array(sketch2[line].view(np.int64)), pa.array(keys[line]), pa.array(x.number[line]), pa.array(x.n[line] << 32 | pos)], ["bucket", "h", "sketch", "sketch2", "key", "number", "sizes"])
 
     return docs.select("key", "text").mapInArrow(run, _ENTRY)
 
@@ -211,7 +216,7 @@ def _candidates(c: dict[str, np.ndarray], p: int, q: int, every: np.ndarray | No
     """(later, earlier, complete) row numbers: what passes the length, positional and parity filters; the PER_BUCKET earliest for
     each later line, or all for those in every."""
     b, n, pos = c["bucket"], c["n"], c["pos"]
-    sketch = c["sketch"].view(np.uint64)
+    sketch, sketch2 = c["sketch"].view(np.uint64), c["sketch2"].view(np.uint64)
     here, d, later, earlier = np.arange(len(b)), 1, [], []
     wanted = None if every is None else np.isin(c["h"], every)
     while len(here):
@@ -221,7 +226,7 @@ def _candidates(c: dict[str, np.ndarray], p: int, q: int, every: np.ndarray | No
         there = here + d
         need = overlap_needed(n[here], n[there], p, q)
         differ = n[here] + n[there] - 2 * need  # at most so many tokens; none would be the same set
-        ok = (differ > 0) & (np.minimum(n[here] - pos[here], n[there] - pos[there]) >= need) & (np.bitwise_count(sketch[here] ^ sketch[there]) <= differ)
+        ok = (differ > 0) & (np.minimum(n[here] - pos[here], n[there] - pos[there]) >= need) & (np.bitwise_count(sketch[here] ^ sketch[there]).astype(np.int64) + np.bitwise_count(sketch2[here] ^ sketch2[there]) <= differ)
         x, y = here[ok], there[ok]
         if len(x):
             swap = np.lexsort(np.stack([np.stack([c["h"][x], c["h"][y]]), np.stack([c["number"][x], c["number"][y]]), np.stack([c["key"][x], c["key"][y]])]), axis=0)[0] == 0
