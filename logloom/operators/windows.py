@@ -161,8 +161,18 @@ def hash_order(seed: int, key: str) -> Column:
 
 
 def lowest_hashes(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """n rows drawn without replacement: those of least hash (a top-n, not a sort of all)."""
-    return df.orderBy(hash_order(seed, key), key).limit(n)
+    """n rows drawn without replacement: those of least hash. A histogram of 65,536 hash prefixes tells the one in which the n-th row falls;
+    rows of lower prefixes are kept where they are, and only that prefix's rows are ranked."""
+    prefix = F.coalesce(F.substring(hash_order(seed, key), 1, 4), F.lit(""))
+    below, at = 0, None
+    for r in sorted(df.groupBy(prefix.alias("p")).count().collect()):
+        at = r["p"]
+        if below + r["count"] >= n:
+            break
+        below += r["count"]
+    if at is None or n <= 0:
+        return df.limit(0)
+    return df.filter(prefix < at).unionByName(df.filter(prefix == at).orderBy(hash_order(seed, key), key).limit(n - below))
 
 
 def balanced(normal: DataFrame, attacks: DataFrame, key: str, times: int = 2, seed: int = 42) -> DataFrame:
