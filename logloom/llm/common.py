@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+SLICE_BYTES = 4 << 20
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
@@ -20,9 +25,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; where unset (tests), a new local one."""
+    """The shared folder that the session names in spark.checkpoint.dir; where unset (tests), a new local one, on a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is unset: a folder that the executors of {master} share is needed")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -49,8 +57,21 @@ def bounded_sample(df: DataFrame, key: Column, max_rows: int, seed: int) -> Data
     return df.filter(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2**32)) < cut)
 
 
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts take about `most` bytes, one row at least: so that a batch of long texts is never held as Python objects at once."""
+    size = np.ones(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(size) // most
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    for at, end in zip(cuts, cuts[1:]):
+        if end > at:
+            yield batch.slice(at, end - at)
+
+
 def with_columns(df: DataFrame, columns: str, function: Callable[[pa.RecordBatch], list[pa.Array]], keep: list[str] | None = None) -> DataFrame:
-    """Add columns (a DDL string) that function makes from an Arrow batch; columns in keep (default: all) pass unchanged.
+    """Add columns (a DDL string) that function makes from an Arrow batch (a slice of limited bytes); columns in keep (default: all) pass unchanged.
 
     A new column replaces an old one of the same name, so that clashing extra columns do no harm.
     """
@@ -62,7 +83,7 @@ def with_columns(df: DataFrame, columns: str, function: Callable[[pa.RecordBatch
     old_names = [f.name for f in old]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             made = function(batch)
             arrays = [batch.column(batch.schema.get_field_index(n)) for n in old_names] + [a if isinstance(a, pa.Array) else pa.array(a, arrow.field(len(old_names) + i).type) for i, a in enumerate(made)]
             yield pa.RecordBatch.from_arrays([a if a.type == t.type else a.cast(t.type) for a, t in zip(arrays, arrow, strict=True)], schema=arrow)

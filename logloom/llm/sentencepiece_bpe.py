@@ -1,14 +1,16 @@
 """SentencePiece merge-type encoding by backtracking, and decoding.
 
-Every distinct chunk (a run of space marks and the word after it) is encoded once and kept in a bounded cache; no piece of the
-vocabulary spans the border of two chunks (checked when the model is loaded), so chunks are independent.
+Chunks (a run of space marks and the word after it) are encoded once and kept in a bounded cache; no piece of the vocabulary spans the
+border of two chunks (checked when the model is loaded), so chunks are independent.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
@@ -26,6 +28,24 @@ _CHUNKS = re.compile(f"{MARK}+[^{MARK}]*")
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
+class Recent:
+    """A bounded map in two generations: when the younger is full it becomes the older, so that what is asked often stays."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 @dataclass
 class Codec:
     """The vocabulary of one model file: pieces with scores, single-character and byte pieces, and the automaton over mergeable pieces."""
@@ -35,9 +55,7 @@ class Codec:
     piece: list[str]
     byte_of: dict[int, int]
     byte_id: list[int]
-    max_cached: int = 150_000
-    pair: dict = field(default_factory=dict)
-    cache: dict = field(default_factory=dict)
+    max_cached: int = 100_000
 
     def __post_init__(self):
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.score):
@@ -45,16 +63,27 @@ class Codec:
         self.chars = {p for p in self.score if len(p) == 1}
         if any(c not in self.chars for p in self.score for c in p):
             raise ValueError("a piece has a character that is no piece itself")
-        own = [p for p in self.score if self.merge(p) == [p]]
+        self.cache, self.pairs = Recent(self.max_cached), Recent(self.max_cached)
+        self.digits, self.surfaces = list(map(str, range(len(self.piece)))), [p.replace(MARK, " ") for p in self.piece]
+        self.halves: dict[str, tuple[str, str]] = {}
+        own = [p for p in self.score if self.merge(p, self.halves) == [p]]
         self.trie = ahocorasick.Automaton()
         for p in own:
             self.trie.add_word(p, p)
         self.trie.make_automaton()
         known = set(own)
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in known), None) for p in own}
-
-    def merge(self, text: str) -> list[str]:
-        """Merge the adjacent pair of best score, leftmost first, until no pair makes a piece."""
+        # a piece is made of pieces that merge before it; where scores say otherwise, or tie with another piece's, pairs are merged in full
+        alike = Counter(self.score[p] for p in own if len(p) > 1)
+        rank = {p: self.score[p] if len(p) > 1 else math.inf for p in own}
+        odd = {p for p in own if len(p) > 1 and (alike[self.score[p]] > 1 or any(rank[h] <= rank[p] for h in self.halves[p]))}
+        for p in sorted(own, key=len):
+            if len(p) > 1 and odd.intersection(self.halves[p]):
+                odd.add(p)
+        self.odd, self.rank = odd, rank
+
+    def merge(self, text: str, halves: dict | None = None) -> list[str]:
+        """Merge the adjacent pair of best score, leftmost first, until no pair makes a piece; halves gets what a text that is one piece was last merged from."""
         part: list[str | None] = list(text)
         left, right = list(range(-1, len(part) - 1)), list(range(1, len(part) + 1))
         score, queue = self.score, []
@@ -72,6 +101,8 @@ class Codec:
             if part[i] != a or part[j] != b or right[i] != j:
                 continue
             part[i], part[j] = a + b, None
+            if halves is not None and part[i] == text:
+                halves[text] = a, b
             right[i] = right[j]
             if right[j] < len(part):
                 left[right[j]] = i
@@ -80,37 +111,64 @@ class Codec:
         return [p for p in part if p is not None]
 
     def compatible(self, a: str, b: str) -> bool:
-        """Merging the two pieces' text anew gives the same two pieces."""
-        known = self.pair.get((a, b))
-        if known is None:
-            if len(self.pair) >= self.max_cached:
-                self.pair.clear()
-            known = self.pair[a, b] = self.merge(a + b) == [a, b]
-        return known
+        """Merging the two pieces' text anew gives the same two pieces.
+
+        The merges are undone from the last one back. At each step the two parts that touch may not make a piece that would have been
+        merged before the step's own merge; of equal scores (one piece on both sides) the left one is merged first.
+        """
+        if a in self.odd or b in self.odd:
+            return self.merge(a + b) == [a, b]
+        score, rank, halves = self.score, self.rank, self.halves
+        if a + b in score:
+            return False
+        left, right = rank[a], rank[b]
+        while True:
+            if left < right:
+                limit, a = left, halves[a][1]
+                left = rank[a]
+                s = score.get(a + b)
+                if s is not None and s > limit:
+                    return False
+            elif right < math.inf:
+                limit, b = right, halves[b][0]
+                right = rank[b]
+                s = score.get(a + b)
+                if s is not None and s >= limit:
+                    return False
+            else:
+                return True
 
     def pieces(self, text: str) -> list[str]:
-        """Pieces of a text of known characters. Space marks in runs score alike, which pairs of pieces can't tell apart: these are merged."""
-        if MARK + MARK in text:
-            return self.merge(text)
+        """Pieces of a text of known characters."""
         longest: list[str | None] = [None] * len(text)
-        for end, p in self.trie.iter(text):
-            at = end - len(p) + 1
-            if longest[at] is None or len(p) > len(longest[at]):
-                longest[at] = p
-        may_end = bytearray(b"\x01" * (len(text) + 1))
+        for end, p in self.trie.iter(text):  # by end: of the matches that start at a place the last one is the longest
+            longest[end - len(p) + 1] = p
+        longest.append(None)
+        failed = bytearray(len(text) + 1)
         out: list[str] = []
-        at, p = 0, longest[0]
+        young, shorter = self.pairs.young, self.shorter
+        at, p, before = 0, longest[0], None
         while p is not None:
             end = at + len(p)
-            if may_end[end] and (not out or self.compatible(out[-1], p)):
+            fits = not failed[end]
+            if fits and before is not None:
+                fits = young.get((before, p))
+                if fits is None:
+                    fits = self.pairs.get((before, p))
+                    if fits is None:
+                        fits = self.compatible(before, p)
+                        self.pairs.put((before, p), fits)
+                    young = self.pairs.young
+            if fits:
                 out.append(p)
-                at, p = end, longest[end] if end < len(text) else None
-            elif self.shorter[p] is not None:
-                p = self.shorter[p]
-            else:
-                may_end[at] = 0
+                at, before, p = end, p, longest[end]
+                continue
+            p = shorter[p]
+            if p is None:
+                failed[at] = 1
                 p = out.pop()
                 at -= len(p)
+                before = out[-1] if out else None
         return out
 
     def chunk_ids(self, chunk: str) -> list[int]:
@@ -131,6 +189,8 @@ class Codec:
 
     def surface(self, ids: list[int]) -> str:
         """Text of the ids, spaces for marks; runs of byte pieces are read as UTF-8, what isn't is U+FFFD."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.surfaces[i] for i in ids])
         out, raw = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -139,7 +199,7 @@ class Codec:
             if raw:
                 out.append(raw.decode("utf-8", "replace"))
                 raw = bytearray()
-            out.append(self.piece[i].replace(MARK, " "))
+            out.append(self.surfaces[i])
         return "".join(out) + raw.decode("utf-8", "replace")
 
     def decode(self, ids: list[int]) -> str:
@@ -158,19 +218,23 @@ class Codec:
         got = self.cache.get(chunk)
         if got is None:
             ids = self.chunk_ids(MARK + chunk)
-            got = tuple(ids), ",".join(map(str, ids)), self.surface(ids)
+            got = tuple(ids), ",".join([self.digits[i] for i in ids]), self.surface(ids)
             if len(chunk) <= 64:
-                if len(self.cache) >= self.max_cached:
-                    self.cache.clear()
-                self.cache[chunk] = got
+                self.cache.put(chunk, got)
         return got
 
     def encode(self, text: str | None) -> tuple[list[tuple[tuple[int, ...], str, str]], int]:
         """The chunks' results, and the number of ids."""
         if not text:
             return [], 0
-        get, known = self.cache.get, self.known
-        made = [get(c) or known(c) for c in self.chunks(text)]
+        get, known = self.cache.young.get, self.known
+        made = []
+        for c in self.chunks(text):
+            got = get(c)
+            if got is None:
+                got = known(c)
+                get = self.cache.young.get
+            made.append(got)
         return made, sum([len(m[0]) for m in made])
 
 
