@@ -10,335 +10,389 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.llm.common import materialize, read, with_columns
+from logloom.llm.common import materialize, read, slices
+from logloom.llm.words import Lines, by_group
 
-FREQUENCY_BITS = 22
-HOT_TOKEN = 400_000
-PER_BUCKET = 64
+FREQUENCY_BITS = 23
+PAGE_BITS = 13
+HOT_TOKEN = 5_000  # lines; the pairs of a word on more lines are dealt out by salts
+SMALL_BUCKET = 64
+CLOSEST, CLOSEST_IF_SURE = 32, 2  # earlier lines that a line is compared with in a bucket at first; what these leave open is searched in full
 BROADCAST_ROWS = 2_000_000
-UNRESOLVED_BLOCK = 1_000_000
-_BLOCK_CHARS = 2 << 20
+UNRESOLVED_BLOCK = 50_000
 NULL_KEY = -(2**63)
+_U = np.uint64
 
 
-class _Hashes(dict):
-    """64-bit hashes of tokens; forgotten when there are too many."""
-
-    def __missing__(self, token: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        h = self[token] = xxhash.xxh64_intdigest(token)
-        return h
-
-
-_hash_of = _Hashes()
-
-
-def by_line(line: np.ndarray, *value: np.ndarray) -> np.ndarray:
-    """Order by line, then by the values (the first counts most): by one packed key, or column by column where two rows pack alike."""
-    bits = int(line[-1]).bit_length() if len(line) else 0
-    room = (64 - bits) // len(value)
-    key = line.astype(np.uint64)
-    for v in value:
-        top = v >> np.uint64(64 - room) if v.dtype == np.uint64 else np.minimum(v, (1 << room) - 1).astype(np.uint64)
-        key = (key << np.uint64(room)) | top
-    order = np.argsort(key)
-    ordered = key[order]
-    alike = np.flatnonzero(ordered[1:] == ordered[:-1])
-    if any((v[order[alike]] != v[order[alike + 1]]).any() for v in value):
-        return np.lexsort((*value[::-1], line))
-    return order
-
-
-class Lines:
-    """Lines with tokens of some texts: owner (row number), number (of the line in its text), and their distinct token hashes by line."""
-
-    def __init__(self, texts: list[str | None]):
-        owner, number, tokens, size = [], [], [], []
-        for row, text in enumerate(texts):
-            if text:
-                for k, line in enumerate(text.encode("utf-8", "surrogatepass").lower().split(b"\n")):
-                    words = line.split()
-                    if words:
-                        owner.append(row)
-                        number.append(k)
-                        size.append(len(words))
-                        tokens += words
-        self.owner, self.number = np.array(owner, np.int64), np.array(number, np.int64)
-        token = np.fromiter(map(_hash_of.__getitem__, tokens), np.uint64, len(tokens))
-        line = np.repeat(np.arange(len(owner)), size)
-        order = by_line(line, token)
-        token, line = token[order], line[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
-        self.token, self.line = token[new], line[new]
-        self.start = np.searchsorted(self.line, np.arange(len(owner)))
-        self.n = np.diff(np.append(self.start, len(self.line)))
-
-    def identity(self) -> np.ndarray:
-        """64-bit hash of each line's token set."""
-        if not len(self.n):
-            return np.empty(0, np.uint64)
-        x = self.token * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
-        h = np.add.reduceat(x, self.start) + self.n.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31))
-
-    def sketch(self) -> tuple[np.ndarray, np.ndarray]:
-        """Parity of the tokens in each of 128 classes, in two halves: two sets' sketches differ in no more bits than the sets differ in tokens."""
-        if not len(self.n):
-            return np.empty(0, np.uint64), np.empty(0, np.uint64)
-        bit = np.uint64(1) << ((self.token >> np.uint64(57)) & np.uint64(63))
-        high = self.token >> np.uint64(63) == 1
-        zero = np.uint64(0)
-        return np.bitwise_xor.reduceat(np.where(high, zero, bit), self.start), np.bitwise_xor.reduceat(np.where(high, bit, zero), self.start)
-
-
-def _blocks(batches, text: int):
-    """(batch slice, its texts), of limited size."""
-    for batch in batches:
-        texts, at, size = batch.column(text).to_pylist(), 0, 0
-        for k, t in enumerate(texts):
-            size += len(t or "")
-            if size > _BLOCK_CHARS or k == len(texts) - 1:
-                yield batch.slice(at, k + 1 - at), texts[at : k + 1]
-                at, size = k + 1, 0
-
-
-_LINE = "kind int, h bigint, key bigint, number int, th bigint"
+def _shares(similarity: float) -> tuple[int, int]:
+    f = Fraction(similarity).limit_denominator(1000)
+    return f.numerator, f.denominator
+
+
+def overlap_needed(n1, n2, p: int, q: int):
+    """Least number of common tokens of sets of n1 and n2 tokens with a Jaccard similarity of at least p/q."""
+    return -(-p * (n1 + n2) // (p + q))
+
+
+def prefix_length(n, p: int, q: int):
+    """So many of a set's rarest tokens hold one of the rarest tokens of each similar set."""
+    return n + p * -n // q + 1
+
+
+def _batch(schema: pa.Schema, *arrays) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
+
+
+# how common words are
+
+
+def level_of(lines: np.ndarray) -> np.ndarray:
+    """Numbers of lines on a logarithmic scale of 256 steps: 0, 1, then eight steps to each doubling. The same for every block of rows, so that all
+    lines order their words alike."""
+    n = np.maximum(lines.astype(np.float64), 1)
+    return np.where(lines < 2, lines, np.minimum(2 + np.floor(8 * np.log2(n / 2 + (lines < 2))), 255)).astype(np.uint8)
+
+
+def lines_at(level: np.ndarray) -> np.ndarray:
+    """Least number of lines of a level."""
+    return np.where(level < 2, level, 2.0 ** ((level.astype(np.float64) - 2) / 8 + 1))
+
+
+_LINE = "h bigint, g bigint, key bigint, number int, th bigint, page int, places binary, counts binary"
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """One pass over the texts. Kind 0: a line's token set h, and where it stands (key, number, th); kind 1: how many lines of a task hold a
-    token of hash bucket h (key). docs: key, text, th."""
+    """One pass over the texts (key, text, th): where each line with words stands (key, number, th) and its token set's 128-bit hash (h, g); and, in
+    rows with a page, how many lines of a task hold a word of each of 2^FREQUENCY_BITS hash buckets (places within the page, counts)."""
+    schema = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("key", pa.int64()), ("number", pa.int32()), ("th", pa.int64()), ("page", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
-        schema = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("key", pa.int64()), ("number", pa.int32()), ("th", pa.int64())])
-        total = np.zeros(1 << FREQUENCY_BITS, np.int32)
-        for rows, texts in _blocks(batches, 1):
-            x = Lines(texts)
-            bucket, n = np.unique(x.token >> np.uint64(64 - FREQUENCY_BITS), return_counts=True)
-            total[bucket.astype(np.int64)] += n.astype(np.int32)
-            keys, th = (rows.column(i).take(pa.array(x.owner)) for i in (0, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x.n), np.int32)), pa.array(x.identity().view(np.int64)), keys, pa.array(x.number.astype(np.int32)), th], schema=schema)
-        bucket = np.flatnonzero(total)
-        for at in range(0, len(bucket), 100_000):
-            b = bucket[at : at + 100_000]
-            zero = np.zeros(len(b), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 1), pa.array(b), pa.array(total[b].astype(np.int64)), pa.array(zero.astype(np.int32)), pa.array(zero)], schema=schema)
+        total = np.zeros(1 << FREQUENCY_BITS, np.uint32)
+        for whole in batches:
+            for rows in slices(whole):
+                x = Lines(rows.column(1))
+                np.add.at(total, (x.token >> _U(64 - FREQUENCY_BITS)).astype(np.int64), np.uint32(1))
+                keys, th = (rows.column(i).take(pa.array(x.owner)) for i in (0, 2))
+                h, g = x.identity()
+                none = [pa.nulls(len(h), f.type) for f in list(schema)[5:]]
+                yield _batch(schema, h.view(np.int64), g.view(np.int64), keys, x.number, th, *none)
+        pages, places, counts = [], [], []
+        for page, of in enumerate(total.reshape(-1, 1 << PAGE_BITS)):
+            found = np.flatnonzero(of)
+            if len(found):
+                pages.append(page)
+                places.append(found.astype(np.uint16).tobytes())
+                counts.append(of[found].tobytes())
+        none = [pa.nulls(len(pages), f.type) for f in list(schema)[:5]]
+        yield _batch(schema, *none, pa.array(pages, pa.int32()), pa.array(places, pa.binary()), pa.array(counts, pa.binary()))
 
     return docs.select("key", "text", "th").mapInArrow(run, _LINE)
 
 
-def token_frequency(lines: DataFrame) -> np.ndarray:
-    """How many lines hold a token of each of 2^FREQUENCY_BITS hash buckets, over all lines (the size is fixed)."""
-    got = lines.filter("kind = 1").groupBy(F.col("h").cast("int").alias("bucket")).agg(F.sum("key").alias("n")).toArrow()
-    table = np.zeros(1 << FREQUENCY_BITS, np.uint32)
-    table[got["bucket"].to_numpy()] = np.minimum(got["n"].to_numpy(), 2**32 - 1)
-    return table
+def word_levels(lines: DataFrame) -> np.ndarray:
+    """The level of each hash bucket of words over all lines: one byte a bucket, whatever the input's size. A page's sums go past one row at a time."""
 
+    def add(batches):
+        page, total = None, np.zeros(1 << PAGE_BITS, np.uint64)
+        full = lambda: pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([level_of(total).tobytes()], pa.binary())], ["page", "levels"])
+        for batch in batches:
+            for p, places, counts in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if p.as_py() != page:
+                    if page is not None:
+                        yield full()
+                    page, total = p.as_py(), np.zeros(1 << PAGE_BITS, np.uint64)
+                total[np.frombuffer(places.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.uint32)
+        if page is not None:
+            yield full()
 
-def _shares(similarity: float) -> tuple[int, int]:
-    f = Fraction(similarity).limit_denominator(1000)
-    return f.numerator, f.denominator
+    got = lines.filter("page is not null").select("page", "places", "counts").repartition("page").sortWithinPartitions("page").mapInArrow(add, "page int, levels binary").toArrow()
+    table = np.zeros((1 << (FREQUENCY_BITS - PAGE_BITS), 1 << PAGE_BITS), np.uint8)
+    for page, levels in zip(got["page"].to_pylist(), got["levels"].to_pylist(), strict=True):
+        table[page] = np.frombuffer(levels, np.uint8)
+    return table.ravel()
 
 
-def overlap_needed(n1, n2, p: int, q: int):
-    """Least number of common tokens of sets of n1 and n2 tokens with a Jaccard similarity of at least p/q."""
-    return -(-p * (n1 + n2) // (p + q))
+# the words by which similar lines meet
 
 
-_ENTRY = "bucket bigint, h bigint, sketch bigint, sketch2 bigint, key bigint, number bigint, sizes bigint"
+def in_order(x: Lines, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines' words from the rarest to the commonest (ties by hash): word, level, place in the line."""
+    level = levels[(x.token >> _U(64 - FREQUENCY_BITS)).astype(np.int64)]
+    order = by_group(x.line, level, x.token)
+    return x.token[order], level[order], np.arange(len(x.token)) - x.start[x.line]
 
 
-def prefixes(docs: DataFrame, frequency, p: int, q: int, only=None) -> DataFrame:
-    """One row for each token of a line's prefix: its rarest tokens, so many that similar lines share one.
+_ENTRY = "bucket bigint, h bigint, sketch bigint, sketch2 bigint, key bigint, number bigint, sizes bigint"
+_ENTRIES = pa.schema([(n, pa.int64()) for n in ("bucket", "h", "sketch", "sketch2", "key", "number", "sizes")])
+_WORD = _U(2**64 - 2**16)
 
-    Tokens that no other line holds are left out. Of equal token sets in a block of rows the first one stands for all.
-    With only (a broadcast array), rows of its buckets alone. Hot tokens (over HOT_TOKEN lines) are dealt to pairs of salts, so that each two lines meet in one bucket.
-    """
+
+def prefixes(docs: DataFrame, levels, p: int, q: int) -> DataFrame:
+    """One row for each word of a line's prefix; words that no other line holds are left out. Of equal token sets in a block of rows the first
+    one stands for all. A bucket is the word's first 48 bits; lines of a word on more than HOT_TOKEN lines are dealt to parts of it by h."""
 
     def run(batches):
-        freq = frequency.value
-        for rows, texts in _blocks(batches, 1):
-            x = Lines(texts)
-            if not len(x.n):
-                continue
-            keys = rows.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False)[x.owner]
-            h, (sketch, sketch2) = x.identity(), x.sketch()
-            first = np.lexsort((x.number, keys, h))
-            first = first[np.append(True, h[first][1:] != h[first][:-1])]
-            chosen = np.zeros(len(h), bool)
-            chosen[first] = True
-            f = freq[x.token >> np.uint64(64 - FREQUENCY_BITS)]
-            order = by_line(x.line, f, x.token)
-            token, f, line = x.token[order], f[order], x.line
-            pos = np.arange(len(token)) - x.start[line]
-            keep = (pos < x.n[line] + p * -x.n[line] // q + 1) & (f > 1) & chosen[line]
-            token, f, line, pos = token[keep] >> np.uint64(32), f[keep], line[keep], pos[keep]
-            salts = -(-f.astype(np.int64) // HOT_TOKEN)
-            hot = salts > 1
-            key = (token << np.uint64(16)).view(np.int64)
-            parts = [(key[~hot], np.flatnonzero(~hot))]
-            for s in np.unique(salts[hot]):
-                of = np.flatnonzero(salts == s)
-                own = (h[line[of]] % np.uint64(s)).astype(np.int64)
-                for other in range(s):
-                    lo, hi = np.minimum(own, other), np.maximum(own, other)
-                    parts.append((key[of] ^ ((lo * s + hi) * 0x9E3779B1 + 1), of))
-            key, of = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
-            if only is not None:
-                asked = np.isin(key, only.value)
-                key, of = key[asked], of[asked]
-            line, pos = line[of], pos[of]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h[line].view(np.int64)), pa.array(sketch[line].view(np.int64)), pa.array(sketch2[line].view(np.int64)), pa.array(keys[line]), pa.array(x.number[line]), pa.array(x.n[line] << 32 | pos)], ["bucket", "h", "sketch", "sketch2", "key", "number", "sizes"])
+        table = levels.value
+        for whole in batches:
+            for rows in slices(whole):
+                x = Lines(rows.column(1))
+                if not len(x.n):
+                    continue
+                keys = rows.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False)[x.owner]
+                h, (sketch, sketch2) = x.identity()[0], x.sketch()
+                first = np.lexsort((x.number, keys, h))
+                first = first[np.append(True, h[first][1:] != h[first][:-1])]
+                chosen = np.zeros(len(h), bool)
+                chosen[first] = True
+                word, level, place = in_order(x, table)
+                keep = (place < prefix_length(x.n, p, q)[x.line]) & (level > 1) & chosen[x.line]
+                word, level, place, line = word[keep], level[keep], place[keep], x.line[keep]
+                parts = np.minimum(np.ceil(lines_at(level) / HOT_TOKEN), 60_000).astype(np.uint64)
+                part = np.where(parts > 1, h[line] % parts + _U(1), _U(0))
+                yield _batch(_ENTRIES, ((word & _WORD) | part).view(np.int64), h[line].view(np.int64), sketch[line].view(np.int64), sketch2[line].view(np.int64), keys[line], x.number[line], x.n[line] << 32 | place)
 
     return docs.select("key", "text").mapInArrow(run, _ENTRY)
 
 
+# what meets in a bucket
+
+
+def _pick(c: dict[str, np.ndarray], o: np.ndarray) -> dict[str, np.ndarray]:
+    return {k: v[o] for k, v in c.items()}
+
+
 def _first_of_each(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Of the rows of a bucket with one token set, the earliest; sorted by bucket and size."""
+    """Of the rows of a bucket with one token set, the earliest; sorted by bucket, then from the earliest line to the last."""
     o = np.lexsort((c["number"], c["key"], c["h"], c["bucket"]))
     h, b = c["h"][o], c["bucket"][o]
     o = o[np.append(True, (h[1:] != h[:-1]) | (b[1:] != b[:-1]))]
-    o = o[np.lexsort((c["n"][o], c["bucket"][o]))]
-    return {k: v[o] for k, v in c.items()}
-
-
-def _candidates(c: dict[str, np.ndarray], p: int, q: int, every: np.ndarray | None):
-    """(later, earlier, complete) row numbers: what passes the length, positional and parity filters; the PER_BUCKET earliest for
-    each later line, or all for those in every."""
-    b, n, pos = c["bucket"], c["n"], c["pos"]
-    sketch, sketch2 = c["sketch"].view(np.uint64), c["sketch2"].view(np.uint64)
-    here, d, later, earlier = np.arange(len(b)), 1, [], []
-    wanted = None if every is None else np.isin(c["h"], every)
+    return _pick(c, o[np.lexsort((c["h"][o], c["number"][o], c["key"][o], c["bucket"][o]))])
+
+
+def _distance(c, x, y, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """(how many bits the sketches differ in, how many words similar sets of these sizes may differ in); the first is over the second where a filter rules a pair out."""
+    n1, n2 = c["n"][x], c["n"][y]
+    need = overlap_needed(n1, n2, p, q)
+    differ = n1 + n2 - 2 * need
+    bits = np.bitwise_count(c["sketch"][x] ^ c["sketch"][y]).astype(np.int64) + np.bitwise_count(c["sketch2"][x] ^ c["sketch2"][y])
+    fits = (p * np.maximum(n1, n2) <= q * np.minimum(n1, n2)) & (np.minimum(n1 - c["place"][x], n2 - c["place"][y]) >= need) & (differ > 0)
+    return np.where(fits, bits, differ + 1), differ
+
+
+def _closest(later, earlier, bits, differ):
+    """(later, earlier, bits, complete): for each later line the closest earlier ones: CLOSEST, or CLOSEST_IF_SURE where one is so close that it hardly fails."""
+    o = np.lexsort((earlier, bits, later))
+    later, earlier, bits, differ = later[o], earlier[o], bits[o], differ[o]
+    new = np.append(True, later[1:] != later[:-1]) if len(later) else np.empty(0, bool)
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(later)))
+    most = np.repeat(np.where(2 * bits[at] <= differ[at], CLOSEST_IF_SURE, CLOSEST), size)
+    keep = np.arange(len(later)) - np.repeat(at, size) < most
+    return later[keep], earlier[keep], bits[keep], (np.repeat(size, size) <= most)[keep]
+
+
+def _pairs(c: dict[str, np.ndarray], p: int, q: int):
+    """Pieces of (later, earlier, bits, complete) row numbers of what passes the length, positional and sketch filters in each bucket. c is as _first_of_each gives it."""
+    b = c["bucket"]
+    at = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.empty(0, np.int64)
+    size = np.diff(np.append(at, len(b)))
+    small = np.repeat(size <= SMALL_BUCKET, size)
+    here, d, found = np.flatnonzero(small), 1, []
     while len(here):
         here = here[here + d < len(b)]
-        there = here + d
-        here = here[(b[here] == b[there]) & (p * n[there] <= q * n[here])]
-        there = here + d
-        need = overlap_needed(n[here], n[there], p, q)
-        differ = n[here] + n[there] - 2 * need  # at most so many tokens; none would be the same set
-        ok = (differ > 0) & (np.minimum(n[here] - pos[here], n[there] - pos[there]) >= need) & (np.bitwise_count(sketch[here] ^ sketch[there]).astype(np.int64) + np.bitwise_count(sketch2[here] ^ sketch2[there]) <= differ)
-        x, y = here[ok], there[ok]
-        if len(x):
-            swap = np.lexsort(np.stack([np.stack([c["h"][x], c["h"][y]]), np.stack([c["number"][x], c["number"][y]]), np.stack([c["key"][x], c["key"][y]])]), axis=0)[0] == 0
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-            if wanted is not None:
-                x, y = x[wanted[x]], y[wanted[x]]
-            later.append(x)
-            earlier.append(y)
+        here = here[b[here] == b[here + d]]
+        bits, differ = _distance(c, here + d, here, p, q)
+        ok = bits <= differ
+        found.append((here[ok] + d, here[ok], bits[ok], differ[ok]))
         d += 1
-    if not later:
-        return (np.empty(0, np.int64),) * 3
-    x, y = np.concatenate(later), np.concatenate(earlier)
-    o = np.lexsort((c["h"][y], c["number"][y], c["key"][y], x))
-    x, y = x[o], y[o]
-    at = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
-    size = np.diff(np.append(at, len(x)))
-    if every is None:
-        rank = np.arange(len(x)) - np.repeat(at, size)
-        keep = rank < PER_BUCKET
-        return x[keep], y[keep], np.repeat(size <= PER_BUCKET, size)[keep].astype(np.int64)
-    return x, y, np.ones(len(x), np.int64)
-
-
-def candidates(entries: DataFrame, p: int, q: int, every=None) -> DataFrame:
-    """(h, key, number, h2, key2, number2, rest) of a later line and earlier ones that may be similar; rest is the bucket that may have more of
-    them, 0 if it has none."""
-    schema = pa.schema([(n, pa.int32() if n.startswith("number") else pa.int64()) for n in ("h", "key", "number", "h2", "key2", "number2", "rest")])
-
-    def meet(batches):
-        wanted = None if every is None else every.value
+    if found:
+        yield _closest(*(np.concatenate(z) for z in zip(*found, strict=True)))
+    for start, n in zip(at[size > SMALL_BUCKET].tolist(), size[size > SMALL_BUCKET].tolist(), strict=True):
+        found, held = [], 0
+        for k in range(start + 1, start + n):
+            bits, differ = _distance(c, slice(k, k + 1), slice(start, k), p, q)
+            ok = np.flatnonzero(bits <= differ)
+            if len(ok):
+                found.append(_closest(np.full(len(ok), k), ok + start, bits[ok], differ[ok]))
+                held += len(found[-1][0])
+            if held > 200_000:
+                yield tuple(np.concatenate(z) for z in zip(*found, strict=True))
+                found, held = [], 0
+        if found:
+            yield tuple(np.concatenate(z) for z in zip(*found, strict=True))
+
+
+_MET = "h bigint, key bigint, number bigint, h2 bigint, key2 bigint, number2 bigint, bits int, complete boolean, bucket bigint, sizes bigint"
+_PAIRS = pa.schema([(n, pa.int64()) for n in ("h", "key", "number", "h2", "key2", "number2")] + [("bits", pa.int32()), ("complete", pa.bool_()), ("bucket", pa.int64()), ("sizes", pa.int64())])
+
+
+def meet(entries: DataFrame, p: int, q: int, parts_meet: bool = False) -> DataFrame:
+    """Rows of a bucket meet: (h, key, number) of a later line and (h2, key2, number2) of a close earlier one, how many bits of their sketches differ,
+    and whether these are all of the bucket's that may be similar. Parts of a hot word only lose repeated token sets (unless parts_meet): they
+    come out as they are (bits null, the sketches as h2 and key2), for hot_entries."""
+
+    def run(batches):
         held: list[dict[str, np.ndarray]] = []
 
         def done(pieces):
             c = _first_of_each({k: np.concatenate([x[k] for x in pieces]) for k in pieces[0]})
-            x, y, complete = _candidates(c, p, q, wanted)
-            return pa.RecordBatch.from_arrays([pa.array(a) for a in (c["h"][x], c["key"][x], c["number"][x].astype(np.int32), c["h"][y], c["key"][y], c["number"][y].astype(np.int32), np.where(complete == 1, 0, c["bucket"][x]))], schema=schema)
+            part = np.zeros(len(c["h"]), bool) if parts_meet else (c["bucket"] & 0xFFFF) > 0
+            if part.any():
+                a = _pick(c, np.flatnonzero(part))
+                n = len(a["h"])
+                yield _batch(_PAIRS, a["h"], a["key"], a["number"], a["sketch"].view(np.int64), a["sketch2"].view(np.int64), np.zeros(n, np.int64), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), a["bucket"], a["n"] << 32 | a["place"])
+                c = _pick(c, np.flatnonzero(~part))
+            for x, y, bits, complete in _pairs(c, p, q):
+                none = pa.nulls(len(x), pa.int64())
+                yield _batch(_PAIRS, c["h"][x], c["key"][x], c["number"][x], c["h"][y], c["key"][y], c["number"][y], bits.astype(np.int32), complete, none, none)
 
         for batch in batches:
             c = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
             if not len(c["bucket"]):
                 continue
             sizes = c.pop("sizes")
-            c |= {"n": sizes >> 32, "pos": sizes & 0xFFFFFFFF}
+            c |= {"n": sizes >> 32, "place": sizes & 0xFFFFFFFF, "sketch": c["sketch"].view(np.uint64), "sketch2": c["sketch2"].view(np.uint64)}
             cut = int(np.searchsorted(c["bucket"], c["bucket"][-1]))
             if cut:
-                yield done([*held, {k: v[:cut] for k, v in c.items()}])
+                yield from done([*held, _pick(c, slice(0, cut))])
                 held = []
             elif held and held[-1]["bucket"][-1] != c["bucket"][0]:
-                yield done(held)
+                yield from done(held)
                 held = []
-            held.append({k: v[cut:] for k, v in c.items()})
-            if sum(len(x["h"]) for x in held) > 4 * HOT_TOKEN:
+            held.append(_pick(c, slice(cut, None)))
+            if sum(len(x["h"]) for x in held) > max(100_000, 2 * len(held[0]["h"])):
                 held = [_first_of_each({k: np.concatenate([x[k] for x in held]) for k in held[0]})]
         if held:
-            yield done(held)
+            yield from done(held)
+
+    return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _MET)
+
+
+def hot_entries(met: DataFrame) -> DataFrame | None:
+    """The lines of hot words dealt out by how many token sets a word really has: one bucket for each two salts, so that every two lines meet in one. None without any."""
+    hot = met.filter("bits is null").withColumn("word", F.col("bucket").bitwiseAND(F.lit(-(1 << 16))))
+    if hot.isEmpty():
+        return None
+    count = hot.groupBy("word").agg(F.ceil(F.count("*") / HOT_TOKEN).cast("bigint").alias("salts"))
+    if count.count() <= BROADCAST_ROWS:
+        count = F.broadcast(count)
+    own = F.pmod(F.xxhash64("h"), F.col("salts"))
+    dealt = hot.join(count, "word").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    bucket = F.xxhash64("word", F.least("own", "other"), F.greatest("own", "other"))
+    return dealt.select(bucket.alias("bucket"), "h", F.col("h2").alias("sketch"), F.col("key2").alias("sketch2"), "key", "number", "sizes")
 
-    return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "h bigint, key bigint, number int, h2 bigint, key2 bigint, number2 int, rest bigint").distinct()
 
+# verification
 
-def _tokens_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(h, tokens): the words themselves of the lines (h, key, number)."""
-    by_doc = lines.groupBy("key").agg(F.collect_list(F.struct("number", "h")).alias("wanted"))
-    if lines.count() <= BROADCAST_ROWS:
+
+def _lines_of(docs: DataFrame, wanted: DataFrame, columns: str, run) -> DataFrame:
+    """run over batches of (text, wanted lines [(number, h)]) of the documents that hold the lines (h, key, number)."""
+    by_doc = wanted.groupBy("key").agg(F.collect_list(F.struct("number", "h")).alias("wanted"))
+    if wanted.count() <= BROADCAST_ROWS:
         by_doc = F.broadcast(by_doc)
-    picked = docs.select(F.coalesce("key", F.lit(NULL_KEY)).alias("key"), "text").join(by_doc, "key").select("text", "wanted")
+    return docs.select(F.coalesce("key", F.lit(NULL_KEY)).alias("key"), "text").join(by_doc, "key").select("text", "wanted").mapInArrow(run, columns)
+
+
+def _picked(rows: pa.RecordBatch) -> tuple[list[int], Lines]:
+    """The wanted lines of a batch of (text, wanted): their h and their words; a document of another text under the same key gives nothing."""
+    h, lines = [], []
+    for text, wanted in zip(rows.column(0), rows.column(1), strict=True):
+        own = (text.as_py() or "").split("\n")
+        for w in wanted.as_py():
+            if w["number"] < len(own):
+                h.append(w["h"])
+                lines.append(own[w["number"]])
+    x = Lines(pa.array(lines, pa.string()))
+    return h, x
+
+
+def tokens_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, tokens): the word hashes of the lines (h, key, number)."""
+    schema = pa.schema([("h", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in batches:
-            asked, lines = [], []
-            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = (text or "").split("\n")
-                for w in wanted:
-                    if w["number"] < len(own):
-                        asked.append(w["h"])
-                        lines.append(own[w["number"]])
-            out: dict[int, list[str]] = {}
-            x = Lines(lines)
-            for k, h in zip(x.owner.tolist(), x.identity().view(np.int64).tolist(), strict=True):
-                if asked[k] == h:
-                    out[h] = sorted({w.decode("utf-8", "surrogatepass") for w in lines[k].encode("utf-8", "surrogatepass").lower().split()})
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.list_(pa.string()))], ["h", "tokens"])
-
-    return picked.mapInArrow(run, "h bigint, tokens array<string>")
-
-
-def _verify(docs: DataFrame, pairs: DataFrame, p: int, q: int) -> DataFrame:
-    """h of later lines that an earlier line is similar to, by the words themselves."""
-    lines = materialize(pairs.select("h", "key", "number").union(pairs.select("h2", "key2", "number2")).distinct())
-    tokens = materialize(_tokens_of(docs, lines))
-    both = pairs.select("h", "h2").distinct().join(tokens, "h").join(tokens.select(F.col("h").alias("h2"), F.col("tokens").alias("tokens2")), "h2")
+        for whole in batches:
+            for rows in slices(whole):
+                h, x = _picked(rows)
+                same = np.array(h, np.int64)[x.owner] == x.identity()[0].view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(x.start, len(x.token)).astype(np.int32)), pa.array(x.token.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.int64)[x.owner]), lists], schema=schema).filter(pa.array(same))
+
+    return _lines_of(docs, wanted, "h bigint, tokens array<bigint>", run).dropDuplicates(["h"])
+
+
+def verified(docs: DataFrame, pairs: DataFrame, p: int, q: int) -> DataFrame:
+    """(h, key, number) of the later lines of the pairs that an earlier line is similar to, by their words."""
+    wanted = materialize(pairs.select("h", "key", "number").union(pairs.select("h2", "key2", "number2")).distinct())
+    tokens = materialize(tokens_of(docs, wanted))
+    both = pairs.select("h", "key", "number", "h2").join(tokens, "h").join(tokens.select(F.col("h").alias("h2"), F.col("tokens").alias("tokens2")), "h2")
     common = F.size(F.array_intersect("tokens", "tokens2"))
-    return both.filter(common * q >= (F.size("tokens") + F.size("tokens2") - common) * p).select("h").distinct()
+    return materialize(both.filter(common * q >= (F.size("tokens") + F.size("tokens2") - common) * p).select("h", "key", "number").distinct())
+
+
+def searched(docs: DataFrame, few: pa.Table, tokens: pa.Table, levels, p: int, q: int) -> DataFrame:
+    """(h, key, number) of the few lines that any earlier line of all documents is similar to: every line meets the few by their prefixes and is
+    compared at once."""
+    words = {h: np.sort(t.values.to_numpy().view(np.uint64)) for h, t in zip(tokens["h"].to_pylist(), tokens["tokens"].combine_chunks(), strict=True)}
+    own = [(k, n, h) for k, n, h in zip(few["key"].to_pylist(), few["number"].to_pylist(), few["h"].to_pylist(), strict=True) if h in words]
+    shared = docs.sparkSession.sparkContext.broadcast((own, [words[o[2]] for o in own]))
+    schema = pa.schema([("h", pa.int64()), ("key", pa.int64()), ("number", pa.int64())])
+
+    def run(batches):
+        own, sets = shared.value
+        of: dict[int, list[int]] = {}
+        for i, s in enumerate(sets):
+            level = levels.value[(s >> _U(64 - FREQUENCY_BITS)).astype(np.int64)]
+            for t in s[np.lexsort((s, level))][: prefix_length(len(s), p, q)].tolist():
+                of.setdefault(t, []).append(i)
+        known = np.array(sorted(of), np.uint64)
+        hit: set[int] = set()
+        for whole in batches:
+            for rows in slices(whole):
+                x = Lines(rows.column(1))
+                keys = rows.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False)
+                word, _, place = in_order(x, levels.value)
+                at = np.flatnonzero((place < prefix_length(x.n, p, q)[x.line]) & np.isin(word, known))
+                for line, t in {(int(x.line[k]), int(word[k])) for k in at}:
+                    position = int(keys[x.owner[line]]), int(x.number[line])
+                    mine = x.token[x.start[line] : x.start[line] + x.n[line]]
+                    for i in of[t]:
+                        s = sets[i]
+                        if i not in hit and position < own[i][:2] and p * max(len(s), len(mine)) <= q * min(len(s), len(mine)):
+                            common = len(np.intersect1d(s, mine, assume_unique=True))
+                            if common < len(s) + len(mine) - common and common * q >= (len(s) + len(mine) - common) * p:
+                                hit.add(i)
+        rows = [own[i] for i in sorted(hit)]
+        yield _batch(schema, [r[2] for r in rows], [r[0] for r in rows], [r[1] for r in rows])
+
+    return docs.select("key", "text").mapInArrow(run, "h bigint, key bigint, number bigint").distinct()
 
 
 def similar_later_lines(docs: DataFrame, lines: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(h): token sets of which the earliest line has an earlier, different but similar line. docs: key, text; lines: line_table(docs)."""
+    """(h, key, number): first lines of token sets that have an earlier, different but similar line. docs: key, text; lines: line_table(docs)."""
     spark = docs.sparkSession
     p, q = _shares(similarity)
-    frequency = spark.sparkContext.broadcast(token_frequency(lines))
-    entries = prefixes(docs, frequency, p, q)
-    earliest = F.row_number().over(W.partitionBy("h").orderBy("key2", "number2", "h2"))
-    pairs = materialize(candidates(entries, p, q).withColumn("rank", earliest))
-    found = materialize(_verify(docs, pairs.filter("rank = 1"), p, q))
-    found = found.union(materialize(_verify(docs, pairs.filter("rank > 1").join(found, "h", "left_anti"), p, q)))
-    rest = materialize(pairs.filter("rest <> 0").select("h", "rest").distinct().join(found, "h", "left_anti"))
-    blocks = -(-rest.count() // UNRESOLVED_BLOCK)
-    for block in range(blocks):  # lines none of whose first candidates held: all candidates in the buckets that had more
-        few = rest.filter(F.pmod(F.xxhash64("h"), F.lit(blocks)) == block).toArrow()
-        h, buckets = (spark.sparkContext.broadcast(np.unique(few[c].to_numpy())) for c in ("h", "rest"))
-        more = materialize(candidates(prefixes(docs, frequency, p, q, buckets), p, q, h))
-        found = found.union(materialize(_verify(docs, more, p, q)))
-    return found.distinct()
+    levels = spark.sparkContext.broadcast(word_levels(lines))
+    met = materialize(meet(prefixes(docs, levels, p, q), p, q))
+    pairs, more = met.filter("bits is not null"), hot_entries(met)
+    if more is not None:
+        pairs = pairs.unionByName(materialize(meet(more, p, q, parts_meet=True)))
+    best = F.min(F.struct("bits", "key2", "number2", "h2"))
+    first = pairs.groupBy("h", "key", "number").agg(best.alias("b"), F.min("complete").alias("complete"))
+    first = materialize(first.select("h", "key", "number", "b.h2", "b.key2", "b.number2", "complete"))
+    found = verified(docs, first, p, q)
+    rest = pairs.join(found.select("h"), "h", "left_anti").select("h", "key", "number", "h2", "key2", "number2").distinct()
+    rest = materialize(rest.join(first.select("h", "h2"), ["h", "h2"], "left_anti"))
+    if not rest.isEmpty():
+        found = found.unionByName(verified(docs, rest, p, q))
+    open_ = materialize(first.filter("not complete").select("h", "key", "number").join(found.select("h"), "h", "left_anti"))
+    for block in range(blocks := -(-open_.count() // UNRESOLVED_BLOCK)):  # lines of which the closest ones failed, but there are more
+        few = materialize(open_.filter(F.pmod(F.xxhash64("h"), F.lit(blocks)) == block))
+        found = found.unionByName(materialize(searched(docs, few.toArrow(), tokens_of(docs, few).toArrow(), levels, p, q)))
+    return found
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = 0.8) -> DataFrame:
@@ -349,32 +403,22 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", simila
     one result. Extra columns pass, but for n_lines and n_removed; an empty table stays empty.
     """
     source = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
-
-    lines = materialize(line_table(source))
-    first = lines.filter("kind = 0").groupBy("h").agg(F.min(F.struct("key", "number", "th")).alias("first"))
-    kept = first.join(similar_later_lines(source.select("key", "text"), lines, similarity), "h", "left_anti").select("first.*")
-    same = (F.col("a.number") == F.col("b.number")) & F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.th") == F.col("b.th"))
-    gone = materialize(lines.filter("kind = 0").alias("a").join(kept.alias("b"), same, "left_anti").select("key", "th", "number"))
-    by_doc = gone.groupBy(F.col("key").alias("__key"), F.col("th").alias("__th")).agg(F.collect_list("number").alias("__gone"))
+    table = materialize(line_table(source))
+    lines = table.filter("page is null").select("h", "g", "key", "number", "th")
+    similar = similar_later_lines(source.select("key", "text"), table, similarity).select("h", F.col("key").alias("k"), F.col("number").cast("int").alias("number"))
+    first = lines.groupBy("h", "g").agg(F.min(F.struct(F.coalesce("key", F.lit(NULL_KEY)).alias("k"), "number", "th")).alias("first")).select("h", "first.*")
+    kept = first.join(similar, ["h", "k", "number"], "left_anti").select("k", "number", "th")
+    gone = materialize(lines.select(F.coalesce("key", F.lit(NULL_KEY)).alias("k"), "th", "number").join(kept, ["k", "number", "th"], "left_anti"))
+    by_doc = gone.groupBy(F.col("k").alias("__key"), F.col("th").alias("__th")).agg(F.collect_set("number").alias("__gone"))
     if gone.count() <= BROADCAST_ROWS:
         by_doc = F.broadcast(by_doc)
-    joined = docs.join(by_doc, F.col(key).cast("bigint").eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__th")), "left")
-
-    def rewrite(batch: pa.RecordBatch) -> list:
-        column = lambda n: batch.column(batch.schema.get_field_index(n))
-        out, n_lines, n_removed = [], [], []
-        for t, gone in zip(column(text), column("__gone"), strict=True):
-            t = t.as_py()
-            lines = [] if t is None else t.split("\n")
-            own = set(gone.as_py() or ())
-            left = [x for k, x in enumerate(lines) if k not in own]
-            out.append(None if t is None else "\n".join(left))
-            n_lines.append(len(lines))
-            n_removed.append(len(lines) - len(left))
-        return [out, n_lines, n_removed]
-
-    made = with_columns(joined, f"`{text}` string, n_lines bigint, n_removed bigint", rewrite).drop("__key", "__th", "__gone")
-    return made.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    joined = docs.join(by_doc, (F.coalesce(F.col(key).cast("bigint"), F.lit(NULL_KEY)) == F.col("__key")) & (F.xxhash64(text) == F.col("__th")), "left")
+    parts = F.split(F.col(text), "\n", -1)
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__gone"), lambda i: F.get(parts, i))
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("bigint")
+    n_removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("bigint")
+    own = [F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*own, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,7 +150,9 @@ def test_line_dedup_when_hot_or_unresolved(spark, monkeypatch):
     rng = random.Random(5)
     docs = [(i, "\n".join(" ".join(["the", "of", *(f"z{rng.randrange(6)}" for _ in range(5))]) for _ in range(3))) for i in range(80)]
     monkeypatch.setattr(line_dedup, "HOT_TOKEN", 20)
-    monkeypatch.setattr(line_dedup, "PER_BUCKET", 1)
+    monkeypatch.setattr(line_dedup, "CLOSEST", 1)
+    monkeypatch.setattr(line_dedup, "CLOSEST_IF_SURE", 1)
+    monkeypatch.setattr(line_dedup, "SMALL_BUCKET", 3)
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert got == brute_lines(docs)
 
