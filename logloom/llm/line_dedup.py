@@ -18,9 +18,10 @@ from logloom.llm.words import Lines, by_group
 
 FREQUENCY_BITS = 23
 PAGE_BITS = 13
-HOT_TOKEN = 5_000  # lines; the pairs of a word on more lines are dealt out by salts
-SMALL_BUCKET = 64
-CLOSEST, CLOSEST_IF_SURE = 32, 2  # earlier lines that a line is compared with in a bucket at first; what these leave open is searched in full
+HOT_TOKEN = 2_000  # lines; the pairs of a word on more lines are dealt out by salts
+SMALL_BUCKET, TILE = 24, 128
+HELD_ROWS, HELD_PAIRS = 100_000, 500_000
+CLOSEST, CLOSEST_IF_SURE = 32, 4  # earlier lines that a line is compared with in a bucket at first; what these leave open is searched in full
 BROADCAST_ROWS = 2_000_000
 UNRESOLVED_BLOCK = 50_000
 NULL_KEY = -(2**63)
@@ -182,47 +183,75 @@ def _distance(c, x, y, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(fits, bits, differ + 1), differ
 
 
-def _closest(later, earlier, bits, differ):
-    """(later, earlier, bits, complete): for each later line the closest earlier ones: CLOSEST, or CLOSEST_IF_SURE where one is so close that it hardly fails."""
+def _closest(c, later, earlier, bits, differ, complete):
+    """For each later line the closest earlier ones: CLOSEST, or CLOSEST_IF_SURE where one is so close that it hardly fails; complete turns false where there were more."""
     o = np.lexsort((earlier, bits, later))
-    later, earlier, bits, differ = later[o], earlier[o], bits[o], differ[o]
-    new = np.append(True, later[1:] != later[:-1]) if len(later) else np.empty(0, bool)
-    at = np.flatnonzero(new)
+    later, earlier, bits, differ, complete = later[o], earlier[o], bits[o], differ[o], complete[o]
+    at = np.flatnonzero(np.append(True, later[1:] != later[:-1])) if len(later) else np.empty(0, np.int64)
     size = np.diff(np.append(at, len(later)))
-    most = np.repeat(np.where(2 * bits[at] <= differ[at], CLOSEST_IF_SURE, CLOSEST), size)
-    keep = np.arange(len(later)) - np.repeat(at, size) < most
-    return later[keep], earlier[keep], bits[keep], (np.repeat(size, size) <= most)[keep]
+    most = np.where(2 * bits[at] <= differ[at], CLOSEST_IF_SURE, CLOSEST)
+    complete = np.repeat(np.logical_and.reduceat(complete, at) & (size <= most), size) if len(at) else complete
+    keep = np.arange(len(later)) - np.repeat(at, size) < np.repeat(most, size)
+    return later[keep], earlier[keep], bits[keep], differ[keep], complete[keep]
+
+
+def _joined(pieces: list[tuple]) -> tuple:
+    return tuple(np.concatenate(z) for z in zip(*pieces, strict=True))
+
+
+def _within(c: dict[str, np.ndarray], start: int, n: int, p: int, q: int):
+    """Pieces of row pairs of one bucket whose sketches are close: rows are ordered by size, and tiles of them compared with those of fitting sizes."""
+    rows = start + np.argsort(c["n"][start : start + n], kind="stable")
+    size, sketch, sketch2 = c["n"][rows], c["sketch"][rows], c["sketch2"][rows]
+    ends = np.searchsorted(size, size * q // p, "right")
+    for i in range(0, n, TILE):
+        end = int(ends[min(i + TILE, n) - 1])
+        a, b = slice(i, min(i + TILE, n)), slice(i, end)
+        bits = np.bitwise_count(sketch[a, None] ^ sketch[None, b])  # at most 128 of 255
+        bits += np.bitwise_count(sketch2[a, None] ^ sketch2[None, b])
+        most = int(size[a][-1] + size[end - 1])
+        x, y = np.nonzero(bits <= most * (q - p) // (p + q))  # no two sets of the tile may differ in more words
+        x, y = x[x < y], y[x < y]
+        x, y = rows[i + x], rows[i + y]
+        yield np.maximum(x, y), np.minimum(x, y)
 
 
 def _pairs(c: dict[str, np.ndarray], p: int, q: int):
-    """Pieces of (later, earlier, bits, complete) row numbers of what passes the length, positional and sketch filters in each bucket. c is as _first_of_each gives it."""
+    """Pieces of (later, earlier, bits, differ, complete) of row numbers of what passes the length, positional and sketch filters in each bucket. c is as
+    _first_of_each gives it: in a bucket the later line has the higher number."""
     b = c["bucket"]
     at = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.empty(0, np.int64)
     size = np.diff(np.append(at, len(b)))
-    small = np.repeat(size <= SMALL_BUCKET, size)
-    here, d, found = np.flatnonzero(small), 1, []
+    here, d, found, held = np.flatnonzero(np.repeat(size <= SMALL_BUCKET, size)), 1, [], 0
+
+    def passed(later, earlier):
+        bits, differ = _distance(c, later, earlier, p, q)
+        ok = bits <= differ
+        return later[ok], earlier[ok], bits[ok], differ[ok], np.ones(int(ok.sum()), bool)
+
     while len(here):
         here = here[here + d < len(b)]
         here = here[b[here] == b[here + d]]
-        bits, differ = _distance(c, here + d, here, p, q)
-        ok = bits <= differ
-        found.append((here[ok] + d, here[ok], bits[ok], differ[ok]))
+        found.append(passed(here + d, here))
         d += 1
     if found:
-        yield _closest(*(np.concatenate(z) for z in zip(*found, strict=True)))
+        yield _closest(c, *_joined(found))
+    found = []
     for start, n in zip(at[size > SMALL_BUCKET].tolist(), size[size > SMALL_BUCKET].tolist(), strict=True):
-        found, held = [], 0
-        for k in range(start + 1, start + n):
-            bits, differ = _distance(c, slice(k, k + 1), slice(start, k), p, q)
-            ok = np.flatnonzero(bits <= differ)
-            if len(ok):
-                found.append(_closest(np.full(len(ok), k), ok + start, bits[ok], differ[ok]))
-                held += len(found[-1][0])
-            if held > 200_000:
-                yield tuple(np.concatenate(z) for z in zip(*found, strict=True))
-                found, held = [], 0
-        if found:
-            yield tuple(np.concatenate(z) for z in zip(*found, strict=True))
+        own, more = [], 0
+        for later, earlier in _within(c, start, n, p, q):
+            own.append(passed(later, earlier))
+            more += len(own[-1][0])
+            if more > HELD_PAIRS:
+                own = [_closest(c, *_joined(own))]
+                more = 0
+        found += own
+        held += more
+        if held > HELD_PAIRS:
+            yield _closest(c, *_joined(found))
+            found, held = [], 0
+    if found:
+        yield _closest(c, *_joined(found))
 
 
 _MET = "h bigint, key bigint, number bigint, h2 bigint, key2 bigint, number2 bigint, bits int, complete boolean, bucket bigint, sizes bigint"
@@ -245,7 +274,7 @@ def meet(entries: DataFrame, p: int, q: int, parts_meet: bool = False) -> DataFr
                 n = len(a["h"])
                 yield _batch(_PAIRS, a["h"], a["key"], a["number"], a["sketch"].view(np.int64), a["sketch2"].view(np.int64), np.zeros(n, np.int64), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), a["bucket"], a["n"] << 32 | a["place"])
                 c = _pick(c, np.flatnonzero(~part))
-            for x, y, bits, complete in _pairs(c, p, q):
+            for x, y, bits, _, complete in _pairs(c, p, q):
                 none = pa.nulls(len(x), pa.int64())
                 yield _batch(_PAIRS, c["h"][x], c["key"][x], c["number"][x], c["h"][y], c["key"][y], c["number"][y], bits.astype(np.int32), complete, none, none)
 
@@ -255,16 +284,17 @@ def meet(entries: DataFrame, p: int, q: int, parts_meet: bool = False) -> DataFr
                 continue
             sizes = c.pop("sizes")
             c |= {"n": sizes >> 32, "place": sizes & 0xFFFFFFFF, "sketch": c["sketch"].view(np.uint64), "sketch2": c["sketch2"].view(np.uint64)}
+            held.append(c)
+            n = sum(len(x["h"]) for x in held)
+            if n < HELD_ROWS:
+                continue
+            c = {k: np.concatenate([x[k] for x in held]) for k in c}
             cut = int(np.searchsorted(c["bucket"], c["bucket"][-1]))
             if cut:
-                yield from done([*held, _pick(c, slice(0, cut))])
-                held = []
-            elif held and held[-1]["bucket"][-1] != c["bucket"][0]:
-                yield from done(held)
-                held = []
-            held.append(_pick(c, slice(cut, None)))
-            if sum(len(x["h"]) for x in held) > max(100_000, 2 * len(held[0]["h"])):
-                held = [_first_of_each({k: np.concatenate([x[k] for x in held]) for k in held[0]})]
+                yield from done([_pick(c, slice(0, cut))])
+            held = [_pick(c, slice(cut, None))]
+            if len(held[0]["h"]) >= HELD_ROWS // 2:
+                held = [_first_of_each(held[0])]
         if held:
             yield from done(held)
 
@@ -289,47 +319,51 @@ def hot_entries(met: DataFrame) -> DataFrame | None:
 
 
 def _lines_of(docs: DataFrame, wanted: DataFrame, columns: str, run) -> DataFrame:
-    """run over batches of (text, wanted lines [(number, h)]) of the documents that hold the lines (h, key, number)."""
-    by_doc = wanted.groupBy("key").agg(F.collect_list(F.struct("number", "h")).alias("wanted"))
+    """run over batches of (text, key, wanted lines) of the documents that hold the lines (h, key, number, of, later)."""
+    by_doc = wanted.groupBy("key").agg(F.collect_list(F.struct("number", "h", "of", "later")).alias("wanted"))
     if wanted.count() <= BROADCAST_ROWS:
         by_doc = F.broadcast(by_doc)
-    return docs.select(F.coalesce("key", F.lit(NULL_KEY)).alias("key"), "text").join(by_doc, "key").select("text", "wanted").mapInArrow(run, columns)
+    return docs.select(F.coalesce("key", F.lit(NULL_KEY)).alias("key"), "text").join(by_doc, "key").select("text", "key", "wanted").mapInArrow(run, columns)
 
 
-def _picked(rows: pa.RecordBatch) -> tuple[list[int], Lines]:
-    """The wanted lines of a batch of (text, wanted): their h and their words; a document of another text under the same key gives nothing."""
-    h, lines = [], []
-    for text, wanted in zip(rows.column(0), rows.column(1), strict=True):
-        own = (text.as_py() or "").split("\n")
-        for w in wanted.as_py():
-            if w["number"] < len(own):
-                h.append(w["h"])
-                lines.append(own[w["number"]])
-    x = Lines(pa.array(lines, pa.string()))
-    return h, x
+_TOKENS = "h bigint, key bigint, number bigint, of bigint, later bigint, tokens array<bigint>"
 
 
 def tokens_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, tokens): the word hashes of the lines (h, key, number)."""
-    schema = pa.schema([("h", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    """The lines (h, key, number, of, later) with tokens, their word hashes. A document of another text under the same key gives nothing."""
+    schema = pa.schema([(n, pa.int64()) for n in ("h", "key", "number", "of", "later")] + [("tokens", pa.list_(pa.int64()))])
 
     def run(batches):
         for whole in batches:
             for rows in slices(whole):
-                h, x = _picked(rows)
-                same = np.array(h, np.int64)[x.owner] == x.identity()[0].view(np.int64)
+                asked, lines = [], []
+                for text, key, wanted in zip(rows.column(0), rows.column(1).to_pylist(), rows.column(2), strict=True):
+                    own = (text.as_py() or "").split("\n")
+                    for w in wanted.as_py():
+                        if w["number"] < len(own):
+                            asked.append((w["h"], key, w["number"], w["of"], w["later"]))
+                            lines.append(own[w["number"]])
+                x = Lines(pa.array(lines, pa.string()))
+                asked = np.array(asked, np.int64).reshape(-1, 5)[x.owner]
+                same = (asked[:, 0] == x.identity()[0].view(np.int64)) & (x.number == 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(x.start, len(x.token)).astype(np.int32)), pa.array(x.token.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.int64)[x.owner]), lists], schema=schema).filter(pa.array(same))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(asked[:, i])) for i in range(5)), lists], schema=schema).filter(pa.array(same))
+
+    return _lines_of(docs, wanted, _TOKENS, run)
+
 
-    return _lines_of(docs, wanted, "h bigint, tokens array<bigint>", run).dropDuplicates(["h"])
+def _alone(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("of", F.col("h")).withColumn("later", F.lit(0).cast("bigint"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, p: int, q: int) -> DataFrame:
-    """(h, key, number) of the later lines of the pairs that an earlier line is similar to, by their words."""
-    wanted = materialize(pairs.select("h", "key", "number").union(pairs.select("h2", "key2", "number2")).distinct())
-    tokens = materialize(tokens_of(docs, wanted))
-    both = pairs.select("h", "key", "number", "h2").join(tokens, "h").join(tokens.select(F.col("h").alias("h2"), F.col("tokens").alias("tokens2")), "h2")
+    """(h, key, number) of the later lines of the pairs that an earlier line is similar to, by their words. Each line's words are moved once: to its
+    pair's earlier line, of which there may be many pairs."""
+    later = pairs.select("h", "key", "number", F.col("h2").alias("of"), F.lit(1).cast("bigint").alias("later"))
+    tokens = materialize(tokens_of(docs, materialize(later.unionByName(_alone(pairs.select(F.col("h2").alias("h"), F.col("key2").alias("key"), F.col("number2").alias("number")).distinct())))))
+    other = tokens.filter("later = 0").select("of", F.col("tokens").alias("tokens2"))
     common = F.size(F.array_intersect("tokens", "tokens2"))
+    both = tokens.filter("later = 1").join(other, "of")
     return materialize(both.filter(common * q >= (F.size("tokens") + F.size("tokens2") - common) * p).select("h", "key", "number").distinct())
 
 
@@ -391,7 +425,8 @@ def similar_later_lines(docs: DataFrame, lines: DataFrame, similarity: float = 0
     open_ = materialize(first.filter("not complete").select("h", "key", "number").join(found.select("h"), "h", "left_anti"))
     for block in range(blocks := -(-open_.count() // UNRESOLVED_BLOCK)):  # lines of which the closest ones failed, but there are more
         few = materialize(open_.filter(F.pmod(F.xxhash64("h"), F.lit(blocks)) == block))
-        found = found.unionByName(materialize(searched(docs, few.toArrow(), tokens_of(docs, few).toArrow(), levels, p, q)))
+        words = tokens_of(docs, _alone(few)).select("h", "tokens")
+        found = found.unionByName(materialize(searched(docs, few.toArrow(), words.toArrow(), levels, p, q)))
     return found
 
 
@@ -414,8 +449,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", simila
         by_doc = F.broadcast(by_doc)
     joined = docs.join(by_doc, (F.coalesce(F.col(key).cast("bigint"), F.lit(NULL_KEY)) == F.col("__key")) & (F.xxhash64(text) == F.col("__th")), "left")
     parts = F.split(F.col(text), "\n", -1)
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__gone"), lambda i: F.get(parts, i))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("bigint")
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).cast("bigint")
+    left = F.transform(F.array_except(F.sequence(F.lit(0), n_lines.cast("int") - 1), "__gone"), lambda i: F.get(parts, i))
     n_removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("bigint")
     own = [F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(*own, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
