@@ -24,23 +24,58 @@ MIN_LENGTH = 20
 KINDS = ("assign", "access", "hex", "random")
 FALSE_DISCOVERY = 0.05
 BIN, BINS = 0.02, 3000
+BLOCK = 256
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _folded(parts: Column, item: str, step) -> Column:
+    """What step(number, part) -> (number, items) gives over the parts in turn, the number from 0: array of items. Folded over blocks of BLOCK
+    parts, so that many parts take work in proportion to them (an array that grows by one is copied each time)."""
+
+    def add(a: Column, x: Column) -> Column:
+        at, items = step(a["at"], x)
+        return F.struct(at.alias("at"), F.concat(a["found"], items).alias("found"))
+
+    def block(a: Column, x: Column) -> Column:
+        empty = F.struct(a["at"].alias("at"), F.expr(f"CAST(array() AS array<{item}>)").alias("found"))
+        return _bound(F.aggregate(x, empty, add), lambda own: F.struct(own["at"].alias("at"), F.concat(a["blocks"], F.array(own["found"])).alias("blocks")))
+
+    blocks = lambda x: F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / BLOCK)), lambda i: F.slice(x, (i * BLOCK + 1).cast("int"), BLOCK))
+    none = F.expr(f"struct(0 AS at, CAST(array() AS array<array<{item}>>) AS blocks)")
+    return F.flatten(F.aggregate(_bound(parts, lambda x: F.filter(blocks(x), lambda own: F.size(own) > 0)), none, block, lambda a: a["blocks"]))
+
+
+_MATCH = "struct<start: int, end: int, text: string, value: string>"
+_FOUND = "struct<start: int, kind: int, end: int>"
+
+
 def matches(text: Column, pattern: str, value_group: int = 0) -> Column:
     """array<struct<start, end, text, value>> of the leftmost non-overlapping matches, in code points; no match: empty."""
     whole, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
-    gaps = F.split(text, pattern, -1)
-    parts = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
-    none = F.expr("struct(0 AS at, CAST(array() AS array<struct<start: int, end: int, text: string, value: string>>) AS found)")
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))
 
-    def add(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         end = start + F.length(x["whole"])
-        return F.struct(end.alias("at"), F.concat(a["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["whole"].alias("text"), x["value"].alias("value")))).alias("found"))
+        return end, F.array(F.struct(start.alias("start"), end.alias("end"), x["whole"].alias("text"), x["value"].alias("value")))
+
+    found = _folded(F.slice(parts, 1, F.size(whole)), _MATCH, step)  # the text after the last match is no part
+    return F.when(text.rlike(pattern), found).otherwise(F.expr(f"CAST(array() AS array<{_MATCH}>)"))
+
+
+def _outside(spans: Column) -> Column:
+    """Of spans sorted by start and kind, those of kind random that lie in a pattern's span go."""
 
-    found = F.aggregate(parts, none, add, lambda a: a["found"])
-    return F.when(text.rlike(pattern), found).otherwise(none["found"])
+    def step(end: Column, x: Column) -> tuple[Column, Column]:
+        own = F.array(F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+        return F.when(x["kind"] < 3, F.greatest(end, x["end"])).otherwise(end), F.when((x["kind"] == 3) & (x["end"] <= end), F.slice(own, 1, 0)).otherwise(own)
+
+    return _folded(spans, _FOUND, step)
 
 
 def _upper_tail(z: Column) -> Column:
@@ -55,38 +90,52 @@ def encoding(token: Column) -> Column:
 
 
 def randomness(token: Column) -> Column:
-    """struct<encoding, n, p>: p is the joined p-value of the three tests; null encoding and p where none can be told."""
+    """struct<encoding, size, n, codes>: the encoding, its alphabet's size, the number of symbols, and each symbol's place in the alphabet."""
     kind = encoding(token)
     body = F.regexp_replace(token, "=+$", "")
     plain = F.when(kind == "hex", F.lower(body)).otherwise(F.translate(body, "-_", "+/"))
     alphabet = F.when(kind == "hex", ALPHABETS["hex"]).when(kind == "base32", ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
-    codes = F.transform(F.sequence(F.lit(1), F.length(body)), lambda i: F.call_function("locate", F.substring(plain, i, F.lit(1)), alphabet).cast("double") - 1)
-    return F.struct(kind.alias("encoding"), F.length(alphabet).cast("double").alias("size"), F.length(body).cast("double").alias("n"), codes.alias("codes"))
+
+    def coded(x: Column) -> Column:
+        codes = F.transform(F.split(x["plain"], ""), lambda c: F.call_function("locate", c, x["alphabet"]).cast("double") - 1)
+        return F.struct(x["encoding"].alias("encoding"), F.length(x["alphabet"]).cast("double").alias("size"), F.length(x["plain"]).cast("double").alias("n"), codes.alias("codes"))
+
+    return _bound(F.struct(kind.alias("encoding"), plain.alias("plain"), alphabet.alias("alphabet")), coded)
 
 
 def _p_value(x: Column) -> Column:
-    """Of a struct that randomness() makes."""
+    """Fisher's joined p-value of the three tests, of a struct that randomness() makes. One fold over the symbols takes all sums."""
     n, size, codes = x["n"], x["size"], x["codes"]
     zero = F.lit(0.0)
     squares = F.aggregate(F.transform(F.sequence(F.lit(0), size.cast("int") - 1), lambda k: F.size(F.filter(codes, lambda c: c == k)).cast("double")), zero, lambda a, c: a + c * c)
-    df = size - 1
-    chi = squares * size / n - n
-    spread = 2 / (9 * df)
-    p_chi = _upper_tail((F.pow(F.greatest(chi, zero) / df, F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread))
-    high = F.transform(codes, lambda c: c * 2 >= size)
-    n1 = F.size(F.filter(high, lambda h: h)).cast("double")
-    n2 = n - n1
-    pairs = F.sequence(F.lit(1), n.cast("int") - 1)
-    runs = 1 + F.size(F.filter(pairs, lambda i: F.element_at(high, i) != F.element_at(high, i + 1))).cast("double")
-    expected = 2 * n1 * n2 / n + 1
-    variance = (expected - 1) * (expected - 2) / (n - 1)
-    p_runs = F.when(variance > 0, F.least(2 * _upper_tail(F.abs(runs - expected) / F.sqrt(variance)), F.lit(1.0))).otherwise(F.lit(1e-12))
-    mean = F.aggregate(codes, zero, lambda a, c: a + c) / n
-    total = F.aggregate(codes, zero, lambda a, c: a + (c - mean) * (c - mean))
-    cross = F.aggregate(pairs, zero, lambda a, i: a + (F.element_at(codes, i) - mean) * (F.element_at(codes, i + 1) - mean))
-    p_serial = F.when(total > 0, F.least(2 * _upper_tail(F.abs(cross / total + 1 / n) * F.sqrt(n)), F.lit(1.0))).otherwise(F.lit(1e-12))
-    half = -(F.log(p_chi) + F.log(p_runs) + F.log(p_serial))
-    return F.exp(-half) * (1 + half + half * half / 2)
+
+    def add(a: Column, c: Column) -> Column:
+        high = F.when(c * 2 >= size, 1.0).otherwise(0.0)
+        crossed = F.when((a["last"] >= 0) & (a["high"] != high), 1.0).otherwise(0.0)
+        return F.struct(
+            c.alias("last"), high.alias("high"), (a["n1"] + high).alias("n1"), (a["runs"] + crossed).alias("runs"), (a["sum"] + c).alias("sum"),
+            (a["squares"] + c * c).alias("squares"), (a["products"] + F.when(a["last"] >= 0, a["last"] * c).otherwise(0.0)).alias("products"),
+        )
+
+    start = F.struct(F.lit(-1.0).alias("last"), *[zero.alias(k) for k in ("high", "n1", "runs", "sum", "squares", "products")])
+
+    def joined(y: Column) -> Column:
+        s = y["s"]
+        df = size - 1
+        chi = y["chi"] * size / n - n
+        spread = 2 / (9 * df)
+        p_chi = _upper_tail((F.pow(F.greatest(chi, zero) / df, F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread))
+        n1 = s["n1"]
+        expected = 2 * n1 * (n - n1) / n + 1
+        variance = (expected - 1) * (expected - 2) / (n - 1)
+        p_runs = F.when(variance > 0, F.least(2 * _upper_tail(F.abs(1 + s["runs"] - expected) / F.sqrt(variance)), F.lit(1.0))).otherwise(F.lit(1e-12))
+        mean = s["sum"] / n
+        total = s["squares"] - n * mean * mean
+        cross = s["products"] - mean * (2 * s["sum"] - F.element_at(codes, 1) - s["last"]) + (n - 1) * mean * mean
+        p_serial = F.when(total > 1e-9, F.least(2 * _upper_tail(F.abs(cross / total + 1 / n) * F.sqrt(n)), F.lit(1.0))).otherwise(F.lit(1e-12))
+        return _bound(-(F.log(p_chi) + F.log(p_runs) + F.log(p_serial)), lambda half: F.exp(-half) * (1 + half + half * half / 2))
+
+    return _bound(F.struct(squares.alias("chi"), F.aggregate(codes, start, add).alias("s")), joined)
 
 
 def scan(docs: DataFrame, text: str = "text", false_discovery: float = FALSE_DISCOVERY) -> DataFrame:
@@ -109,8 +158,8 @@ def scan(docs: DataFrame, text: str = "text", false_discovery: float = FALSE_DIS
     found = materialize(found.withColumn("__judged", judged).drop("__tested", "__tokens"))
     cut = rejected_levels(found.select(F.explode("__judged").alias("j")).select("j.class", "j.level"), false_discovery)
     limits = F.create_map(*[F.lit(v) for kv in [("", BINS + 1), *cut.items()] for v in kv])
-    random = F.transform(F.filter("__judged", lambda m: (m["level"] < F.coalesce(F.try_element_at(limits, m["class"]), F.lit(BINS + 1))) & ~F.exists("__base", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"]))), lambda m: F.struct(m["start"].alias("start"), F.lit(3).alias("kind"), m["end"].alias("end")))
-    return found.select(*others, F.sort_array(F.concat("__base", random)).alias("spans"))
+    random = F.transform(F.filter("__judged", lambda m: m["level"] < F.coalesce(F.try_element_at(limits, m["class"]), F.lit(BINS + 1))), lambda m: F.struct(m["start"].alias("start"), F.lit(3).alias("kind"), m["end"].alias("end")))
+    return found.select(*others, _outside(F.sort_array(F.concat("__base", random))).alias("spans"))
 
 
 def rejected_levels(tests: DataFrame, false_discovery: float) -> dict[str, int]:
