@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +13,6 @@ from logloom.llm.common import bounded_sample, held_out, read, with_columns
 
 UNDETERMINED = "und"
 MAX_MODEL_BYTES = 64 << 20
-_LETTER = re.compile(r"[^\W\d_]")
 _SLICE = 1 << 20
 
 
@@ -48,16 +46,46 @@ class LanguageModel:
     orders: tuple[int, ...]
     bits: int
 
+    def score_all(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The likeliest language of each text and its posterior; und and 0 where the text is null or has no letter, or nothing was learned.
+
+        The texts' n-grams are counted as sparse rows (text, bucket, count), many texts at once, and multiplied with the matrix.
+        """
+        total = np.tile(self.log_prior, (len(texts), 1))
+        known = [bool(self.languages) and t is not None and any(map(str.isalpha, t)) for t in texts]
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+
+        def add() -> None:
+            row = np.repeat([i for i, _ in held], [len(x) for _, x in held]).astype(np.uint64)
+            cell, n = np.unique(row << np.uint64(self.bits) | np.concatenate([x for _, x in held]), return_counts=True)
+            of = (cell >> np.uint64(self.bits)).astype(np.int64)
+            at = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            weighed = n[:, None] * self.log_prob[(cell & np.uint64((1 << self.bits) - 1)).astype(np.int64)]
+            total[of[at]] += np.add.reduceat(weighed, at, axis=0)
+
+        for i, t in enumerate(texts):
+            if not known[i]:
+                continue
+            buckets = ngram_buckets(t, self.orders, self.bits)
+            for at in range(0, len(buckets), _SLICE):
+                held.append((i, buckets[at : at + _SLICE]))
+                size += len(held[-1][1])
+                if size >= _SLICE:
+                    add()
+                    held, size = [], 0
+        if held:
+            add()
+        if not self.languages:
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        best = np.argmax(total, axis=1)
+        posterior = 1.0 / np.exp(total - total[np.arange(len(texts)), best][:, None]).sum(axis=1)
+        return [self.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], np.where(known, posterior, 0.0)
+
     def score(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its posterior; und and 0 if the text is null or has no letter, or nothing was learned."""
-        if text is None or not self.languages or not _LETTER.search(text):
-            return UNDETERMINED, 0.0
-        total = self.log_prior.copy()
-        buckets = ngram_buckets(text, self.orders, self.bits)
-        for at in range(0, len(buckets), _SLICE):
-            total += self.log_prob[buckets[at : at + _SLICE]].sum(axis=0, dtype=np.float64)
-        best = int(np.argmax(total))
-        return self.languages[best], float(1.0 / np.exp(total - total[best]).sum())
+        """Of one text."""
+        language, posterior = self.score_all([text])
+        return language[0], float(posterior[0])
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", orders: tuple[int, ...] = (2, 3), bits: int = 16, max_train: int = 20_000, alpha: float = 0.5) -> LanguageModel:
@@ -95,14 +123,13 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """Add lang_pred (string) and score (double, 0 to 1) to every row; the whole text counts.
 
-    Null and letterless texts: und, 0. Repeated rows get the same answer; extra columns pass; an empty table stays empty.
+    Null and letterless texts (no str.isalpha character): und, 0. Repeated rows get the same answer; extra columns pass, but for those of the
+    two names, which are replaced; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> list:
-        m = shared.value
-        made = [m.score(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
-        return [[x[0] for x in made], [x[1] for x in made]]
+        return list(shared.value.score_all(batch.column(batch.schema.get_field_index(text)).to_pylist()))
 
     return with_columns(docs, "lang_pred string, score double", run)
 
