@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 SLICE_BYTES = 4 << 20
+BROADCAST_ROWS = 2_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The DataFrame, stored, as a side to be joined by broadcast where it has at most so many rows (of a few numbers each), else by shuffle: stored
+    sides leave skewed keys to adaptive execution, which splits them."""
+    stored = materialize(df)
+    return F.broadcast(stored) if stored.count() <= rows else stored
+
+
 def held_out(key: Column, divisor: int, remainder: int) -> Column:
     """crc32 of the key's decimal text, mod divisor, equals remainder; null keys count as the text ''."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % divisor == remainder

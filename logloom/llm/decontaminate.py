@@ -78,7 +78,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 
     Item words in windows of `window` consecutive words; an item with fewer words is one window, one with none has none.
     The benchmark is the stated query set: while it has at most max_windows windows they go out as one broadcast; more are dealt by hash
-    to blocks of about that many, and the documents are scanned once a block; spans and items are merged, so nothing is lost.
+    to blocks of about that many, and the documents are scanned once a block and stored between blocks, so that a task holds one block's
+    tables; spans and items are merged, so nothing is lost.
     Null and empty texts have no words and no hits; an empty benchmark hits nothing; repeated rows are each scanned; extra columns
     pass, but for those of the three names, which are replaced. A null item_id counts as the item ''.
     """
@@ -114,7 +115,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                 found.append(sorted(items))
             return [n_words, spans, found]
 
-        out = with_columns(out, "n_words bigint, hit_spans array<struct<start: bigint, end: bigint>>, items array<string>", run) if b == 0 else _again(out, run)
+        out = with_columns(out, "n_words bigint, hit_spans array<struct<start: bigint, end: bigint>>, items array<string>", run) if b == 0 else _again(materialize(out), run)  # stored between blocks: one block's tables at a time
     return out
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import materialize, read, with_columns
+from logloom.llm.common import materialize, read, small, with_columns
 from logloom.llm.graph import connected_components, star_forest
 
 _FIND = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -175,19 +175,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     Repeated rows stay; rows with a null key get the component's smallest key, null if it has none; an empty table gives no rows.
     """
     fps = materialize(with_fingerprint(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), "text", shingle).select("key", "fp"))
-    least = fps.groupBy("fp").agg(F.min("key").alias("low"))
-    roots = least.join(fingerprint_components(fps, most).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = roots.select("fp", "root").join(lows, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    return fps.join(small(_component_of(fps, most)), "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, most: int = 4) -> DataFrame:
-    """The rows of each component's smallest key, once where a key is repeated. Rows with a null key can't be named and all stay."""
-    groups = near_duplicates(docs, text, key, shingle, most)
-    gone = groups.filter(F.col(key) != F.col("component_id")).select(key).distinct()
-    kept = docs.filter(F.col(key).isNotNull()).join(gone, key, "left_anti").dropDuplicates([key])
-    return kept.unionByName(docs.filter(F.col(key).isNull())).select(docs.columns)
+def _component_of(fps: DataFrame, most: int) -> DataFrame:
+    """(fp, component_id) of the distinct fingerprints of (key, fp)."""
+    least = fps.groupBy("fp").agg(F.min("key").alias("low"))
+    roots = materialize(least.join(fingerprint_components(fps, most).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
+    return roots.select("fp", "root").join(small(lows), "root").select("fp", "component_id")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
