@@ -59,6 +59,14 @@ def test_all_pairs_of_the_similarity_are_found(spark, monkeypatch, per_bucket):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(plain_kept(rows))
 
 
+def test_proposed_groups_change_nothing(spark):
+    rows = edited(8)
+    docs = frame(spark, [(k, t, "en") for k, t in rows])
+    wrong = frame(spark, [(k, k // 5) for k, _ in rows] + [(None, 0)], "doc_id bigint, component_id bigint")
+    for near in (wrong, simhash.near_duplicates(docs, shingle=5)):
+        assert sorted(r["doc_id"] for r in near_dedup.keep_one_of_each(docs, near).collect()) == sorted(plain_kept(rows))
+
+
 def test_stage_drops_copies_beyond_the_old_bits(spark):
     words = [f"w{i}" for i in range(400)]
     rows = [(1, " ".join(words)), (2, changed(words, range(10, 400, 50)))]

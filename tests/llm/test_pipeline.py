@@ -5,29 +5,18 @@ import re
 
 import duckdb
 import pytest
+from conftest import ODD, frame
+from test_near_dedup import plain_kept
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from logloom.llm import language_id, queries, simhash
+from logloom.llm import language_id, queries
 from logloom.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
-def plain_components(rows, shingle, most):
-    fp = {k: simhash.simhash(t, shingle) for k, t in rows}
-    low = {k: k for k in fp}
-    changed = True
-    while changed:
-        changed = False
-        for a in fp:
-            for b in fp:
-                if low[b] < low[a] and (fp[a] ^ fp[b]).bit_count() <= most:
-                    low[a], changed = low[b], True
-    return low
-
-
 def test_stages_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
@@ -54,8 +43,7 @@ def test_stages_by_brute_force(spark):
     assert two.filter(F.length("text") != F.col("n_chars")).count() == 0
 
     three = materialize(cp.drop_near_duplicates(spark, two, SF))
-    low = plain_components(left.items(), cp.NEAR_SHINGLE, cp.NEAR_BITS)
-    assert three.columns == columns and {r["doc_id"] for r in three.collect()} == {k for k, v in low.items() if k == v}
+    assert three.columns == columns and {r["doc_id"] for r in three.collect()} == plain_kept(left.items())
 
     four = materialize(cp.drop_contaminated(spark, three, SF))
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t))
@@ -72,6 +60,21 @@ def test_stages_by_brute_force(spark):
     assert [n for n, _ in cp.STAGES][0] == "language ID" and len(cp.STAGES) == 5
 
 
+CLASHING = ("score", "lang_pred", "held_out", "n_lines", "n_removed", "n_words", "hit_spans", "items", "component_id", "fp", "key", "h", "th")
+
+
+def test_stages_keep_clashing_columns(spark):
+    """All but the last stage give back every column of their input with its own values; odd rows crash none."""
+    docs = frame(spark, ODD).select("*", F.lit("s").alias("source"), F.length("text").cast("bigint").alias("n_chars"))
+    docs = docs.select("*", *[F.lit(f"mine {c}").alias(c) for c in CLASHING])
+    for name, stage in cp.STAGES[:-1]:
+        got = materialize(stage(spark, docs, SF))
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert rows and all(r[c] == f"mine {c}" for r in rows for c in CLASHING), name
+    assert cp.STAGES[-1][1](spark, docs, SF).count() == len(ODD)
+
+
 def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 0")
     for _, stage in cp.STAGES:
