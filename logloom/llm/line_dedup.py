@@ -13,15 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import materialize, read, slices
-from logloom.llm.words import Lines, by_group
+from logloom.llm.common import materialize, read, slices, small
+from logloom.llm.words import Lines, by_group, mix
 
 FREQUENCY_BITS = 23
 PAGE_BITS = 13
-HOT_TOKEN = 2_000  # lines; the pairs of a word on more lines are dealt out by salts
+HOT_TOKEN = 1_000  # lines; the pairs of a word on more lines are dealt out by salts
 SMALL_BUCKET, TILE = 24, 128
 HELD_ROWS, HELD_PAIRS = 100_000, 500_000
 CLOSEST, CLOSEST_IF_SURE = 32, 4  # earlier lines that a line is compared with in a bucket at first; what these leave open is searched in full
+WIDE = 48  # sets of so many words have sketches of two halves
 BROADCAST_ROWS = 2_000_000
 UNRESOLVED_BLOCK = 50_000
 NULL_KEY = -(2**63)
@@ -143,7 +144,7 @@ def prefixes(docs: DataFrame, levels, p: int, q: int) -> DataFrame:
                 if not len(x.n):
                     continue
                 keys = rows.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False)[x.owner]
-                h, (sketch, sketch2) = x.identity()[0], x.sketch()
+                h, (sketch, sketch2) = x.identity()[0], x.sketch(WIDE)
                 first = np.lexsort((x.number, keys, h))
                 first = first[np.append(True, h[first][1:] != h[first][:-1])]
                 chosen = np.zeros(len(h), bool)
@@ -166,11 +167,27 @@ def _pick(c: dict[str, np.ndarray], o: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _first_of_each(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Of the rows of a bucket with one token set, the earliest; sorted by bucket, then from the earliest line to the last."""
-    o = np.lexsort((c["number"], c["key"], c["h"], c["bucket"]))
-    h, b = c["h"][o], c["bucket"][o]
-    o = o[np.append(True, (h[1:] != h[:-1]) | (b[1:] != b[:-1]))]
-    return _pick(c, o[np.lexsort((c["h"][o], c["number"][o], c["key"][o], c["bucket"][o]))])
+    """Of the rows of a bucket with one token set, the earliest; the order of the rest stays."""
+    same = mix(c["bucket"].view(np.uint64)) + c["h"].view(np.uint64)
+    o = np.argsort(same)
+    twice = np.flatnonzero(same[o][1:] == same[o][:-1])
+    if not len(twice):
+        return c
+    rows = o[np.unique(np.concatenate([twice, twice + 1]))]
+    rows = rows[np.lexsort((c["number"][rows], c["key"][rows], c["h"][rows], c["bucket"][rows]))]
+    h, b = c["h"][rows], c["bucket"][rows]
+    keep = np.ones(len(same), bool)
+    keep[rows[1:][(h[1:] == h[:-1]) & (b[1:] == b[:-1])]] = False
+    return _pick(c, keep)
+
+
+def _in_turn(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(later, earlier) of each two rows: by key, number and h."""
+    before, tied = np.zeros(len(x), bool), np.ones(len(x), bool)
+    for k in ("key", "number", "h"):
+        before |= tied & (c[k][x] < c[k][y])
+        tied &= c[k][x] == c[k][y]
+    return np.where(before, y, x), np.where(before, x, y)
 
 
 def _distance(c, x, y, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +195,9 @@ def _distance(c, x, y, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
     n1, n2 = c["n"][x], c["n"][y]
     need = overlap_needed(n1, n2, p, q)
     differ = n1 + n2 - 2 * need
-    bits = np.bitwise_count(c["sketch"][x] ^ c["sketch"][y]).astype(np.int64) + np.bitwise_count(c["sketch2"][x] ^ c["sketch2"][y])
+    halves = np.bitwise_count(c["sketch"][x] ^ c["sketch"][y]) + np.bitwise_count(c["sketch2"][x] ^ c["sketch2"][y])
+    folded = np.bitwise_count(c["sketch"][x] ^ c["sketch2"][x] ^ c["sketch"][y] ^ c["sketch2"][y])  # as a set of fewer words has it
+    bits = np.where((n1 >= WIDE) & (n2 >= WIDE), halves, folded).astype(np.int64)
     fits = (p * np.maximum(n1, n2) <= q * np.minimum(n1, n2)) & (np.minimum(n1 - c["place"][x], n2 - c["place"][y]) >= need) & (differ > 0)
     return np.where(fits, bits, differ + 1), differ
 
@@ -203,31 +222,35 @@ def _within(c: dict[str, np.ndarray], start: int, n: int, p: int, q: int):
     """Pieces of row pairs of one bucket whose sketches are close: rows are ordered by size, and tiles of them compared with those of fitting sizes."""
     rows = start + np.argsort(c["n"][start : start + n], kind="stable")
     size, sketch, sketch2 = c["n"][rows], c["sketch"][rows], c["sketch2"][rows]
+    folded = sketch ^ sketch2
     ends = np.searchsorted(size, size * q // p, "right")
     for i in range(0, n, TILE):
         end = int(ends[min(i + TILE, n) - 1])
         a, b = slice(i, min(i + TILE, n)), slice(i, end)
-        bits = np.bitwise_count(sketch[a, None] ^ sketch[None, b])  # at most 128 of 255
-        bits += np.bitwise_count(sketch2[a, None] ^ sketch2[None, b])
+        if size[i] >= WIDE:
+            bits = np.bitwise_count(sketch[a, None] ^ sketch[None, b])  # at most 128 of 255
+            bits += np.bitwise_count(sketch2[a, None] ^ sketch2[None, b])
+        else:
+            bits = np.bitwise_count(folded[a, None] ^ folded[None, b])
         most = int(size[a][-1] + size[end - 1])
         x, y = np.nonzero(bits <= most * (q - p) // (p + q))  # no two sets of the tile may differ in more words
         x, y = x[x < y], y[x < y]
         x, y = rows[i + x], rows[i + y]
-        yield np.maximum(x, y), np.minimum(x, y)
+        yield x, y
 
 
 def _pairs(c: dict[str, np.ndarray], p: int, q: int):
-    """Pieces of (later, earlier, bits, differ, complete) of row numbers of what passes the length, positional and sketch filters in each bucket. c is as
-    _first_of_each gives it: in a bucket the later line has the higher number."""
+    """Pieces of (later, earlier, bits, differ, complete) of row numbers of what passes the length, positional and sketch filters in each bucket.
+    c is ordered by bucket."""
     b = c["bucket"]
     at = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.empty(0, np.int64)
     size = np.diff(np.append(at, len(b)))
     here, d, found, held = np.flatnonzero(np.repeat(size <= SMALL_BUCKET, size)), 1, [], 0
 
-    def passed(later, earlier):
-        bits, differ = _distance(c, later, earlier, p, q)
+    def passed(x, y):
+        bits, differ = _distance(c, x, y, p, q)
         ok = bits <= differ
-        return later[ok], earlier[ok], bits[ok], differ[ok], np.ones(int(ok.sum()), bool)
+        return *_in_turn(c, x[ok], y[ok]), bits[ok], differ[ok], np.ones(int(ok.sum()), bool)
 
     while len(here):
         here = here[here + d < len(b)]
@@ -239,8 +262,8 @@ def _pairs(c: dict[str, np.ndarray], p: int, q: int):
     found = []
     for start, n in zip(at[size > SMALL_BUCKET].tolist(), size[size > SMALL_BUCKET].tolist(), strict=True):
         own, more = [], 0
-        for later, earlier in _within(c, start, n, p, q):
-            own.append(passed(later, earlier))
+        for x, y in _within(c, start, n, p, q):
+            own.append(passed(x, y))
             more += len(own[-1][0])
             if more > HELD_PAIRS:
                 own = [_closest(c, *_joined(own))]
@@ -298,7 +321,8 @@ def meet(entries: DataFrame, p: int, q: int, parts_meet: bool = False) -> DataFr
         if held:
             yield from done(held)
 
-    return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _MET)
+    parts = 2 * int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the rows take several times their size while they meet
+    return entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _MET)
 
 
 def hot_entries(met: DataFrame) -> DataFrame | None:
@@ -383,11 +407,14 @@ def searched(docs: DataFrame, few: pa.Table, tokens: pa.Table, levels, p: int, q
             for t in s[np.lexsort((s, level))][: prefix_length(len(s), p, q)].tolist():
                 of.setdefault(t, []).append(i)
         known = np.array(sorted(of), np.uint64)
+        marked = np.zeros(1 << FREQUENCY_BITS, bool)
+        marked[(known >> _U(64 - FREQUENCY_BITS)).astype(np.int64)] = True
         hit: set[int] = set()
         for whole in batches:
             for rows in slices(whole):
                 x = Lines(rows.column(1))
                 keys = rows.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False)
+                x.keep(np.unique(x.line[marked[(x.token >> _U(64 - FREQUENCY_BITS)).astype(np.int64)]]))
                 word, _, place = in_order(x, levels.value)
                 at = np.flatnonzero((place < prefix_length(x.n, p, q)[x.line]) & np.isin(word, known))
                 for line, t in {(int(x.line[k]), int(word[k])) for k in at}:
@@ -442,7 +469,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", simila
     lines = table.filter("page is null").select("h", "g", "key", "number", "th")
     similar = similar_later_lines(source.select("key", "text"), table, similarity).select("h", F.col("key").alias("k"), F.col("number").cast("int").alias("number"))
     first = lines.groupBy("h", "g").agg(F.min(F.struct(F.coalesce("key", F.lit(NULL_KEY)).alias("k"), "number", "th")).alias("first")).select("h", "first.*")
-    kept = first.join(similar, ["h", "k", "number"], "left_anti").select("k", "number", "th")
+    kept = first.join(small(similar), ["h", "k", "number"], "left_anti").select("k", "number", "th")
     gone = materialize(lines.select(F.coalesce("key", F.lit(NULL_KEY)).alias("k"), "th", "number").join(kept, ["k", "number", "th"], "left_anti"))
     by_doc = gone.groupBy(F.col("k").alias("__key"), F.col("th").alias("__th")).agg(F.collect_set("number").alias("__gone"))
     if gone.count() <= BROADCAST_ROWS:
@@ -450,7 +477,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", simila
     joined = docs.join(by_doc, (F.coalesce(F.col(key).cast("bigint"), F.lit(NULL_KEY)) == F.col("__key")) & (F.xxhash64(text) == F.col("__th")), "left")
     parts = F.split(F.col(text), "\n", -1)
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).cast("bigint")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), n_lines.cast("int") - 1), "__gone"), lambda i: F.get(parts, i))
+    stay = F.array_except(F.sequence(F.lit(0), n_lines.cast("int") - 1), "__gone")
+    left = F.element_at(F.transform(F.array(parts), lambda own: F.transform(stay, lambda i: F.get(own, i))), 1)  # the text is split once
     n_removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("bigint")
     own = [F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(*own, n_lines.alias("n_lines"), n_removed.alias("n_removed"))

@@ -120,12 +120,22 @@ class Lines:
         n = self.n.astype(np.uint64)
         return tuple(mix(self._sums(mix(self.token + np.uint64(seed))) + n) for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
-    def sketch(self) -> tuple[np.ndarray, np.ndarray]:
-        """Parity of the words in each of 128 classes, in two halves: two sets' sketches differ in no more bits than the sets differ in words."""
+    def keep(self, lines: np.ndarray) -> None:
+        """Only these lines (numbers in order) stay."""
+        of = np.full(len(self.n), -1)
+        of[lines] = np.arange(len(lines))
+        held = of[self.line] >= 0
+        self.token, self.line = self.token[held], of[self.line[held]]
+        self.owner, self.number, self.n = self.owner[lines], self.number[lines], self.n[lines]
+        self.start = np.cumsum(self.n) - self.n
+
+    def sketch(self, wide: int) -> tuple[np.ndarray, np.ndarray]:
+        """Parity of the words in each of 64 classes: two sets' sketches differ in no more bits than the sets differ in words. Sets of at
+        least `wide` words have two halves, by a further bit of a word's hash, which together are the sketch of a smaller set (whose second half is 0)."""
         if not len(self.n):
             return np.empty(0, np.uint64), np.empty(0, np.uint64)
         x = mix(self.token)
         bit = np.uint64(1) << (x & np.uint64(63))
-        high = (x >> np.uint64(63)) == 1
+        other = ((x >> np.uint64(63)) == 1) & (self.n[self.line] >= wide)
         zero = np.uint64(0)
-        return np.bitwise_xor.reduceat(np.where(high, zero, bit), self.start), np.bitwise_xor.reduceat(np.where(high, bit, zero), self.start)
+        return np.bitwise_xor.reduceat(np.where(other, zero, bit), self.start), np.bitwise_xor.reduceat(np.where(other, bit, zero), self.start)
