@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.text import IPV4, first_value, fold_space, key_values, octet
+from logloom.functions.text import IPV4, bound, first_value, fold_space, key_values, octet
 
 #: Program names and their classes.
 PROGRAMS = {
@@ -98,27 +98,26 @@ ENRICHED = {
 }
 
 
-def _bound(value: Column, use) -> Column:
-    """use(value) with the value computed once, however often use names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def enriched_template(template: Column, content: Column, event_id: Column | None = None, mode: str = "lmd_sysmon_v1") -> Column:
     """The template with the classes of its event's fields; mode none leaves it. The event id is given, else in the content, else in the template."""
     if mode == "none":
         return _clean(template)
     given = F.lit("") if event_id is None else _clean(event_id.cast("string"))
     source = F.struct(_clean(template).alias("plain"), key_values(F.coalesce(F.nullif(_clean(content), F.lit("")), _clean(template))).alias("pairs"), given.alias("given"))
-    return _bound(source, _enriched)
+    return bound(source, _enriched)
 
 
 def _enriched(x: Column) -> Column:
-    plain, pairs = x["plain"], x["pairs"]
-    in_template = F.regexp_extract(plain, r"(?i)\bEventID(?:=|\s+)(\d+)", 1)
-    number = F.coalesce(F.nullif(x["given"], F.lit("")), F.nullif(first_value(pairs, "EventID"), F.lit("")), F.nullif(in_template, F.lit("")), F.lit("UNKNOWN"))
-    provider = F.coalesce(F.nullif(F.trim(F.regexp_extract(plain, r"(?i)^(.*?)\bEventID(?:=|\s+)\d+", 1)), F.lit("")), F.lit("Microsoft-Windows-Sysmon"))
-    base = F.concat(provider, F.lit(" EventID="), number)
-    field = lambda name, of, keys: F.concat(F.lit(f"{name}="), _bound(first_value(pairs, *keys), of))
+    in_template = F.regexp_extract(x["plain"], r"(?i)\bEventID(?:=|\s+)(\d+)", 1)
+    number = F.coalesce(F.nullif(x["given"], F.lit("")), F.nullif(first_value(x["pairs"], "EventID"), F.lit("")), F.nullif(in_template, F.lit("")), F.lit("UNKNOWN"))
+    provider = F.coalesce(F.nullif(F.trim(F.regexp_extract(x["plain"], r"(?i)^(.*?)\bEventID(?:=|\s+)\d+", 1)), F.lit("")), F.lit("Microsoft-Windows-Sysmon"))
+    return bound(F.struct(number.alias("number"), provider.alias("provider"), x["pairs"].alias("pairs")), _classed)
+
+
+def _classed(x: Column) -> Column:
+    number, pairs = x["number"], x["pairs"]
+    base = F.concat(x["provider"], F.lit(" EventID="), number)
+    field = lambda name, of, keys: F.concat(F.lit(f"{name}="), bound(first_value(pairs, *keys), of))
     user = field("UserClass", user_class, ("User",))
 
     def row(fields) -> Column:

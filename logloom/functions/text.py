@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def extract(text: Column, pattern: str, group: int = 0) -> Column:
     """The group of the first match, null where nothing matches."""
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
@@ -86,6 +91,7 @@ PARAMETER_PATTERNS = {
     "domain": r"\b(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,}\b",
     "url": r"https?://[^\s]+",
 }
+#: Fixed value: key=value pairs.
 _PAIR = r"\b([A-Za-z_][\w.-]{0,63})=(\"[^\"]*\"|'[^']*'|[^\s,;]+)"
 
 
@@ -99,8 +105,13 @@ def parameters(text: Column) -> Column:
     pairs = F.filter(F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), F.regexp_replace(F.trim(v), "^[\"']+|[\"']+$", "").alias("value"))), lambda p: p["value"] != "")
     for name, pattern in PARAMETER_PATTERNS.items():
         pairs = F.concat(pairs, _numbered(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), name))
-    before = lambda i, p: F.size(F.filter(F.slice(pairs, 1, i), lambda q: q["key"] == p["key"]))
-    return F.transform(pairs, lambda p, i: F.struct(F.when(before(i, p) > 0, F.concat(p["key"], F.lit("_"), (before(i, p) + 1).cast("string"))).otherwise(p["key"]).alias("key"), p["value"].alias("value")))
+
+    def named(x: Column) -> Column:
+        before = lambda i, p: F.size(F.filter(F.slice(x["keys"], 1, i), lambda k: k == p["key"]))
+        again = lambda n, p: F.when(n > 0, F.concat(p["key"], F.lit("_"), (n + 1).cast("string"))).otherwise(p["key"])
+        return F.transform(x["pairs"], lambda p, i: F.struct(bound(before(i, p), lambda n: again(n, p)).alias("key"), p["value"].alias("value")))
+
+    return bound(pairs, lambda ps: bound(F.struct(ps.alias("pairs"), F.transform(ps, lambda p: p["key"]).alias("keys")), named))
 
 
 def timestamp_text(line: Column) -> Column:
@@ -164,26 +175,27 @@ def syslog_action(message: Column) -> Column:
     return out.when(F.contains(low, F.lit("failed")), F.lit("failed")).otherwise(generic_action(message))
 
 
+#: Fixed value: pairs of audit lines.
 _AUDIT_PAIR = r"\b([A-Za-z_][\w.-]*)=(\"[^\"]*\"|'[^']*'|[^\s;]+)"
 #: Folders of the system's own programs.
 SYSTEM_FOLDERS = ("/usr/bin/", "/usr/sbin/", "/usr/lib/", "/usr/libexec/", "/bin/", "/sbin/", "/lib/", "/lib64/", "/snap/", "/var/ossec/bin/")
 
 
-def _last_value(text: Column, inner: Column, key: str) -> Column:
-    """The last value of a key in the line, where pairs inside msg='...' come last; without quotes, null where the key is missing or empty."""
+def _audit_pairs(text: Column) -> Column:
     strip = lambda v: F.regexp_replace(F.trim(v), "^[\"']+|[\"']+$", "")
-
-    def of(t: Column) -> Column:
-        ks, vs = F.regexp_extract_all(t, F.lit(_AUDIT_PAIR), F.lit(1)), F.regexp_extract_all(t, F.lit(_AUDIT_PAIR), F.lit(2))
-        return F.transform(F.filter(F.arrays_zip(ks.alias("k"), vs.alias("v")), lambda p: p["k"] == key), lambda p: strip(p["v"]))
-
-    return F.nullif(F.try_element_at(F.concat(of(text), of(inner)), F.lit(-1)), F.lit(""))
+    ks, vs = F.regexp_extract_all(text, F.lit(_AUDIT_PAIR), F.lit(1)), F.regexp_extract_all(text, F.lit(_AUDIT_PAIR), F.lit(2))
+    return F.zip_with(ks, vs, lambda k, v: F.struct(k.alias("k"), strip(v).alias("v")))
 
 
 def audit_template(line: Column) -> Column:
+    """Of a key the last value in the line counts, where pairs inside msg='...' come last."""
     text = fold_space(line)
     inner = F.array_join(F.regexp_extract_all(text, F.lit(r"\bmsg=(['\"])(.*?)\1"), F.lit(2)), " ")
-    get = lambda k: _last_value(text, inner, k)
+    return bound(F.concat(_audit_pairs(text), _audit_pairs(inner)), _audit_of)
+
+
+def _audit_of(pairs: Column) -> Column:
+    get = lambda k: F.nullif(F.try_element_at(F.filter(pairs, lambda p: p["k"] == k), F.lit(-1))["v"], F.lit(""))
     exe = get("exe")
     trusted = F.lit(False)
     for folder in SYSTEM_FOLDERS:
@@ -195,12 +207,17 @@ def audit_template(line: Column) -> Column:
 
 def linux_template(line: Column, source: Column) -> Column:
     """Low-cardinality template of a Linux line; source as linux_source() gives it, null: linux."""
-    text = fold_space(line)
     prefix = F.when(source == "auth", "LinuxAuth").when(source == "syslog", "LinuxSyslog").otherwise("LinuxLog")
-    process, message = linux_process(text), fold_space(F.regexp_extract(text, RFC3164, 4))
-    action = F.when(source == "auth", auth_action(process, message)).otherwise(syslog_action(message))
-    plain = F.when(text.rlike(RFC3164), F.concat(prefix, F.lit(" process="), process, F.lit(" action="), action)).otherwise(F.concat(prefix, F.lit(" process=unknown action="), generic_action(text)))
-    return F.when((source == "audit") | text.startswith("type="), audit_template(line)).otherwise(plain)
+
+    def plain(x: Column) -> Column:
+        action = F.when(x["source"] == "auth", auth_action(x["process"], x["message"])).otherwise(syslog_action(x["message"]))
+        return F.when(x["is_old"], F.concat(x["prefix"], F.lit(" process="), x["process"], F.lit(" action="), action)).otherwise(F.concat(x["prefix"], F.lit(" process=unknown action="), generic_action(x["text"])))
+
+    def parts(text: Column) -> Column:
+        return F.struct(text.alias("text"), linux_process(text).alias("process"), fold_space(F.regexp_extract(text, RFC3164, 4)).alias("message"), text.rlike(RFC3164).alias("is_old"), prefix.alias("prefix"), source.alias("source"))
+
+    audit = (source == "audit") | F.trim(line).startswith("type=")
+    return F.when(audit, audit_template(line)).otherwise(bound(bound(fold_space(line), parts), plain))
 
 
 def linux_epoch(line: Column, year: int = 2022) -> Column:
@@ -222,24 +239,44 @@ def any_epoch(value: Column) -> Column:
     return F.coalesce(number, named, F.unix_timestamp(F.try_to_timestamp(value)), F.lit(0))
 
 
-APACHE = r"^(\S+) \S+ \S+ \[([^\]]+)\] \"(\S+) (\S+)[^\"]*\" (\d{3})"
+#: The two forms of web server lines, and what a request or message must hold for its action, first match first.
+APACHE_ACCESS = r"^(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+\"(\S+)\s+(.*?)\s+(HTTP/[^\"]+)\"\s+(\d{3})\s+(\S+)"
+APACHE_ERROR = r"^\[([^\]]+)\]\s+\[([^\]:]+)(?::[^\]]+)?\]\s+(.*)$"
+REQUEST_ACTIONS = (
+    ("sql_probe", ("union", "select", "sleep", "concat")), ("file_probe", ("etc/passwd", "../", "..%2f")), ("xss_probe", ("<script", "alert(", "document.")),
+    ("remote_code_probe", ("cmd=", "command=", "<?php", "base64")), ("login", ("login",)), ("cgi", ("cgi-bin",)),
+)
 
 
-def request_action(request: Column, attacks_first: bool = True) -> Column:
-    """Class of a request after URL decoding: sql, file, xss or rce probe, login, cgi, request. The two orders of rules are both in use."""
-    low = F.coalesce(F.try_url_decode(F.lower(request)), F.lower(request))
-    has = lambda *words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
-    attacks = [("sql_probe", has("union select", "' or ", "sleep(", "information_schema")), ("file_probe", has("../", "/etc/passwd", "boot.ini")), ("xss_probe", has("<script", "onerror=", "javascript:")), ("rce_probe", has("cmd=", ";wget", "|bash", "/bin/sh"))]
-    usual = [("login", has("login", "signin")), ("cgi", has("cgi-bin", ".cgi"))]
-    out = F.when(F.lit(False), F.lit(""))
-    for name, test in (attacks + usual) if attacks_first else (usual + attacks):
-        out = out.when(test, F.lit(name))
-    return out.otherwise("request")
+def request_action(request: Column) -> Column:
+    """Class of a request or message in lower case after URL decoding (a text that can't be decoded is taken as it is)."""
+    low = F.lower(request)
+
+    def of(text: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
+        for action, words in REQUEST_ACTIONS:
+            out = out.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)), F.lit(action))
+        return out.otherwise("request")
+
+    return bound(F.coalesce(F.try_url_decode(low), low), of)
 
 
 def apache_template(line: Column) -> Column:
-    part = lambda i: F.regexp_extract(line, APACHE, i)
-    return F.when(line.rlike(APACHE), F.concat_ws(" ", F.lit("ApacheAccess"), part(3), part(5), request_action(part(4)))).otherwise("ApacheError")
+    """Template of a web server's access or error line, else of the whole line."""
+    get = lambda pattern, i: F.regexp_extract(line, pattern, i)
+    field = lambda name, value: F.concat(F.lit(f"{name}="), value)
+    level = F.coalesce(F.nullif(F.lower(F.trim(get(APACHE_ERROR, 2))), F.lit("")), F.lit("unknown"))
+    access = F.concat_ws(" ", F.lit("ApacheAccess"), field("method", F.upper(get(APACHE_ACCESS, 3))), field("status", get(APACHE_ACCESS, 6)), field("action", request_action(get(APACHE_ACCESS, 4))))
+    error = F.concat_ws(" ", F.lit("ApacheError"), field("level", level), field("action", request_action(get(APACHE_ERROR, 3))))
+    return F.when(line.rlike(APACHE_ACCESS), access).when(line.rlike(APACHE_ERROR), error).otherwise(F.concat_ws(" ", F.lit("ApacheLog"), field("action", request_action(line))))
+
+
+def apache_epoch(line: Column) -> Column:
+    """Epoch seconds of an access line's stamp (with its zone) or an error line's (UTC); 0 if none."""
+    access = F.try_to_timestamp(F.regexp_extract(line, APACHE_ACCESS, 2), F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
+    stamp = F.regexp_replace(F.regexp_replace(F.regexp_extract(line, APACHE_ERROR, 1), r"^\w{3} ", ""), r"\.\d+ ", " ")
+    error = F.try_to_timestamp(F.concat(stamp, F.lit(" +0000")), F.lit("MMM d HH:mm:ss yyyy Z"))
+    return F.coalesce(F.unix_timestamp(F.when(line.rlike(APACHE_ACCESS), access)), F.unix_timestamp(F.when(line.rlike(APACHE_ERROR), error)), F.lit(0))
 
 
 #: Words of labels.
@@ -268,6 +305,7 @@ def rule_labels(lines: DataFrame, rules: DataFrame, key: str, line: str) -> Data
     return lines.join(hits, key, "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>"))).withColumn("label", F.when(F.size("labels") > 0, "attack").otherwise("-"))
 
 
+#: Fixed value: key=value pairs whose values may hold spaces.
 KEY_VALUE = r"\b([A-Za-z_][\w.-]{0,63})=(\"[^\"]*\"|'[^']*'|.*?)(?=\s+[A-Za-z_][\w.-]{0,63}=|$)"
 
 
@@ -299,6 +337,7 @@ def octet(value: Column, i: int) -> Column:
     return F.try_element_at(F.split(value, r"\."), F.lit(i)).try_cast("int")
 
 
+#: Fixed value: an address of four octets.
 IPV4 = r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"
 
 
@@ -335,23 +374,47 @@ def ascii_fold(text: Column, most: int) -> Column:
     return F.substring(fold_space(F.regexp_replace(text, r"[^\x20-\x7E]", " ")), 1, most)
 
 
-def header_stripped(content: Column) -> Column:
-    """Content without its first five words, with addresses, block ids, hex, numbers and punctuation taken out."""
-    text = F.array_join(F.slice(F.split(content, r"\s+"), 6, 1000000), " ")
-    for pattern in (r"blk_-?\d+", r"(?:\d{1,3}\.){3}\d{1,3}(:\d+)?", r"0x[0-9a-fA-F]+", r"\d+", r"[^\w\s]"):
-        text = F.regexp_replace(text, pattern, " ")
-    return fold_space(text)
+#: What is taken out of a block log's content, in this order, after runs of punctuation have become spaces.
+CONTENT_PUNCTUATION = r"[\-~!@#$\\.=%^&*()_+`{};':\",\[\]<>]+"
+CONTENT_PATTERNS = (r"blk_(|-)[0-9]+", r"(/|)([0-9]+\.){3}[0-9]+(:[0-9]+|)(:|)", r"[0-9]+", r"/.+", r"\S+\.{1}\S+")
 
 
-#: Phases and categories of recommendations, first match first.
-PHASES = (("contain", "isolate|block|disable|contain"), ("eradicate", "remove|delete|clean|eradicate"), ("recover", "restore|reset|rebuild|recover"), ("monitor", "monitor|watch|review|hunt"))
+def header_stripped(content: Column, header: int = 5, joined: str = "$$") -> Column:
+    """The words of a line without its first ones, punctuation, block ids, addresses, numbers, paths and dotted words."""
+    text = bound(F.split(F.trim(content), r"\s+"), lambda w: F.array_join(F.slice(w, header + 1, F.greatest(F.size(w) - header, F.lit(0))), " "))
+    text = F.regexp_replace(text, CONTENT_PUNCTUATION, " ")
+    for pattern in CONTENT_PATTERNS:
+        text = F.regexp_replace(text, pattern, "")
+    return F.replace(fold_space(text), F.lit(" "), F.lit(joined))
 
 
-def phase_tag(text: Column) -> Column:
+#: Phases of recommendations and the words that tell them, first match first; categories of actions and the words that must all be there.
+PHASES = (
+    ("Containment", ("containment", "isolasi", "isolir", "blokir", "block", "hunt", "sinkhole", "quarantine")), ("Eradication", ("eradication", "hapus", "karantina", "remove", "bersihkan", "cabut akses")),
+    ("Recovery", ("recovery", "pulihkan", "restore", "reimage", "recover")), ("Detection & Analysis", ("validasi", "triase", "kumpulkan", "rekonstruksi", "korelasikan", "monitor", "review", "analisis")),
+)
+ACTIONS = (
+    ("ioc_block", ("ioc", "blokir")), ("ioc_block", ("ioc", "block")), ("ioc_validate", ("ioc", "validasi")), ("ioc_enrich", ("ioc", "enrich")),
+    ("artifact_collection", ("kumpulkan", "artefak")), ("window_triage", ("triase", "window")), ("timeline_reconstruction", ("timeline",)),
+)
+
+
+def _ladder(text: Column, rules, test) -> Column:
+    words = lambda ws: F.array(*map(F.lit, ws))
     out = F.when(F.lit(False), F.lit(""))
-    for name, words in PHASES:
-        out = out.when(F.lower(text).rlike(words), F.lit(name))
-    return out.otherwise("general")
+    for name, ws in rules:
+        out = out.when(test(words(ws), lambda w: F.contains(text, w)), F.lit(name))
+    return out
+
+
+def phase_tag(text: Column) -> Column:
+    """Response phase of a recommendation; Detection & Analysis if no word tells another."""
+    return _ladder(F.lower(text), PHASES, F.exists).otherwise("Detection & Analysis")
+
+
+def action_category(text: Column) -> Column:
+    """What a recommendation asks for, coarsely; null if no rule holds."""
+    return _ladder(F.lower(text), ACTIONS, F.forall)
 
 
 def severity_word(text: Column) -> Column:

@@ -113,3 +113,8 @@ def score_summary(df: DataFrame, sets: list[list[str]], score: str, passed: str)
     """Mean, population deviation, pass rate and range for each grouping set; keys that a set leaves out are null."""
     names = sorted({k for s in sets for k in s})
     return df.groupingSets([tuple(F.col(k) for k in s) for s in sets], *names).agg(F.count("*").alias("n"), F.round(F.avg(score), 6).alias("mean"), F.round(F.stddev_pop(score), 6).alias("deviation"), F.round(F.avg(F.col(passed).cast("double")), 6).alias("pass_rate"), F.min(score).alias("least"), F.max(score).alias("most"))
+
+
+def lines_to_templates(mapping: DataFrame, template: str = "event_template", lines: str = "line_ids") -> DataFrame:
+    """(line_id, template) of rows (template, line ids), of which a template may have many."""
+    return mapping.select(F.explode(lines).alias("line_id"), template)

@@ -24,24 +24,34 @@ def benign(df: DataFrame) -> DataFrame:
     return df.filter(there("event_id") & there("provider") & there("channel") & ~there("mitre_id") & ~there("mitre_tactic"))
 
 
-#: Important fields and the names, in lower case without separators, that stand for them.
+#: Important fields and the names, in lower case without separators, that stand for them (as beginnings too).
 IMPORTANT = {
-    "user": ("user", "username", "accountname", "subjectusername", "targetusername"), "process": ("image", "processname", "newprocessname"), "parent_process": ("parentimage", "parentprocessname"),
-    "command_line": ("commandline", "processcommandline"), "target_object": ("targetobject", "objectname"), "target_filename": ("targetfilename", "filename"), "source_ip": ("sourceip", "ipaddress", "sourceaddress"),
-    "destination_ip": ("destinationip", "destinationaddress"), "destination_port": ("destinationport",), "query_name": ("queryname",), "service_name": ("servicename",), "share_name": ("sharename",),
-    "logon_type": ("logontype",), "host": ("computer", "hostname", "workstationname"), "granted_access": ("grantedaccess",), "hashes": ("hashes", "hash"),
+    "image": ("image", "targetimage", "sourceimage", "newprocessname"), "command_line": ("commandline", "details", "parentcommandline"), "parent_image": ("parentimage",), "image_loaded": ("imageloaded", "loadedimage"),
+    "signature": ("signed", "signature"), "signature_status": ("signaturestatus",), "target_object": ("targetobject", "targetfilename", "imagepath"), "object_name": ("objectname",), "object_type": ("objecttype",),
+    "relative_target_name": ("relativetargetname",), "share_name": ("sharename",), "access_mask": ("accessmask",), "user": ("user", "targetuser", "parentuser", "subjectusername"), "subject_user": ("subjectusername",),
+    "target_user": ("targetusername", "accountname"), "process_name": ("processname",), "hashes": ("hashes", "hash", "sha256", "md5"), "destination_ip": ("destinationip", "destip", "ip"),
+    "destination_port": ("destinationport", "destport", "port"), "source_ip": ("sourceip",), "source_port": ("sourceport",), "process_guid": ("processguid", "targetprocessguid", "sourceprocessguid"),
+    "process_id": ("processid", "targetprocessid", "sourceprocessid"), "parent_process_id": ("parentprocessid",), "query_name": ("queryname",), "query_results": ("queryresults",), "granted_access": ("grantedaccess",),
+    "call_trace": ("calltrace",), "protocol": ("protocol",), "domain": ("domain", "domain1"), "url": ("url", "url1"),
 }
-SUMMARY_FIELDS = ("user", "process", "command_line", "target_object", "target_filename", "source_ip", "destination_ip", "query_name")
+SUMMARY_FIELDS = ("image", "command_line", "parent_image", "target_object", "destination_ip", "destination_port", "query_name", "user")
 
 
 def important_fields(pairs: Column) -> Column:
-    """struct of the important fields: of the pairs whose key, without case and separators, equals an alias or starts with it, the first."""
-    norm = lambda k: F.regexp_replace(F.lower(k), "[^a-z0-9]", "")
+    """struct of the important fields: the value of the first pair that has one and whose key is or starts with a name of the field; null if none."""
+    keyed = F.transform(pairs, lambda p: F.struct(F.regexp_replace(F.lower(p["key"]), "[^a-z0-9]", "").alias("key"), p["value"].alias("value")))
 
-    def pick(alias: str) -> Column:
-        return F.try_element_at(F.filter(pairs, lambda p: (norm(p["key"]) == alias) | norm(p["key"]).startswith(alias)), F.lit(1))["value"]
+    def pick(of: Column, names: tuple[str, ...]) -> Column:
+        held = F.filter(of, lambda p: F.exists(F.array(*map(F.lit, names)), lambda n: F.startswith(p["key"], n)) & (p["value"] != ""))
+        return F.try_element_at(held, F.lit(1))["value"]
 
-    return F.struct(*[F.coalesce(*map(pick, aliases)).alias(n) for n, aliases in IMPORTANT.items()])
+    return T.bound(keyed, lambda of: F.struct(*[pick(of, names).alias(n) for n, names in IMPORTANT.items()]))
+
+
+def attack_context(template: Column, fields: Column) -> Column:
+    """The template and all important fields that are there, names and values, as one text in lower case."""
+    parts = [F.when(fields[n].isNotNull(), F.concat(F.lit(f"{n} "), fields[n])) for n in IMPORTANT]
+    return F.lower(F.concat_ws(" ", template, *parts))
 
 
 def event_identity(template: Column) -> tuple[Column, Column]:
@@ -82,11 +92,37 @@ def artifacts(pairs: Column) -> Column:
     return F.struct(*[F.nullif(T.first_value(pairs, *keys), F.lit("")).alias(n) for n, keys in ARTIFACTS.items()])
 
 
-def report_checks(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
-    """score (share of checks passed) and failed (array of names)."""
-    passed = sum((c.cast("int") for c in checks.values()), F.lit(0))
-    failed = F.filter(F.array(*[F.when(~c, F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull())
-    return df.withColumn("score", passed / float(len(checks))).withColumn("failed", failed)
+#: Words that a report's checks look for.
+PLACEHOLDER = r"\[(?:action item|mitigation measure|specific steps|recommended action|placeholder|todo)[^\]]*\]"
+LIMITS = ("limitation", "limitations", "keterbatasan", "enrichment", "tidak tersedia", "no_result", "no result", "error")
+LOCAL = ("private", "internal", "lokal", "local")
+CLAIMS = r"(confirmed|terkonfirmasi|terbukti).{0,40}(malware|c2|command and control|exfiltration|compromise|kompromi)"
+ADVICE = ("recommend", "recommendation", "rekomendasi", "tindak lanjut", "triage", "triase")
+CONCRETE = ("eventid", "user", "process", "registry", "share", "host", "ip")
+
+
+def report_checks(df: DataFrame, text: str = "text", event_id: str = "event_id", tactic: str = "tactic", has_limits: str = "has_limits", has_internal: str = "has_internal", positives: str = "positives") -> DataFrame:
+    """score (share of the eight checks of a report that it passes) and failed (their names, in order).
+
+    has_limits: a lookup failed or found nothing; has_internal: there are internal indicators; positives: malicious and suspicious answers.
+    A null event id needs no mention. A null text is empty.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    low = F.lower(whole)
+    number = F.col(event_id).cast("string")
+    some = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    checks = {
+        "non_empty_output": F.length(F.regexp_replace(whole, r"^\s+|\s+$", "")) >= 80,
+        "no_template_placeholders": ~low.rlike(PLACEHOLDER),
+        "mentions_primary_event": number.isNull() | F.regexp_like(low, F.concat(F.lit(r"eventid\s*=?\s*"), number, F.lit(r"\b"))),
+        "mentions_tactic_or_artifact": F.contains(low, F.lower(F.coalesce(F.col(tactic), F.lit("")))) | F.coalesce(F.contains(low, F.concat(F.lit("eventid "), number)), F.lit(False)),
+        "states_enrichment_limitations": ~F.col(has_limits) | some(LIMITS),
+        "calibrates_internal_iocs": ~F.col(has_internal) | some(LOCAL),
+        "avoids_unsupported_confirmed_claims": (F.col(positives) > 0) | ~low.rlike(CLAIMS),
+        "has_actionable_recommendation_evidence": some(ADVICE) & some(CONCRETE),
+    }
+    tested = F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(c, F.lit(False)).alias("ok")) for n, c in checks.items()])
+    return df.withColumn("failed", F.transform(F.filter(tested, lambda c: ~c["ok"]), lambda c: c["name"])).withColumn("score", 1 - F.size("failed") / float(len(checks)))
 
 
 def reviewer_verdicts(df: DataFrame, answer: str) -> DataFrame:

@@ -163,11 +163,12 @@ def a37_window_indicators(spark, d):
     return ops.first_distinct(rows, ["window_id"], "value", "line_id", 5).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-_WORDS = "w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en'), v AS (SELECT 'the' AS word, [1.0, 0.5] AS vec UNION ALL SELECT 'and', [0.25, 2.0] UNION ALL SELECT 'of', [3.0, -1.0])"
+LINES_A_ROW = 1_000
+_WORDS = "w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), v AS (SELECT 'the' AS word, [1.0, 0.5] AS vec UNION ALL SELECT 'and', [0.25, 2.0] UNION ALL SELECT 'of', [3.0, -1.0])"
 
 
 def _words(spark, d):
-    docs = A.table(spark, d, "documents").filter("lang = 'en'")
+    docs = A.table(spark, d, "documents")
     words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
     vectors = spark.createDataFrame([("the", [1.0, 0.5]), ("and", [0.25, 2.0]), ("of", [3.0, -1.0])], "word string, vec array<double>")
     return words, vectors
@@ -219,9 +220,11 @@ def a43_case_enrichment_summary(spark, d):
 
 @query(f"WITH {LOG_SQL}, g AS (SELECT event_template, list(line_id) AS ids FROM log GROUP BY 1), x AS (SELECT event_template, unnest(ids) AS line_id FROM g) SELECT line_id, x.event_template, host FROM x JOIN log USING (line_id)")
 def a44_line_to_template(spark, d):
+    """Each template's line ids come in rows of at most LINES_A_ROW."""
     log = A.structured_log(spark, d)
-    pairs = log.groupBy("event_template").agg(F.collect_list("line_id").alias("ids")).select("event_template", F.explode("ids").alias("line_id"))
-    return pairs.join(log.select("line_id", "host"), "line_id")
+    chunk = F.floor(F.col("line_id") / LINES_A_ROW)
+    mapping = log.groupBy("event_template", chunk.alias("chunk")).agg(F.collect_list("line_id").alias("line_ids")).drop("chunk")
+    return ops.lines_to_templates(mapping).join(log.select("line_id", "host"), "line_id")
 
 
 @query("SELECT dim, round(sum(x) / (count(*) + 4), 6) AS value FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) GROUP BY dim")

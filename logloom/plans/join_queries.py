@@ -144,12 +144,12 @@ _NORM = "regexp_replace(regexp_replace(lower({0}), '^[a-z]+://', ''), '/+$', '')
 _HOST = f"regexp_extract({_NORM}, '^([^/:?#]+)', 1)"
 
 
-@query(f"""WITH a AS (SELECT DISTINCT url AS ioc, {_NORM.format('url')} AS n, {_HOST.format('url')} AS h FROM pages WHERE page_id % 5 = 0), b AS (SELECT page_id AS feed_id, {_NORM.format('url')} AS fn, {_HOST.format('url')} AS h FROM pages),
+@query(f"""WITH a AS (SELECT DISTINCT url AS ioc, {_NORM.format('url')} AS n, {_HOST.format('url')} AS h FROM pages), b AS (SELECT page_id AS feed_id, {_NORM.format('url')} AS fn, {_HOST.format('url')} AS h FROM pages),
 x AS (SELECT ioc, feed_id, row_number() OVER (PARTITION BY ioc ORDER BY feed_id) AS r FROM a JOIN b USING (h) WHERE n <> fn)
 SELECT ioc, feed_id, 'exact' AS match FROM a JOIN b ON n = fn UNION ALL SELECT ioc, feed_id, 'related' FROM x WHERE r <= 5""")
 def j16_feed_matches(spark, d):
     p = A.table(spark, d, "pages")
-    return ops.feed_matches(p.filter("page_id % 5 = 0").select(F.col("url").alias("ioc")).distinct(), p.select(F.col("page_id").alias("feed_id"), F.col("url").alias("ioc")))
+    return ops.feed_matches(p.select(F.col("url").alias("ioc")).distinct(), p.select(F.col("page_id").alias("feed_id"), F.col("url").alias("ioc")))
 
 
 @query(f"WITH {LOG_SQL}, r AS (SELECT host AS profile, k % 5 AS topk, count(*) AS n FROM log GROUP BY ALL) SELECT c.profile, c.topk, n FROM (VALUES ('host_1', 3), ('host_2', 4), ('absent', 1)) c(profile, topk) LEFT JOIN r USING (profile, topk)")

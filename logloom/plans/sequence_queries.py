@@ -133,11 +133,11 @@ def w17_split_per_host(spark, d):
     return ops.split_by_order(A.structured_log(spark, d), ["host"], "line_id", 0.8).select("host", "line_id", "is_train")
 
 
-@query(f"""WITH {LOG_SQL}, a AS (SELECT count(*) AS n FROM log WHERE y = 1 AND k < 20), r AS (SELECT line_id, y, row_number() OVER (ORDER BY md5('42|' || line_id), line_id) AS i FROM log WHERE y = 0)
-SELECT line_id, y FROM r, a WHERE i <= 2 * n UNION ALL SELECT line_id, y FROM log WHERE y = 1 AND k < 20""")
+@query(f"""WITH {LOG_SQL}, a AS (SELECT count(*) AS n FROM log WHERE y = 1), r AS (SELECT line_id, y, row_number() OVER (ORDER BY md5('42|' || line_id), line_id) AS i FROM log WHERE y = 0)
+SELECT line_id, y FROM r, a WHERE i <= 2 * n UNION ALL SELECT line_id, y FROM log WHERE y = 1""")
 def w18_class_balance(spark, d):
     log = A.structured_log(spark, d)
-    return ops.balanced(log.filter("y = 0"), log.filter("y = 1 AND k < 20"), "line_id").select("line_id", "y")
+    return ops.balanced(log.filter("y = 0"), log.filter("y = 1"), "line_id").select("line_id", "y")
 
 
 @query(f"""WITH {LOG_SQL}, r AS (SELECT host, event_type, line_id, value, row_number() OVER (PARTITION BY host, event_type ORDER BY value DESC, line_id) AS r, row_number() OVER (PARTITION BY host ORDER BY value DESC, line_id) AS k0 FROM log),
@@ -147,13 +147,13 @@ def w19_round_robin(spark, d):
     return got.select("host", "event_type", "line_id", F.col("pick").cast("bigint").alias("pick"))
 
 
-@query(f"""WITH {LOG_SQL}, h AS (SELECT host, line_id, value, y, row_number() OVER (PARTITION BY host ORDER BY line_id) AS i, row_number() OVER (PARTITION BY host ORDER BY value DESC, line_id) AS s FROM log WHERE k < 40),
+@query(f"""WITH {LOG_SQL}, h AS (SELECT host, line_id, value, y, row_number() OVER (PARTITION BY host ORDER BY line_id) AS i, row_number() OVER (PARTITION BY host ORDER BY value DESC, line_id) AS s FROM log),
 t AS (SELECT host, line_id, value, row_number() OVER (PARTITION BY host ORDER BY value DESC, line_id) AS j FROM h WHERE i > 30 AND (value >= 20 OR y = 1)),
 u AS (SELECT host, line_id FROM h WHERE i <= 30 UNION ALL SELECT host, line_id FROM t WHERE j <= 15)
 SELECT host, line_id, 'EV-LOG-' || lpad(CAST(row_number() OVER (PARTITION BY host ORDER BY line_id) AS VARCHAR), 3, '0') AS evidence_id FROM u""")
 def w21_evidence_numbering(spark, d):
     w = ops.W.partitionBy("host")
-    rows = A.structured_log(spark, d).filter("k < 40").withColumn("i", F.row_number().over(w.orderBy("line_id")))
+    rows = A.structured_log(spark, d).withColumn("i", F.row_number().over(w.orderBy("line_id")))
     tail = ops.first_n(rows.filter("i > 30 AND (value >= 20 OR y = 1)"), ["host"], [F.desc("value"), "line_id"], 15)
     both = rows.filter("i <= 30").select("host", "line_id").unionByName(tail.select("host", "line_id"))
     return both.withColumn("evidence_id", F.format_string("EV-LOG-%03d", F.row_number().over(w.orderBy("line_id"))))

@@ -70,14 +70,14 @@ def s06_label_table(spark, d):
     return back.select("line_id", binary_label(R.first_present(back, *R.LABEL_NAMES)).alias("y"))
 
 
-@query(f"WITH {LOG_SQL}, {LINUX_SQL} SELECT host, CASE WHEN event_type = 'view' THEN 'syslog' ELSE 'auth' END AS source, count(*) AS n FROM linux WHERE host IN ('host_1', 'host_2') GROUP BY ALL")
+@query(f"WITH {LOG_SQL}, {LINUX_SQL} SELECT host, CASE WHEN event_type = 'view' THEN 'syslog' ELSE 'auth' END AS source, count(*) AS n FROM linux GROUP BY ALL")
 def s07_recursive_scan(spark, d):
     folder = _folder(spark)
     rows = A.linux_lines(spark, d).select("host", F.when(F.col("event_type") == "view", "syslog").otherwise("auth.log").alias("stream"), F.col("raw_line").alias("value"))
     rows.write.partitionBy("host", "stream").option("compression", "gzip").text(folder)
     got = R.read_text_log(spark, folder, recursive=True)
     got = got.select(F.regexp_extract("file", "host=([^/]+)/", 1).alias("host"), F.regexp_extract("file", "stream=([a-z]+)", 1).alias("source"))
-    return got.filter(F.col("host").isin("host_1", "host_2")).groupBy("host", "source").agg(F.count("*").alias("n"))
+    return got.groupBy("host", "source").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {LOG_SQL} SELECT line_id, event_type AS message FROM log WHERE y = 0 AND k % 6 <> 0 ORDER BY line_id LIMIT 500")

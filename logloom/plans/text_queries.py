@@ -117,9 +117,10 @@ def p14_linux_template(spark, d):
     return A.linux_lines(spark, d).select("line_id", T.linux_template(line, T.linux_source(line)).alias("template"))
 
 
-@query(f"WITH {LOG_SQL} SELECT line_id, CAST(epoch(strptime('2022' || strftime(ts, '-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S')) AS BIGINT) AS t FROM log WHERE strftime(ts, '%m-%d') <> '02-29'")
+@query(f"WITH {LOG_SQL} SELECT line_id, CASE WHEN strftime(ts, '%m-%d') = '02-29' THEN 0 ELSE CAST(epoch(try_strptime('2022' || strftime(ts, '-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S')) AS BIGINT) END AS t FROM log")
 def p15_linux_epoch(spark, d):
-    return A.linux_lines(spark, d).filter(~F.col("raw_line").startswith("Feb 29")).select("line_id", T.linux_epoch(F.col("raw_line")).alias("t"))
+    """A 29 February is no day of 2022 and gives 0."""
+    return A.linux_lines(spark, d).select("line_id", T.linux_epoch(F.col("raw_line")).alias("t"))
 
 
 @query(f"WITH {LOG_SQL} SELECT line_id, CASE WHEN k % 5 = 4 THEN 0 ELSE t END AS t FROM log")
@@ -131,12 +132,17 @@ def p16_any_epoch(spark, d):
     return log.select("line_id", T.any_epoch(value).alias("t"))
 
 
-@query(f"WITH {LOG_SQL} SELECT line_id, 'ApacheAccess GET ' || (200 + k % 3 * 100) || ' ' || CASE k % 6 WHEN 0 THEN 'sql_probe' WHEN 1 THEN 'file_probe' WHEN 2 THEN 'xss_probe' WHEN 3 THEN 'login' WHEN 4 THEN 'cgi' ELSE 'request' END AS template FROM log")
+@query(f"""WITH {LOG_SQL}, x AS (SELECT line_id, k, CASE k % 8 WHEN 0 THEN 'sql_probe' WHEN 1 THEN 'file_probe' WHEN 2 THEN 'xss_probe' WHEN 3 THEN 'remote_code_probe' WHEN 4 THEN 'login' WHEN 5 THEN 'cgi' ELSE 'request' END AS action FROM log)
+SELECT line_id, CASE k % 3 WHEN 0 THEN 'ApacheAccess method=GET status=' || (200 + k % 4 * 100) || ' action=' || action WHEN 1 THEN 'ApacheError level=' || CASE WHEN k % 2 = 0 THEN 'error' ELSE 'warn' END || ' action=' || action ELSE 'ApacheLog action=' || action END AS template FROM x""")
 def p17_apache_template(spark, d):
+    """Access lines, error lines and lines of no form, with requests of each action, some of them URL-encoded."""
     log = A.structured_log(spark, d)
-    k = F.col("k") % 6
-    path = F.when(k == 0, "/a?q=1%20UNION%20SELECT%202").when(k == 1, "/a?f=../../etc/passwd").when(k == 2, "/a?x=%3Cscript%3E").when(k == 3, "/Login.php").when(k == 4, "/cgi-bin/t").otherwise("/index.html")
-    line = F.concat(F.lit('10.0.0.1 - - [01/Jan/2024:00:00:07 +0000] "GET '), path, F.lit(' HTTP/1.1" '), (200 + F.col("k") % 3 * 100).cast("string"), F.lit(" 512"))
+    k = F.col("k") % 8
+    path = F.when(k == 0, "/a?q=1+UNION+SELECT+2").when(k == 1, "/a?f=%2E%2E/%2e%2e/etc/passwd").when(k == 2, "/a?x=%3Cscript%3E").when(k == 3, "/a?cmd=ls").when(k == 4, "/Login.php").when(k == 5, "/cgi-bin/t").when(k == 6, "/index.html").otherwise("/img/a.png")
+    status = (200 + F.col("k") % 4 * 100).cast("string")
+    access = F.concat(F.lit('10.0.0.1 - - [01/Jan/2024:00:00:07 +0000] "get '), path, F.lit(' HTTP/1.1" '), status, F.lit(" 512"))
+    error = F.concat(F.lit("[Mon Jan 01 00:00:07.123456 2024] ["), F.when(F.col("k") % 2 == 0, "Error").otherwise("warn:http"), F.lit("] [pid 7] client asked for "), path)
+    line = F.when(F.col("k") % 3 == 0, access).when(F.col("k") % 3 == 1, error).otherwise(F.concat(F.lit("asked for "), path))
     return log.select("line_id", T.apache_template(line).alias("template"))
 
 
@@ -181,31 +187,40 @@ def p23_key_values(spark, d):
 
 _PORTS = "CASE destination_port WHEN '443' THEN 'web' WHEN '3389' THEN 'rdp' WHEN '53' THEN 'dns' WHEN '700' THEN 'privileged' WHEN '8080' THEN 'high' WHEN '60000' THEN 'ephemeral' ELSE 'unknown' END"
 _IMAGES = "CASE WHEN contains(image, 'powershell') THEN 'powershell' WHEN contains(image, 'Temp') THEN 'user_temp' WHEN contains(image, 'Program Files') THEN 'program_files' WHEN contains(image, 'svchost') THEN 'windows_service' WHEN image = 'System' THEN 'system' ELSE 'rundll32' END"
+_COMMANDS = "CASE WHEN contains(command_line, '-enc') THEN 'encoded' WHEN contains(command_line, 'curl') THEN 'download' WHEN contains(command_line, 'whoami') THEN 'discovery' WHEN contains(command_line, 'hidden') THEN 'suspicious' ELSE 'other' END"
+_ACCESS = "CASE granted_access WHEN '0x1010' THEN 'high' WHEN '1024' THEN 'high' WHEN '0x1' THEN 'low' ELSE 'unknown' END"
+_QUERIES = "CASE WHEN query_name = '' THEN 'unknown' WHEN ends_with(query_name, '.local') THEN 'internal' WHEN starts_with(query_name, '10.') THEN 'private' ELSE 'domain' END"
 _USERS = "CASE WHEN contains(username, 'SYSTEM') THEN 'system' WHEN contains(username, 'NETWORK') THEN 'network_service' WHEN ends_with(username, '$') THEN 'machine' ELSE 'user' END"
 _IPS = "CASE WHEN starts_with(destination_ip, '10.') THEN 'private' WHEN starts_with(destination_ip, '8.') THEN 'public' WHEN starts_with(destination_ip, '127') THEN 'loopback' WHEN starts_with(destination_ip, '169') THEN 'link_local' ELSE 'hostname' END"
 
 
 @query(rf"""WITH {LOG_SQL}, {SYSMON_SQL} SELECT line_id, {_IMAGES} AS image, {_USERS} AS user_class, {_IPS} AS ip, {_PORTS} AS port,
-CASE WHEN contains(command_line, '-enc') THEN 'encoded' WHEN contains(command_line, 'curl') THEN 'download' WHEN contains(command_line, 'whoami') THEN 'discovery' WHEN contains(command_line, 'hidden') THEN 'suspicious' ELSE 'other' END AS command, CASE granted_access WHEN '0x1010' THEN 'high' WHEN '1024' THEN 'high' WHEN '0x1' THEN 'low' ELSE 'unknown' END AS access,
-CASE WHEN contains(target_object, 'Run') THEN 'autorun' WHEN contains(target_object, 'Services') THEN 'services' ELSE 'hkcu' END AS registry, CASE WHEN query_name = '' THEN 'unknown' WHEN ends_with(query_name, '.local') THEN 'internal' WHEN starts_with(query_name, '10.') THEN 'private' ELSE 'domain' END AS query FROM sysmon""")
+{_COMMANDS} AS command, {_ACCESS} AS access,
+CASE WHEN contains(target_object, 'Run') THEN 'autorun' WHEN contains(target_object, 'Services') THEN 'services' ELSE 'hkcu' END AS registry, {_QUERIES} AS query FROM sysmon""")
 def p24_field_classes(spark, d):
     made = {"image": sysmon.process_class("image"), "user_class": sysmon.user_class("username"), "ip": sysmon.ip_class("destination_ip"), "port": sysmon.port_class("destination_port"), "command": sysmon.command_class("command_line"), "access": sysmon.access_class("granted_access"), "registry": sysmon.registry_class("target_object"), "query": sysmon.query_class("query_name")}
     return A.sysmon_rows(spark, d).select("line_id", *[c.alias(n) for n, c in made.items()])
 
 
 @query(f"""WITH {LOG_SQL}, {SYSMON_SQL} SELECT line_id, 'Microsoft-Windows-Sysmon EventID=' || event_id || CASE event_id WHEN 3 THEN ' ImageClass=' || {_IMAGES} || ' UserClass=' || {_USERS} || ' DestinationClass=' || {_IPS} || ' DestinationPortClass=' || {_PORTS}
-WHEN 13 THEN ' ImageClass=' || {_IMAGES} || ' RegistryClass=' || CASE WHEN contains(target_object, 'Run') THEN 'autorun' WHEN contains(target_object, 'Services') THEN 'services' ELSE 'hkcu' END || ' UserClass=' || {_USERS} END AS template FROM sysmon WHERE event_id IN (3, 13)""")
+WHEN 13 THEN ' ImageClass=' || {_IMAGES} || ' RegistryClass=' || CASE WHEN contains(target_object, 'Run') THEN 'autorun' WHEN contains(target_object, 'Services') THEN 'services' ELSE 'hkcu' END || ' UserClass=' || {_USERS}
+WHEN 1 THEN ' ImageClass=' || {_IMAGES} || ' CmdClass=' || {_COMMANDS} || ' ParentClass=unknown UserClass=' || {_USERS}
+WHEN 10 THEN ' SourceClass=unknown TargetClass=unknown AccessClass=' || {_ACCESS} || ' UserClass=' || {_USERS}
+WHEN 22 THEN ' ImageClass=' || {_IMAGES} || ' QueryClass=' || {_QUERIES} || ' UserClass=' || {_USERS} END AS template FROM sysmon""")
 def p25_enriched_template(spark, d):
-    return A.sysmon_rows(spark, d).filter("event_id IN (3, 13)").select("line_id", sysmon.enriched_template(F.col("event_template"), F.col("content")).alias("template"))
+    return A.sysmon_rows(spark, d).select("line_id", sysmon.enriched_template(F.col("event_template"), F.col("content")).alias("template"))
+
 
+_FIELDS = {"image": "image", "command_line": "command_line", "target_object": "target_object", "user": "username", "destination_ip": "nullif(destination_ip, '')", "destination_port": "nullif(destination_port, '')", "query_name": "nullif(query_name, '')", "granted_access": "granted_access"}
 
-@query(f"WITH {LOG_SQL}, {SYSMON_SQL} SELECT line_id, username AS \"user\", image AS process, command_line FROM sysmon")
+
+@query(f"WITH {LOG_SQL}, {SYSMON_SQL} SELECT line_id, " + ", ".join(f'{_FIELDS.get(n, "CAST(NULL AS VARCHAR)")} AS "{n}"' for n in parse.IMPORTANT) + " FROM sysmon")
 def p26_important_fields(spark, d):
     got = A.sysmon_rows(spark, d).withColumn("f", parse.important_fields(T.key_values(F.col("content"))))
-    return got.select("line_id", F.col("f.user").alias("user"), F.col("f.process").alias("process"), F.col("f.command_line").alias("command_line"))
+    return got.select("line_id", "f.*")
 
 
-@query(f"WITH {LOG_SQL}, {SYSMON_SQL} SELECT line_id, 'Microsoft-Windows-Sysmon' AS provider, CAST(event_id AS VARCHAR) AS event_id, 'Microsoft-Windows-Sysmon EventID=' || event_id || ' | user=' || username || ' | process=' || image || ' | command_line=' || command_line || ' | target_object=' || target_object AS summary FROM sysmon")
+@query(f"WITH {LOG_SQL}, {SYSMON_SQL} SELECT line_id, 'Microsoft-Windows-Sysmon' AS provider, CAST(event_id AS VARCHAR) AS event_id, concat_ws(' | ', 'Microsoft-Windows-Sysmon EventID=' || event_id, 'image=' || image, 'command_line=' || command_line, 'target_object=' || target_object, coalesce('destination_ip=' || nullif(destination_ip, ''), 'destination_port=' || nullif(destination_port, ''), 'query_name=' || nullif(query_name, ''), 'user=' || username)) AS summary FROM sysmon")
 def p27_event_identity(spark, d):
     rows = A.sysmon_rows(spark, d).withColumn("template", F.concat(F.lit("Microsoft-Windows-Sysmon EventID="), F.col("event_id").cast("string")))
     provider, number = parse.event_identity(F.col("template"))
@@ -266,11 +281,12 @@ def p36_text_normalisers(spark, d):
     return A.table(spark, d, "documents").select("doc_id", F.md5(T.ascii_fold(F.col("text"), 200)).alias("folded"))
 
 
-@query(f"WITH {LOG_SQL} SELECT line_id, CASE k % 5 WHEN 0 THEN 'contain' WHEN 1 THEN 'eradicate' WHEN 2 THEN 'recover' WHEN 3 THEN 'monitor' ELSE 'general' END AS phase FROM log")
+@query(f"""WITH {LOG_SQL} SELECT line_id, CASE k % 7 WHEN 0 THEN 'Containment' WHEN 1 THEN 'Eradication' WHEN 2 THEN 'Recovery' WHEN 3 THEN 'Containment' ELSE 'Detection & Analysis' END AS phase,
+CASE k % 7 WHEN 0 THEN 'ioc_block' WHEN 3 THEN 'ioc_block' WHEN 4 THEN 'window_triage' WHEN 5 THEN 'timeline_reconstruction' END AS category FROM log""")
 def p37_phase_tag(spark, d):
-    k = F.col("k") % 5
-    t = F.when(k == 0, "Isolate the host").when(k == 1, "Remove the file").when(k == 2, "Reset accounts").when(k == 3, "Watch the logs").otherwise("Tell people")
-    return A.structured_log(spark, d).select("line_id", T.phase_tag(t).alias("phase"))
+    k = F.col("k") % 7
+    t = F.when(k == 0, "Blokir semua IOC di firewall").when(k == 1, "Hapus berkas itu").when(k == 2, "Restore the backup").when(k == 3, "Block each IOC, then recover").when(k == 4, "Triase window nomor 3").when(k == 5, "Build a timeline").otherwise("Tell people")
+    return A.structured_log(spark, d).select("line_id", T.phase_tag(t).alias("phase"), T.action_category(t).alias("category"))
 
 
 @query(f"WITH {LOG_SQL} SELECT line_id, CASE k % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' END AS severity FROM log")
@@ -280,18 +296,36 @@ def p38_severity_word(spark, d):
     return A.structured_log(spark, d).select("line_id", T.severity_word(t).alias("severity"))
 
 
-@query("SELECT doc_id, (CASE WHEN length(text) > 100 THEN 1 ELSE 0 END + CASE WHEN contains(text, chr(10)) THEN 1 ELSE 0 END + CASE WHEN contains(text, '.') THEN 1 ELSE 0 END + CASE WHEN contains(text, '|') THEN 0 ELSE 1 END) / 4.0 AS score, concat_ws('|', CASE WHEN length(text) <= 100 THEN 'long' END, CASE WHEN NOT contains(text, chr(10)) THEN 'lines' END, CASE WHEN NOT contains(text, '.') THEN 'sentences' END, CASE WHEN contains(text, '|') THEN 'no_tables' END) AS failed FROM documents")
+_REPORT = r"""r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'EventID 10: triage the host of user bob. ' || text WHEN 2 THEN 'Confirmed C2 traffic. [TODO: fill in] No result for a private address. ' || text ELSE 'short' END AS t,
+  CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 10 END AS event_id, 'lateral movement' AS tactic, doc_id % 2 = 0 AS has_limits, doc_id % 3 = 0 AS has_internal, CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END AS positives FROM documents)"""
+_SOME = lambda words: "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
+
+
+@query(rf"""WITH {_REPORT}, x AS (SELECT *, lower(coalesce(t, '')) AS low FROM r), c AS (SELECT doc_id, [
+  length(regexp_replace(coalesce(t, ''), '^\s+|\s+$', '', 'g')) >= 80, NOT regexp_matches(low, '\[(?:action item|mitigation measure|specific steps|recommended action|placeholder|todo)[^\]]*\]'),
+  event_id IS NULL OR regexp_matches(low, 'eventid\s*=?\s*10\b'), contains(low, 'lateral movement') OR (event_id IS NOT NULL AND contains(low, 'eventid 10')),
+  NOT has_limits OR {_SOME(parse.LIMITS)}, NOT has_internal OR {_SOME(parse.LOCAL)},
+  positives > 0 OR NOT regexp_matches(low, '(confirmed|terkonfirmasi|terbukti).{{0,40}}(malware|c2|command and control|exfiltration|compromise|kompromi)'), {_SOME(parse.ADVICE)} AND {_SOME(parse.CONCRETE)}] AS ok FROM x),
+n AS (SELECT ['non_empty_output', 'no_template_placeholders', 'mentions_primary_event', 'mentions_tactic_or_artifact', 'states_enrichment_limitations', 'calibrates_internal_iocs', 'avoids_unsupported_confirmed_claims', 'has_actionable_recommendation_evidence'] AS names)
+SELECT doc_id, len(list_filter(ok, lambda o: o)) / 8.0 AS score, array_to_string(list_filter(list_transform(range(1, 9), lambda i: CASE WHEN ok[i] THEN '' ELSE names[i] END), lambda f: f <> ''), '|') AS failed FROM c, n""")
 def p39_report_checks(spark, d):
-    t = F.col("text")
-    got = parse.report_checks(A.table(spark, d, "documents"), {"long": F.length(t) > 100, "lines": F.contains(t, F.lit("\n")), "sentences": F.contains(t, F.lit(".")), "no_tables": ~F.contains(t, F.lit("|"))})
-    return got.select("doc_id", "score", F.array_join("failed", "|").alias("failed"))
+    """Documents as reports: as they are, with a finding before them, with claims and placeholders, and too short."""
+    n, text = F.col("doc_id"), F.col("text")
+    t = F.when(n % 4 == 0, text).when(n % 4 == 1, F.concat(F.lit("EventID 10: triage the host of user bob. "), text)).when(n % 4 == 2, F.concat(F.lit("Confirmed C2 traffic. [TODO: fill in] No result for a private address. "), text)).otherwise("short")
+    docs = A.table(spark, d, "documents").select("doc_id", t.alias("text"), F.when(n % 5 != 0, 10).alias("event_id"), F.lit("lateral movement").alias("tactic"), (n % 2 == 0).alias("has_limits"), (n % 3 == 0).alias("has_internal"), F.when(n % 6 == 0, 1).otherwise(0).alias("positives"))
+    return parse.report_checks(docs).select("doc_id", "score", F.array_join("failed", "|").alias("failed"))
+
+
+_BLOCK_LINE = "CASE k % 3 WHEN 0 THEN 'INFO dfs.DataNode$PacketResponder: Received block blk_-' || k || '608 of size ' || line_id || ' from /10.250.' || k || '.7:50010' WHEN 1 THEN 'WARN dfs.FSNamesystem: BLOCK* ' || host || ' ask /mnt/data/part to delete blk_' || k || '1' ELSE 'INFO x: a.b ' || event_type || ' (done)' END"
 
 
-@query(rf"""WITH {LOG_SQL}, r AS (SELECT line_id, 'session ' || host || ' blk from' AS t FROM log) SELECT line_id, trim(regexp_replace(regexp_replace(t, '\d+', ' ', 'g'), '\s+', ' ', 'g')) AS content FROM r""")
+@query(rf"""WITH {LOG_SQL}, r AS (SELECT line_id, {_BLOCK_LINE} AS t FROM log), s AS (SELECT line_id, regexp_replace(array_to_string((string_split_regex(t, '\s+'))[3:], ' '), '[\-~!@#$\\.=%^&*()_+`{{}};'':",\[\]<>]+', ' ', 'g') AS t FROM r),
+x AS (SELECT line_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, 'blk_(|-)[0-9]+', '', 'g'), '(/|)([0-9]+\.){{3}}[0-9]+(:[0-9]+|)(:|)', '', 'g'), '[0-9]+', '', 'g'), '/.+', '', 'g'), '\S+\.\S+', '', 'g') AS t FROM s)
+SELECT line_id, replace(trim(regexp_replace(t, '\s+', ' ', 'g')), ' ', '$$') AS content FROM x""")
 def p40_header_stripped(spark, d):
-    line = F.concat(F.lit("081109 203518 143 INFO dfs: session "), "host", F.lit(" blk_-160, from 10.0.0.1:50"), F.lit(""))
-    got = A.structured_log(spark, d).select("line_id", T.header_stripped(line).alias("content"))
-    return got.withColumn("content", F.regexp_replace("content", " from$", " blk from"))
+    """Block-log lines with a header of five words: date, time, thread, level and component."""
+    line = F.concat(F.lit("081109 203518 143 "), F.expr(_BLOCK_LINE.replace("||", "||")))
+    return A.structured_log(spark, d).select("line_id", T.header_stripped(line).alias("content"))
 
 
 @query(f"WITH {LOG_SQL} SELECT line_id, CASE k % 3 WHEN 0 THEN 'suspicious' WHEN 1 THEN 'noise' ELSE 'uncertain' END AS verdict FROM log")
