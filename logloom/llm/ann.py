@@ -103,41 +103,80 @@ class CentroidGraph:
 
 @dataclass
 class Index:
-    """How vectors are dealt to lists: the graph, the dimension, and the limits of replication."""
+    """How vectors are dealt to lists and which lists a query visits: the graph, the dimension, and limits that fit() measures.
+
+    spread: a vector also goes to lists at most so much farther than its nearest (`copies` lists at most); ratio: a query visits lists at most
+    so much farther than its nearest, of the `beam` nearest that the graph finds.
+    """
 
     graph: CentroidGraph
     dimension: int
     spread: float
     copies: int
+    ratio: float = 0.0
+    beam: int = 64
 
     def lists_of(self, x: np.ndarray) -> list[list[int]]:
-        """Lists of each vector: the nearest, and others of nearly its distance unless one taken already is nearer to them than the vector is."""
-        out, c = [], self.graph.centroids
+        """Lists of each vector: the nearest, and others of nearly its distance."""
+        return self._within(x, 2 * self.copies + 8, self.spread, self.copies)
+
+    def visited(self, x: np.ndarray) -> list[list[int]]:
+        """Lists that a query visits."""
+        return self._within(x, self.beam, self.ratio, self.beam)
+
+    def _within(self, x: np.ndarray, beam: int, share: float, most: int) -> list[list[int]]:
+        out = []
         for at in range(0, len(x), 512):
-            number, distance = self.graph.search(x[at : at + 512], 2 * self.copies + 8)
-            for i, d in zip(number, distance, strict=True):
-                taken = [int(i[0])]
-                for j, dj in zip(i[1:], d[1:], strict=True):
-                    if len(taken) == self.copies or dj > (1 + self.spread) * d[0]:
-                        break
-                    if all(((c[t] - c[j]) ** 2).sum() >= dj * dj for t in taken):
-                        taken.append(int(j))
-                out.append(taken)
+            number, distance = self.graph.search(x[at : at + 512], beam)
+            out += [i[: max(1, min(most, int((d <= (1 + share) * d[0]).sum())))].tolist() for i, d in zip(number, distance, strict=True)]
         return out
 
 
-def fit(vectors: DataFrame, rows: int, list_size: int = 256, max_lists: int = 2048, max_sample: int = 20_000, spread: float = 0.15, copies: int = 4) -> Index | None:
-    """Fit centroids to a bounded sample of about max_sample vectors (fewer where they would take over SAMPLE_BYTES), chosen by a hash.
-
-    rows is the table's count: one list for each list_size rows, max_lists at most. Vectors of another dimension than most take no part.
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * (x @ y.T), 0))
+
+
+def calibrate(index: Index, x: np.ndarray, boundary: float, recall: float, queries: int, near: int = 10) -> None:
+    """Set the limits by sample vectors: so that a share `boundary` of them lies in more lists than one, and a share `recall` of the nearest others of
+    `queries` of them lies in a list that is visited (exact distances; in the sample neighbours are farther than in the table, so that this errs
+    on the side of visiting)."""
+    c = index.graph.centroids
+    if len(c) < 2 or len(x) <= near:
+        return
+    few = x[np.linspace(0, len(x) - 1, min(len(x), 2_000)).astype(int)]
+    two = np.partition(_distances(few, c), 1, axis=1)[:, :2]
+    index.spread = float(np.quantile(two[:, 1] / np.maximum(two[:, 0], 1e-300) - 1, boundary))
+    asked = np.unique(np.linspace(0, len(x) - 1, min(len(x), queries)).astype(int))
+    d = _distances(x[asked], x)
+    d[np.arange(len(asked)), asked] = np.inf
+    nearest = np.argpartition(d, near, axis=1)[:, :near]
+    to_list = _distances(x[asked], c)
+    first = to_list.min(1)
+    lists = index.lists_of(x[np.unique(nearest)])
+    of = dict(zip(np.unique(nearest).tolist(), lists, strict=True))
+    need = [min(to_list[i][of[n]]) / max(first[i], 1e-300) - 1 for i, row in enumerate(nearest.tolist()) for n in row]
+    index.ratio = float(np.quantile(need, recall))
+    within = (to_list <= (1 + index.ratio) * first[:, None]).sum(1)
+    index.beam = int(min(len(c), max(64, 1.25 * np.quantile(within, 0.99))))
+
+
+def fit(vectors: DataFrame, rows: int, list_size: int = 256, max_sample: int = 20_000, boundary: float = 0.25, recall: float = 0.94, copies: int = 4, queries: int = 256) -> Index | None:
+    """Fit centroids and limits to a bounded sample, chosen by a hash: about max_sample vectors, or 16 for each list where that is more, fewer
+    where they would take over SAMPLE_BYTES.
+
+    rows is the table's count: one list for each list_size rows, one for each eight sample vectors at most (8,192 lists of 64 doubles). Vectors
+    of another dimension than most take no part.
     """
     dims = vectors.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if dims is None:
         return None
-    few = bounded_sample(vectors.filter(F.size("v") == dims["n"]), F.col("id"), max(64, min(max_sample, SAMPLE_BYTES // (8 * dims["n"]))), 5)
+    wanted = max(1, rows // list_size)
+    few = bounded_sample(vectors.filter(F.size("v") == dims["n"]), F.col("id"), max(64, min(max(max_sample, 16 * wanted), SAMPLE_BYTES // (8 * dims["n"]))), 5)
     x = np.array(few.select("v").toArrow().to_pandas()["v"].tolist(), np.float64).reshape(-1, dims["n"])
     x = np.unique(x, axis=0)
-    return Index(CentroidGraph.build(balanced_centroids(x, min(max_lists, max(1, rows // list_size), max(1, len(x) // 8)))), dims["n"], spread, copies)
+    index = Index(CentroidGraph.build(balanced_centroids(x, min(wanted, max(1, len(x) // 8)))), dims["n"], 0.0, copies)
+    calibrate(index, x[np.random.default_rng(5).permutation(len(x))], boundary, recall, queries)
+    return index
 
 
 def _matrix(column, dimension: int) -> np.ndarray:
@@ -166,7 +205,7 @@ def _nearest(queries: DataFrame, postings: DataFrame, sizes: DataFrame, dimensio
     """(query_id, id, score): the k nearest of each list's chunk for each query dealt to it. Long lists are dealt to chunks and many
     queries to blocks, both by hash, so that no group passes about CHUNK rows and QUERY_BLOCK queries."""
     asked = queries.groupBy("list").agg(F.count("*").alias("asked"))
-    parts = F.broadcast(sizes.join(asked, "list").select("list", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), F.ceil(F.col("asked") / QUERY_BLOCK).cast("int").alias("blocks")))  # a row for each list: at most max_lists
+    parts = F.broadcast(sizes.join(asked, "list").select("list", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), F.ceil(F.col("asked") / QUERY_BLOCK).cast("int").alias("blocks")))  # a row for each list
     left = queries.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "v")
     right = postings.join(parts, "list").select("list", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v")
 
@@ -197,11 +236,11 @@ def _nearest(queries: DataFrame, postings: DataFrame, sizes: DataFrame, dimensio
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def search(table: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, beam: int = 64, ratio: float = 0.35, **index_options) -> DataFrame:
+def search(table: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, **index_options) -> DataFrame:
     """(query_id, rank, id, score): the k nearest of each row that the condition queries picks, by Euclidean distance in double precision.
 
-    Every usable row is indexed. A query visits the lists whose centroids are at most (1 + ratio) times as far as the nearest, of the
-    beam nearest found. Queries that find fewer than k search all lists. Null keys and unusable vectors take no part; a repeated key is
+    Every usable row is indexed. A query visits the lists whose centroids are at most (1 + ratio) times as far as the nearest; fit() measures the
+    ratio, and index_options are its own. Queries that find fewer than k search all lists. Null keys and unusable vectors take no part; a repeated key is
     one vector (the nearest of its rows counts); ties go to the smaller key; extra columns are left out; an empty table gives no rows.
     """
     vectors = table.filter(F.col(key).isNotNull() & usable(vector)).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"), queries.alias("is_query"))
@@ -213,14 +252,7 @@ def search(table: DataFrame, queries: Column, key: str = "vec_id", vector: str =
     sizes = postings.groupBy("list").agg(F.count("*").alias("n"))
     asked = vectors.filter("is_query")
 
-    def pruned(i: Index, x: np.ndarray) -> list[list[int]]:
-        out = []
-        for at in range(0, len(x), 512):
-            number, distance = i.graph.search(x[at : at + 512], beam)
-            out += [n[d <= (1 + ratio) * d[0]].tolist() for n, d in zip(number, distance, strict=True)]
-        return out
-
-    found = materialize(_nearest(_deal(asked, index, pruned), postings, sizes, index.dimension, k))
+    found = materialize(_nearest(_deal(asked, index, lambda i, x: i.visited(x)), postings, sizes, index.dimension, k))
     enough = found.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("id"))
     short = materialize(asked.join(enough, "id", "left_anti"))
     if not short.isEmpty():
