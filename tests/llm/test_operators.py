@@ -46,6 +46,15 @@ def test_render_reads_back(spark):
     assert [undo(got["formatted"][s["start"] : s["end"]]) for s in got["loss_spans"]] == texts[1::2]
 
 
+def test_event_log_folds_back(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 2, "user", "long text \U0001f600"), (1, 3, None, "x"), (1, 3, None, "x"), (2, 0, "assistant", ""), (3, None, "user", "odd")]
+    log = chat.event_log(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").withColumn("seq", F.lit("clash")))
+    assert {r["kind"] for r in log.collect()} == {"message", "delta", "edit", "regenerate"}
+    got = sorted((r["conv_id"], r["turn"], r["role"], r["text"]) for r in chat.fold(log).collect())
+    assert got == [(1, 1, "user", "hi"), (1, 2, "assistant", ""), (1, 3, "user", "long text \U0001f600"), (1, 4, "", "x"), (1, 5, "", "x"), (2, 1, "assistant", ""), (3, 1, "user", "odd")]
+    assert chat.event_log(log.select("conv_id", "turn", "role", "text").filter("conv_id > 9")).count() == 0
+
+
 # 2 quality classifier
 
 
