@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 SLICE_BYTES = 4 << 20
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
 BROADCAST_ROWS = 2_000_000
 
 
@@ -76,6 +78,14 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
     for at, end in zip(cuts, cuts[1:]):
         if end > at:
             yield batch.slice(at, end - at)
+    release()
+
+
+def release() -> None:
+    """Give free memory back to the system: a Python worker lives on between tasks, and what it keeps adds to what its executor takes."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def with_columns(df: DataFrame, columns: str, function: Callable[[pa.RecordBatch], list[pa.Array]], keep: list[str] | None = None) -> DataFrame:

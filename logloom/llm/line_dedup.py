@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import materialize, read, slices, small
+from logloom.llm.common import materialize, read, release, slices, small
 from logloom.llm.words import Lines, by_group, mix
 
 FREQUENCY_BITS = 23
@@ -320,6 +320,7 @@ def meet(entries: DataFrame, p: int, q: int, parts_meet: bool = False) -> DataFr
                 held = [_first_of_each(held[0])]
         if held:
             yield from done(held)
+        release()
 
     parts = 2 * int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the rows take several times their size while they meet
     return entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _MET)
