@@ -295,14 +295,23 @@ def free_text_label(label: Column) -> Column:
     return F.lower(F.trim(label)).isin("1", "malicious", "attack", "true", "yes").cast("int")
 
 
-def rule_labels(lines: DataFrame, rules: DataFrame, key: str, line: str) -> DataFrame:
+def rule_labels(lines: DataFrame, rules: DataFrame, key: str, line: str, most: int = 10_000) -> DataFrame:
     """Lines with the sorted distinct labels of all rules (rule_id, rule_label, filters) whose filters they hold, case and % aside.
 
-    rules is a short list that its makers write by hand.
+    rules is a list that its makers write by hand; it becomes one expression of each row. More than `most` are an error.
     """
-    held = F.forall("filters", lambda f: F.contains(F.lower(line), F.lower(F.regexp_replace(f, "%", ""))))
-    hits = lines.join(F.broadcast(rules), held).groupBy(key).agg(F.sort_array(F.collect_set("rule_label")).alias("labels"))
-    return lines.join(hits, key, "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>"))).withColumn("label", F.when(F.size("labels") > 0, "attack").otherwise("-"))
+    known = rules.select("rule_label", "filters").limit(most + 1).collect()
+    if len(known) > most:
+        raise ValueError(f"more than {most} rules")
+    made = [(r["rule_label"], [f.replace("%", "").lower() for f in r["filters"] or ()]) for r in known]
+    none = F.array().cast("array<string>")
+
+    def held(low: Column) -> Column:
+        tests = [F.when(F.forall(F.array(*map(F.lit, fs)), lambda f: F.contains(low, f)) if fs else F.lit(True), F.lit(label)) for label, fs in made]
+        return F.sort_array(F.array_distinct(F.filter(F.array(*tests), lambda x: x.isNotNull()))) if tests else none
+
+    found = lines.withColumn("labels", F.coalesce(bound(F.lower(line), held), none))
+    return found.withColumn("label", F.when(F.size("labels") > 0, "attack").otherwise("-"))
 
 
 #: Fixed value: key=value pairs whose values may hold spaces.

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.operators.joins import token_containment
+
 SEPARATOR = "\x1f"
 
 
@@ -42,10 +44,16 @@ def score_next_event(windows: DataFrame, model: DataFrame, order: int, history:
     return windows.withColumn("__h", F.array_join(last, SEPARATOR)).withColumn("__t", F.col(target)).join(scored, ["__h", "__t"], "left").drop("__h", "__t")
 
 
-def event_ids(df: DataFrame, vocabulary: DataFrame, event: str, unknown: str = "<UNK>") -> DataFrame:
-    """event_idx of each row's event; the unknown token's for events outside the vocabulary."""
+def event_ids(df: DataFrame, vocabulary: DataFrame, event: str, unknown: str = "<UNK>", similar: bool = False) -> DataFrame:
+    """event_idx of each row's event; for events outside the vocabulary that of the known event whose tokens they hold most of (with similar), else
+    the unknown token's. Each distinct unseen event is looked up once."""
     known = vocabulary.select(F.col("event").alias(event), "event_idx")
     n = vocabulary.filter(F.col("event") == unknown).select("event_idx").first()
+    if similar:
+        unseen = df.select(event).distinct().join(known, event, "left_anti").withColumn("__key", F.xxhash64(event).cast("bigint"))
+        named = vocabulary.filter(F.col("event") != unknown).select(F.col("event_idx").cast("bigint").alias("__key"), F.col("event").alias(event))
+        best = token_containment(unseen, named, "__key", event)
+        known = known.unionByName(unseen.join(best, "__key").select(event, F.col("match").cast(known.schema["event_idx"].dataType).alias("event_idx")))
     return df.join(known, event, "left").withColumn("event_idx", F.coalesce("event_idx", F.lit(n[0] if n else None)))
 
 

@@ -185,6 +185,21 @@ def a38_word_idf(spark, d):
     return ops.word_idf(_words(spark, d)[0], "doc_id", "word")
 
 
+@query(f"WITH {_WORDS}, i AS (SELECT word, ln((SELECT CAST(count(DISTINCT doc_id) AS DOUBLE) FROM w) / count(DISTINCT doc_id)) AS idf FROM w GROUP BY word), x AS (SELECT doc_id, unnest(range(0, 2)) AS dim, vec, round(idf, 9) AS idf FROM w JOIN v USING (word) JOIN i USING (word)) SELECT doc_id, dim, round(sum(vec[dim + 1] * idf), 6) AS value FROM x GROUP BY ALL")
+def a38_idf_weighted_vectors(spark, d):
+    words, vectors = _words(spark, d)
+    weighed = words.join(ops.word_idf(words, "doc_id", "word"), "word")
+    return ops.weighted_vectors(weighed, vectors, ["doc_id"], "word", "vec", F.col("idf")).withColumn("dim", F.col("dim").cast("bigint"))
+
+
+@query(f"WITH {_SESSIONS}, e AS (SELECT session_id, unnest(q) AS token FROM seq), x AS (SELECT session_id, unnest([0, 1]) AS dim, unnest([length(token), instr(token, '=')]) AS part FROM e) SELECT session_id, CAST(dim AS BIGINT) AS dim, round(CAST(sum(part) AS DOUBLE), 6) AS value FROM x GROUP BY ALL")
+def a39_session_vectors(spark, d):
+    """Sum of a session's template vectors, each as often as the template stands in it; here a template's vector is its length and where its = stands."""
+    tf = sessions(spark, d).select("session_id", F.explode("q").alias("token")).groupBy("session_id", "token").agg(F.count("*").alias("tf"))
+    vectors = tf.select("token").distinct().select("token", F.array(F.length("token").cast("double"), F.instr("token", "=").cast("double")).alias("vec"))
+    return ops.weighted_vectors(tf, vectors, ["session_id"], "token", "vec", F.col("tf")).withColumn("dim", F.col("dim").cast("bigint"))
+
+
 @query(f"WITH {_SESSIONS}, e AS (SELECT session_id, unnest(q) AS token FROM seq) SELECT session_id, token, count(*) AS tf FROM e GROUP BY ALL")
 def a39_term_frequency(spark, d):
     return sessions(spark, d).select("session_id", F.explode("q").alias("token")).groupBy("session_id", "token").agg(F.count("*").alias("tf"))

@@ -69,6 +69,20 @@ def d03_event_ids(spark, d):
     return ops.event_ids(log, aggregates.vocabulary(known, "q", "o"), "event_template").select("line_id", "event_template", "event_idx")
 
 
+_LONG = "'user ' || event_type || ' level ' || k % 4 || ' on site ' || user_id % 3"
+
+
+@query(f"""WITH {LOG_SQL}, e AS (SELECT line_id, {_LONG} AS event, y FROM log), f AS (SELECT event, min(line_id) AS o FROM e WHERE y = 0 AND event NOT LIKE '%level 2%' GROUP BY 1), v AS (SELECT event, row_number() OVER (ORDER BY o) AS event_idx FROM f),
+q AS (SELECT DISTINCT event, list_distinct(regexp_extract_all(event, '[a-z0-9_]+')) AS qt FROM e WHERE event NOT IN (SELECT event FROM v)), n AS (SELECT event_idx, list_distinct(regexp_extract_all(event, '[a-z0-9_]+')) AS kt FROM v),
+m AS (SELECT event, event_idx, len(list_intersect(qt, kt)) AS matched, len(list_intersect(qt, kt)) / CAST(len(kt) AS DOUBLE) AS score, len(kt) AS nk FROM q, n), b AS (SELECT event, arg_max(event_idx, (matched, score, nk, -event_idx)) AS event_idx FROM m WHERE matched >= 4 AND score >= 0.65 GROUP BY event)
+SELECT line_id, coalesce(v.event_idx, b.event_idx, (SELECT count(*) + 1 FROM v)) AS event_idx FROM e LEFT JOIN v USING (event) LEFT JOIN b USING (event)""")
+def d03_similar_event_ids(spark, d):
+    """Events of attacks and of level 2 are not in the vocabulary; they get the id of the known event that they hold most of."""
+    log = A.structured_log(spark, d).withColumn("event", F.expr(_LONG))
+    known = log.filter("y = 0 AND event NOT LIKE '%level 2%'").select(F.col("line_id").alias("o"), F.array("event").alias("q"))
+    return ops.event_ids(log, aggregates.vocabulary(known, "q", "o"), "event", similar=True).select("line_id", "event_idx")
+
+
 _UNKNOWN = f"""{MODEL_SQL}, u AS (SELECT *, list_count(list_filter(string_split(history, '|'), lambda e: starts_with(e, 'signup'))) + CASE WHEN starts_with(target, 'signup') THEN 1 ELSE 0 END AS unknown_count, starts_with(target, 'signup') AS unknown_target FROM scored),
 v AS (SELECT *, unknown_count / 4.0 AS unknown_ratio, k / 100.0 AS heuristic_score FROM u)"""
 

@@ -196,10 +196,11 @@ _IPS = "CASE WHEN starts_with(destination_ip, '10.') THEN 'private' WHEN starts_
 
 @query(rf"""WITH {LOG_SQL}, {SYSMON_SQL} SELECT line_id, {_IMAGES} AS image, {_USERS} AS user_class, {_IPS} AS ip, {_PORTS} AS port,
 {_COMMANDS} AS command, {_ACCESS} AS access,
-CASE WHEN contains(target_object, 'Run') THEN 'autorun' WHEN contains(target_object, 'Services') THEN 'services' ELSE 'hkcu' END AS registry, {_QUERIES} AS query FROM sysmon""")
+CASE WHEN contains(target_object, 'Run') THEN 'autorun' WHEN contains(target_object, 'Services') THEN 'services' ELSE 'hkcu' END AS registry, {_QUERIES} AS query, CASE WHEN contains(image, 'Windows') THEN 'windows' WHEN contains(image, 'Temp') THEN 'user_temp' WHEN contains(image, 'Program Files') THEN 'program_files' ELSE 'other' END AS path FROM sysmon""")
 def p24_field_classes(spark, d):
-    made = {"image": sysmon.process_class("image"), "user_class": sysmon.user_class("username"), "ip": sysmon.ip_class("destination_ip"), "port": sysmon.port_class("destination_port"), "command": sysmon.command_class("command_line"), "access": sysmon.access_class("granted_access"), "registry": sysmon.registry_class("target_object"), "query": sysmon.query_class("query_name")}
-    return A.sysmon_rows(spark, d).select("line_id", *[c.alias(n) for n, c in made.items()])
+    made = {"image": sysmon.process_class("image"), "user_class": sysmon.user_class("username"), "ip": sysmon.ip_class("destination_ip"), "port": sysmon.port_class("destination_port"), "command": sysmon.command_class("command_line"), "access": sysmon.access_class("granted_access"), "registry": sysmon.registry_class("target_object"), "query": sysmon.query_class("query_name"), "path": sysmon.path_class("image")}
+    rows = A.sysmon_rows(spark, d).select("line_id", *[c.alias(f"{n}_class") for n, c in made.items()])  # no name of an input: a lambda would take the new column
+    return rows.toDF("line_id", *made)
 
 
 @query(f"""WITH {LOG_SQL}, {SYSMON_SQL} SELECT line_id, 'Microsoft-Windows-Sysmon EventID=' || event_id || CASE event_id WHEN 3 THEN ' ImageClass=' || {_IMAGES} || ' UserClass=' || {_USERS} || ' DestinationClass=' || {_IPS} || ' DestinationPortClass=' || {_PORTS}

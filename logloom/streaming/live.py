@@ -36,11 +36,13 @@ def host_sessions(lines: DataFrame, gap: str = "15 minutes", late: str = "10 min
 def score_stream(lines: DataFrame, model: dict[str, list[str]], order: int = 3, topk: int = 3) -> DataFrame:
     """(host, event, history, is_miss) of each row, in the order of arrival within a host: the last `order` events of a host are its state.
 
-    model maps a suffix, as the batch model writes it, to its first events; it is a bounded table that the caller has checked.
+    model maps a suffix, as the batch model writes it, to its first events; it is a bounded table that the caller has checked, and is broadcast.
     """
+    shared = lines.sparkSession.sparkContext.broadcast(model)
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        model = shared.value
         last = list(state.get[0].split("\x1e")) if state.exists and state.get[0] else []
         for rows in batches:
             out = []

@@ -43,3 +43,29 @@ def test_score_stream_keeps_history(spark):
     stream = spark.readStream.schema("line_id long, host string, event string").json(f"{folder}/in")
     got = run(live.score_stream(stream, {"a": ["b"], "": ["a"]}, order=1, topk=1), "scored").collect()
     assert sorted((r["history"], r["event"], r["is_miss"]) for r in got) == [("a", "a", True), ("a", "b", False), ("a", "c", True), ("b", "a", False)]
+
+
+def arriving(spark, *batches):
+    """Lines of files that arrive one after the other, a file in each batch."""
+    folder = tempfile.mkdtemp(prefix="spark-")
+    for i, lines in enumerate(batches):
+        path = os.path.join(folder, f"{i}.log")
+        with open(path, "w") as f:
+            f.write("\n".join(lines))
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    return live.stream_lines(spark, folder, files_per_trigger=1)
+
+
+LATE = [["Jan 24 04:00:10 web x: a"], ["Jan 24 09:00:10 web x: a"], ["Jan 24 09:10:10 web x: a"], ["Jan 24 04:00:20 web x: a", "Jan 24 14:00:10 web x: a"], ["Jan 24 20:00:10 web x: a"]]
+
+
+def test_late_rows_are_dropped(spark):
+    got = run(live.template_counts(arriving(spark, *LATE), size="1 hour", slide="1 hour"), "late").collect()
+    assert {r["start"].hour: r["n"] for r in got if r["start"].hour in (4, 9, 14)} == {4: 1, 9: 2, 14: 1}
+
+
+def test_sessions_of_a_host_end_after_a_gap(spark):
+    lines = [["Jan 24 04:00:00 web x: a", "Jan 24 04:10:00 web x: b", "Jan 24 04:40:00 web x: c"], ["Jan 24 09:00:00 web x: d"], ["Jan 24 20:00:00 web x: e"]]
+    stream = arriving(spark, *lines).withColumn("host", F.lit("web"))
+    got = sorted((r["start"].hour * 60 + r["start"].minute, r["n"]) for r in run(live.host_sessions(stream), "sessions").collect())
+    assert got[:3] == [(240, 2), (280, 1), (540, 1)]
