@@ -249,7 +249,7 @@ REQUEST_ACTIONS = (
 
 
 def request_action(request: Column) -> Column:
-    """Class of a request or message in lower case after URL decoding (a text that can't be decoded is taken as it is)."""
+    """Class of a request or message in lower case after URL decoding; a % that begins no escape stands for itself."""
     low = F.lower(request)
 
     def of(text: Column) -> Column:
@@ -258,7 +258,7 @@ def request_action(request: Column) -> Column:
             out = out.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)), F.lit(action))
         return out.otherwise("request")
 
-    return bound(F.coalesce(F.try_url_decode(low), low), of)
+    return bound(F.coalesce(F.try_url_decode(F.regexp_replace(low, "%(?![0-9a-f]{2})", "%25")), low), of)
 
 
 def apache_template(line: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.operators.scan import running_sums
+
 
 def confusion(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", keys: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
     """tn, fp, fn, tp for each key, rows counted by weight."""
@@ -26,25 +28,25 @@ def metrics(counts: DataFrame, digits: int = 9) -> DataFrame:
     return counts.select("*", *[F.round(v, digits).alias(k) for k, v in values.items()], (tp + fn).alias("positives"), (tn + fp).alias("negatives"))
 
 
-def score_histogram(df: DataFrame, score: str, y_true: str, keys: tuple[str, ...] = (), base: str | None = None) -> DataFrame:
-    """Positives and negatives at each distinct score, of rows that no base decision flags already."""
+def score_histogram(df: DataFrame, score: str, y_true: str, keys: tuple[str, ...] = (), base: str | None = None, weight: str | None = None) -> DataFrame:
+    """Positives and negatives at each distinct score, of rows that no base decision flags already; rows count by weight."""
     rows = df if base is None else df.filter(F.col(base) == 0)
-    return rows.groupBy(*keys, score).agg(F.sum(F.col(y_true)).cast("bigint").alias("pos"), F.sum(1 - F.col(y_true)).cast("bigint").alias("neg"))
+    one = F.lit(1) if weight is None else F.col(weight)
+    return rows.groupBy(*keys, score).agg(F.sum(F.col(y_true) * one).cast("bigint").alias("pos"), F.sum((1 - F.col(y_true)) * one).cast("bigint").alias("neg"))
 
 
-def ranking_measures(df: DataFrame, score: str, y_true: str, digits: int = 9) -> DataFrame:
+def ranking_measures(df: DataFrame, score: str, y_true: str, digits: int = 9, weight: str | None = None) -> DataFrame:
     """ROC-AUC (ties count half) and average precision, from the histogram of scores; null where one class is missing or no score is there.
 
-    The running sums go over distinct scores, whose number rounding or buckets of the score bound.
+    The running sums over distinct scores are dealt by ranges of the score. Rows count by weight, as if each were there so often.
     """
-    h = score_histogram(df.filter(F.col(score).isNotNull()), score, y_true)
-    all_pos, all_neg = F.sum("pos").over(W.partitionBy()), F.sum("neg").over(W.partitionBy())
-    before = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    r = h.withColumn("P", all_pos).withColumn("N", all_neg).withColumn("tp", F.sum("pos").over(before)).withColumn("fp", F.sum("neg").over(before))
-    area = F.sum(F.col("pos") * (F.col("N") - F.col("fp")) + F.col("pos") * F.col("neg") / 2)
-    got = r.agg(area.alias("area"), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"), F.max("P").alias("P"), F.max("N").alias("N"))
-    ok = (F.col("P") > 0) & (F.col("N") > 0)
-    return got.select(F.round(F.when(ok, F.col("area") / (F.col("P") * F.col("N"))), digits).alias("roc_auc"), F.round(F.when(ok, F.col("ap") / F.col("P")), digits).alias("average_precision"))
+    h = score_histogram(df.filter(F.col(score).isNotNull()), score, y_true, weight=weight)
+    r, total = running_sums(h, [F.desc(score)], {"tp": "pos", "fp": "neg"})
+    pos, neg = (F.lit(total[c]).cast("double") for c in ("tp", "fp"))
+    area = F.sum(F.col("pos") * (neg - F.col("fp")) + F.col("pos") * F.col("neg") / 2)
+    got = r.agg(area.alias("area"), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"))
+    ok = (pos > 0) & (neg > 0)
+    return got.select(F.round(F.when(ok, F.col("area") / (pos * neg)), digits).alias("roc_auc"), F.round(F.when(ok, F.col("ap") / pos), digits).alias("average_precision"))
 
 
 def class_report(counts: DataFrame, digits: int = 9) -> DataFrame:
@@ -59,11 +61,12 @@ def class_report(counts: DataFrame, digits: int = 9) -> DataFrame:
     return out.select("class", *[F.round(n, digits).alias(n) for n in (*names, "support")])
 
 
-def sweep(df: DataFrame, score: str, y_true: str, steps: int = 100, digits: int = 9) -> DataFrame:
+def sweep(df: DataFrame, score: str, y_true: str, steps: int = 100, digits: int = 9, weight: str | None = None) -> DataFrame:
     """Counts and measures at each threshold 0, 1/steps ... 1 (flagged: score >= threshold; null scores never): each row falls into the bin of
-    the highest threshold that it reaches, and bins are summed from above."""
+    the highest threshold that it reaches, and bins are summed from above. Rows count by weight."""
+    one = F.lit(1) if weight is None else F.col(weight)
     level = F.least(F.floor(F.col(score) * steps + 1e-9), F.lit(steps)).cast("int")
-    bins = df.groupBy(F.coalesce(level, F.lit(-1)).alias("step")).agg(F.sum(F.col(y_true)).cast("bigint").alias("pos"), F.sum(1 - F.col(y_true)).cast("bigint").alias("neg"))
+    bins = df.groupBy(F.coalesce(level, F.lit(-1)).alias("step")).agg(F.sum(F.col(y_true) * one).cast("bigint").alias("pos"), F.sum((1 - F.col(y_true)) * one).cast("bigint").alias("neg"))
     grid = df.sparkSession.range(-1, steps + 1).select(F.col("id").cast("int").alias("step"))
     above = W.orderBy(F.desc("step")).rowsBetween(W.unboundedPreceding, 0)
     r = grid.join(bins, "step", "left").fillna(0, ["pos", "neg"]).withColumn("tp", F.sum("pos").over(above)).withColumn("fp", F.sum("neg").over(above))
@@ -76,17 +79,19 @@ def best_threshold(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("f1"), F.desc("recall"), F.desc("precision"), "threshold").limit(1)
 
 
-def calibrate(df: DataFrame, score: str, y_true: str, base: str, target_recall: float = 0.8, min_precision: float = 0.0, max_fpr: float = 1.0, max_gap: float = 1.0, digits: int = 9) -> DataFrame:
+def calibrate(df: DataFrame, score: str, y_true: str, base: str, target_recall: float = 0.8, min_precision: float = 0.0, max_fpr: float = 1.0, max_gap: float = 1.0, digits: int = 9, weight: str | None = None) -> DataFrame:
     """Measures at each distinct score as threshold (flagged: score >= threshold, or base), with is_eligible (recall) and passes_health.
 
-    One shuffle to the histogram of distinct scores, then running sums over it.
+    One shuffle to the histogram of distinct scores, then running sums over ranges of it. Rows count by weight.
     """
-    fixed = df.agg(F.coalesce(F.sum(F.when(F.col(base) == 1, F.col(y_true))), F.lit(0)).alias("p"), F.coalesce(F.sum(F.when(F.col(base) == 1, 1 - F.col(y_true))), F.lit(0)).alias("n"), F.coalesce(F.sum(y_true), F.lit(0)).alias("P"), F.coalesce(F.sum(1 - F.col(y_true)), F.lit(0)).alias("N")).first()
-    every = df.filter(F.col(score).isNotNull() & ~F.isnan(score))
-    h = every.groupBy(score).agg(F.coalesce(F.sum(F.when(F.col(base) == 0, F.col(y_true))), F.lit(0)).alias("pos"), F.coalesce(F.sum(F.when(F.col(base) == 0, 1 - F.col(y_true))), F.lit(0)).alias("neg"))
-    above = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    tp, fp = F.sum("pos").over(above) + fixed["p"], F.sum("neg").over(above) + fixed["n"]
-    rows = metrics(h.select(F.col(score).alias("threshold"), (F.lit(fixed["N"]) - fp).cast("bigint").alias("tn"), fp.cast("bigint").alias("fp"), (F.lit(fixed["P"]) - tp).cast("bigint").alias("fn"), tp.cast("bigint").alias("tp")), digits)
+    one = F.lit(1) if weight is None else F.col(weight)
+    total = lambda v, flag=None: F.coalesce(F.sum((v if flag is None else F.when(F.col(base) == flag, v)) * one), F.lit(0))
+    is_pos, is_neg = F.col(y_true), 1 - F.col(y_true)
+    fixed = df.agg(total(is_pos, 1).alias("p"), total(is_neg, 1).alias("n"), total(is_pos).alias("P"), total(is_neg).alias("N")).first()
+    h = df.filter(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(score).agg(total(is_pos, 0).alias("pos"), total(is_neg, 0).alias("neg"))
+    r, _ = running_sums(h, [F.desc(score)], {"__tp": "pos", "__fp": "neg"})
+    tp, fp = F.col("__tp") + fixed["p"], F.col("__fp") + fixed["n"]
+    rows = metrics(r.select(F.col(score).alias("threshold"), (F.lit(fixed["N"]) - fp).cast("bigint").alias("tn"), fp.cast("bigint").alias("fp"), (F.lit(fixed["P"]) - tp).cast("bigint").alias("fn"), tp.cast("bigint").alias("tp")), digits)
     healthy = (F.col("precision") >= min_precision) & (F.col("fpr") <= max_fpr) & (F.abs(F.col("precision") - F.col("recall")) <= max_gap)
     return rows.withColumn("is_eligible", F.col("recall") >= target_recall).withColumn("passes_health", healthy)
 
@@ -132,7 +137,7 @@ def session_predictions(windows: DataFrame, session: str, miss: Column, p: str)
 
 def smallest_k(ranks: DataFrame, rank: str, accuracy: float = 0.997) -> DataFrame:
     """The least k of which the share of ranks up to k reaches the accuracy; null ranks are never reached."""
-    total = ranks.count()
+    every = ranks.count()
     h = ranks.filter(F.col(rank).isNotNull()).groupBy(F.col(rank).alias("k")).agg(F.count("*").alias("n"))
-    r = h.withColumn("share", F.sum("n").over(W.orderBy("k")) / F.lit(float(max(1, total))))
-    return r.filter(F.col("share") >= accuracy).agg(F.min("k").alias("k"))
+    r, _ = running_sums(h, [F.col("k")], {"reached": "n"})
+    return r.filter(F.col("reached") / F.lit(float(max(1, every))) >= accuracy).agg(F.min("k").alias("k"))

@@ -298,42 +298,3 @@ def capped_timeline(df: DataFrame, case: str, order: str, text: str, n: int = 30
     head = ranked.filter(F.col("position") <= n).select(case, "position", F.col(text).alias("entry"))
     rest = df.groupBy(case).agg(F.count("*").alias("c")).filter(F.col("c") > n).select(case, F.lit(n + 1).alias("position"), F.format_string("%d more events", F.col("c") - n).alias("entry"))
     return head.unionByName(rest)
-
-
-def mine_templates(df: DataFrame, message: str, similarity: float = 0.5, lead: int = 2, max_children: int = 100) -> DataFrame:
-    """Template of each message by grouping at fixed depth: messages of equal length and equal first `lead` tokens (tokens with digits are <*>)
-    are clustered in order of the message; where a message agrees with a cluster in at least `similarity` of its tokens, differing ones become <*>.
-
-    Distinct token lists are mined, one group of (length, first tokens) in a task, and joined back; the number of distinct lists of a group is what
-    masking leaves, and groups of a length with more than max_children first tokens share one group.
-    """
-    import pandas as pd
-
-    from logloom.functions.text import mask_tokens
-
-    tokens = F.split(F.trim(F.regexp_replace(mask_tokens(F.col(message)), r"\s+", " ")), " ")
-    clean = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))
-    rows = df.withColumn("__t", F.array_join(clean, " "))
-    heads = rows.select("__t").distinct().withColumn("__n", F.size(F.split("__t", " "))).withColumn("__h", F.array_join(F.slice(F.split("__t", " "), 1, lead), " "))
-    heads = heads.withColumn("__h", F.when(F.dense_rank().over(W.partitionBy("__n").orderBy("__h")) <= max_children, F.col("__h")).otherwise("<*>"))
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[list[str]] = []
-        of = []
-        for text in sorted(group["__t"]):
-            words = text.split(" ")
-            best, share = None, similarity
-            for i, c in enumerate(clusters):
-                same = sum(a == b for a, b in zip(c, words, strict=True)) / len(words)
-                if same >= share and (best is None or same > share):
-                    best, share = i, same
-            if best is None:
-                clusters.append(words)
-                best = len(clusters) - 1
-            else:
-                clusters[best] = [a if a == b else "<*>" for a, b in zip(clusters[best], words, strict=True)]
-            of.append((text, best))
-        return pd.DataFrame({"__t": [t for t, _ in of], "template": [" ".join(clusters[i]) for _, i in of]})
-
-    mined = heads.groupBy("__n", "__h").applyInPandas(merge, "__t string, template string")
-    return rows.join(mined, "__t").drop("__t")

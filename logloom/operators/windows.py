@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.operators.scan import key_blocks, own_rows
 from logloom.sources.tables import stored
 
 
@@ -67,8 +68,8 @@ def session_rollup(df: DataFrame, key: str, order: str, values: tuple[str, ...])
 
 def chunks_by_key(df: DataFrame, key: str, order: str, length: int, label: str) -> DataFrame:
     """Chunks of `length` rows of each key in order; a chunk's label is 1 if any row's is. (key, chunk, n_rows, first_row, label)"""
-    n = F.row_number().over(W.partitionBy(key).orderBy(order)) - 1
-    return df.withColumn("chunk", F.floor(n / length)).groupBy(key, "chunk").agg(F.count("*").alias("n_rows"), F.min(order).alias("first_row"), F.max(label).alias("label"))
+    rows, _ = key_blocks(df, [key], order)
+    return rows.withColumn("chunk", F.floor(F.col("__i") / length)).groupBy(key, "chunk").agg(F.count("*").alias("n_rows"), F.min(order).alias("first_row"), F.max(label).alias("label"))
 
 
 def next_event_samples(sessions: DataFrame, sequence: str, size: int, padding: str = "padding") -> DataFrame:
@@ -81,11 +82,9 @@ def next_event_samples(sessions: DataFrame, sequence: str, size: int, padding: s
 def detector_windows(df: DataFrame, key: str, order: str, event: str, size: int, step: int) -> DataFrame:
     """Windows of the rows before a row, in the order of each key: history of min(size, max(1, n - 1)) events and the event that follows,
     every `step` rows. Keys of one row have none. (key, window_id, target_row, history, target)"""
-    w = W.partitionBy(key).orderBy(order)
-    n = F.count("*").over(W.partitionBy(key))
-    rows = df.withColumn("__n", n).withColumn("__i", F.row_number().over(w) - 1).withColumn("__h", F.least(F.lit(size), F.greatest(F.lit(1), F.col("__n") - 1)))
-    rows = rows.withColumn("__before", F.collect_list(event).over(w.rowsBetween(-size, -1)))
-    rows = rows.filter((F.col("__i") >= F.col("__h")) & ((F.col("__i") - F.col("__h")) % step == 0))
+    rows, w = key_blocks(df, [key], order, halo=size)
+    rows = rows.withColumn("__h", F.least(F.lit(size), F.greatest(F.lit(1), F.col("__n") - 1))).withColumn("__before", F.collect_list(event).over(w.rowsBetween(-size, -1)))
+    rows = rows.filter(F.col("__own") & (F.col("__i") >= F.col("__h")) & ((F.col("__i") - F.col("__h")) % step == 0))
     return rows.select(key, ((F.col("__i") - F.col("__h")) / step).cast("bigint").alias("window_id"), F.col(order).alias("target_row"), F.slice("__before", -F.col("__h").cast("int"), F.col("__h").cast("int")).alias("history"), F.col(event).alias("target"))
 
 
@@ -97,8 +96,8 @@ def with_start_rows(df: DataFrame, key: str, order: str, event: str, count: int,
 
 def start_sessions(df: DataFrame, key: str, order: str, time: str, event: str, length: int, count: int, token: str = "<BOS>") -> DataFrame:
     """Pseudo-sessions key#session000000 of `length` rows of each key, each after `count` start rows one second apart before it."""
-    n = F.row_number().over(W.partitionBy(key).orderBy(order)) - 1
-    rows = df.select(F.format_string("%s#session%06d", F.col(key), F.floor(n / length)).alias("session_id"), F.col(order).alias("row_order"), F.col(time).alias("time"), F.col(event).alias("event"))
+    rows, _ = key_blocks(df, [key], order)
+    rows = rows.select(F.format_string("%s#session%06d", F.col(key), F.floor(F.col("__i") / length)).alias("session_id"), F.col(order).alias("row_order"), F.col(time).alias("time"), F.col(event).alias("event"))
     first = rows.groupBy("session_id").agg(F.min("time").alias("t0"), F.min("row_order").alias("o0"))
     starts = first.select("session_id", F.explode(F.sequence(F.lit(1), F.lit(count))).alias("i"), "t0", "o0").select("session_id", (F.col("o0") - 1).alias("row_order"), (F.col("t0") - (count - F.col("i") + 1)).alias("time"), F.lit(token).alias("event"))
     return rows.unionByName(starts)
@@ -107,19 +106,19 @@ def start_sessions(df: DataFrame, key: str, order: str, time: str, event: str, l
 def unknown_bursts(df: DataFrame, key: str, order: str, event: str, probability: float, seed: int = 42, shortest: int = 2, longest: int = 8, token: str = "<UNK>") -> DataFrame:
     """Runs of `shortest` to `longest` rows of each key become the token: a row starts a run with the given probability, drawn from a hash of
     key, position and seed, and so is the run's length."""
-    w = W.partitionBy(key).orderBy(order)
-    rows = df.withColumn("__i", F.row_number().over(w).cast("bigint"))
+    rows, w = key_blocks(df, [key], order, halo=longest - 1)
+    rows = rows.withColumn("__i", F.col("__i") + 1)
     draw = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col(key), F.col("__i")), F.lit(1_000_000))
     until = F.when(draw(1) < int(probability * 1_000_000), F.col("__i") + shortest - 1 + F.pmod(draw(2), F.lit(longest - shortest + 1)))
     covered = F.max(until).over(w.rowsBetween(-longest + 1, 0)) >= F.col("__i")
-    return rows.withColumn("is_burst", F.coalesce(covered, F.lit(False))).withColumn(event, F.when(F.col("is_burst"), token).otherwise(F.col(event))).drop("__i")
+    return own_rows(rows.withColumn("is_burst", F.coalesce(covered, F.lit(False))).withColumn(event, F.when(F.col("is_burst"), token).otherwise(F.col(event))))
 
 
 def target_last_windows(df: DataFrame, key: str, order: str, event: str, size: int, step: int) -> DataFrame:
     """Full windows of `size` rows whose last row is the target: (key, first_row, target_row, history, target)."""
-    w = W.partitionBy(key).orderBy(order)
-    rows = df.withColumn("__i", F.row_number().over(w) - 1).withColumn("__before", F.collect_list(event).over(w.rowsBetween(-(size - 1), -1))).withColumn("__first", F.min(order).over(w.rowsBetween(-(size - 1), 0)))
-    rows = rows.filter((F.col("__i") >= size - 1) & ((F.col("__i") - (size - 1)) % step == 0))
+    rows, w = key_blocks(df, [key], order, halo=size - 1)
+    rows = rows.withColumn("__before", F.collect_list(event).over(w.rowsBetween(-(size - 1), -1))).withColumn("__first", F.min(order).over(w.rowsBetween(-(size - 1), 0)))
+    rows = rows.filter(F.col("__own") & (F.col("__i") >= size - 1) & ((F.col("__i") - (size - 1)) % step == 0))
     return rows.select(key, F.col("__first").alias("first_row"), F.col(order).alias("target_row"), F.col("__before").alias("history"), F.col(event).alias("target"))
 
 
@@ -138,8 +137,8 @@ def every_nth(df: DataFrame, order: str, target: int, minimum: int = 1) -> DataF
 
 def continuation_groups(df: DataFrame, is_start: Column, key: str, order: str, text: str) -> DataFrame:
     """Rows that start no entry are added to the entry before them, within a key; rows before the first entry are left out."""
-    w = W.partitionBy(key).orderBy(order)
-    rows = df.withColumn("__e", F.sum(is_start.cast("int")).over(w)).filter(F.col("__e") > 0)
+    rows, _ = key_blocks(df, [key], order, sums={"__e": is_start.cast("int")})
+    rows = rows.filter(F.col("__e") > 0)
     made = rows.groupBy(key, "__e").agg(F.min(order).alias("first_row"), F.sort_array(F.collect_list(F.struct(order, text))).alias("items"))
     return made.select(key, "first_row", F.size("items").cast("bigint").alias("n_lines"), F.array_join(F.col("items")[text], " ").alias("entry"))
 
@@ -151,8 +150,14 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column | str], n: int) -
 
 def split_by_order(df: DataFrame, keys: list[str], order: str, share: float) -> DataFrame:
     """is_train for the first `share` of each key's rows in order."""
-    w = W.partitionBy(*keys)
-    return df.withColumn("__n", F.count("*").over(w)).withColumn("is_train", F.row_number().over(w.orderBy(order)) <= F.floor(F.col("__n") * share)).drop("__n")
+    rows, _ = key_blocks(df, keys, order)
+    return own_rows(rows.withColumn("is_train", F.col("__i") + 1 <= F.floor(F.col("__n") * share)))
+
+
+def split_histories(df: DataFrame, keys: list[str], order: str, event: str, size: int, share: float) -> DataFrame:
+    """split_by_order and, for each row, history: the up to `size` events of its key before it. One pass makes both."""
+    rows, w = key_blocks(df, keys, order, halo=size)
+    return own_rows(rows.withColumn("is_train", F.col("__i") + 1 <= F.floor(F.col("__n") * share)).withColumn("history", F.collect_list(event).over(w.rowsBetween(-size, -1))))
 
 
 def hash_order(seed: int, key: str) -> Column:
@@ -181,8 +186,13 @@ def balanced(normal: DataFrame, attacks: DataFrame, key: str, times: int = 2, se
 
 
 def round_robin(df: DataFrame, case: str, kind: str, order: list[Column], n: int) -> DataFrame:
-    """Rows of each case dealt in turn from its kinds, the kind of the best row first, up to n."""
-    best = W.partitionBy(case, kind).orderBy(*order)
-    rows = df.withColumn("__r", F.row_number().over(best)).withColumn("__k", F.row_number().over(W.partitionBy(case).orderBy(*order)))
-    rows = rows.withColumn("__k", F.min("__k").over(W.partitionBy(case, kind)))
-    return rows.withColumn("pick", F.row_number().over(W.partitionBy(case).orderBy("__r", "__k"))).filter(F.col("pick") <= n).drop("__r", "__k")
+    """Rows of each case dealt in turn from its kinds, the kind of the best row first, up to n.
+
+    No kind gives more than n rows, and no more than n kinds give any: both are cut before rows meet (Spark cuts in each task before the shuffle),
+    so that a case's rows are never sorted as one.
+    """
+    best = df.withColumn("__r", F.row_number().over(W.partitionBy(case, kind).orderBy(*order))).filter(F.col("__r") <= n)
+    kinds = best.filter(F.col("__r") == 1).withColumn("__k", F.row_number().over(W.partitionBy(case).orderBy(*order))).filter(F.col("__k") <= n)
+    kinds = kinds.select(F.col(case).alias("__c"), F.col(kind).alias("__d"), "__k")
+    rows = best.join(kinds, F.col(case).eqNullSafe(F.col("__c")) & F.col(kind).eqNullSafe(F.col("__d")))
+    return rows.withColumn("pick", F.row_number().over(W.partitionBy(case).orderBy("__r", "__k"))).filter(F.col("pick") <= n).drop("__r", "__k", "__c", "__d")

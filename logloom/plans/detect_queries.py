@@ -26,9 +26,7 @@ scored AS (SELECT host, line_id AS target_row, b.e AS target, array_to_string(h,
 
 def scored_windows(spark, d, order: int = ORDER):
     """Windows of the last fifth of each host, scored by a model of the first four fifths: host, target_row, target, history, y, k, value, order_used, p, rank, topk."""
-    log = windows.split_by_order(A.structured_log(spark, d), ["host"], "line_id", 0.8)
-    w = windows.W.partitionBy("host").orderBy("line_id").rowsBetween(-order, -1)
-    rows = log.withColumn("history", F.collect_list("event_template").over(w)).withColumnRenamed("event_template", "target")
+    rows = windows.split_histories(A.structured_log(spark, d), ["host"], "line_id", "event_template", order, 0.8).withColumnRenamed("event_template", "target")
     model = ops.fit_next_event(rows.filter("is_train"), order)
     test = rows.filter(~F.col("is_train") & (F.size("history") == order)).select("host", F.col("line_id").alias("target_row"), "target", "history", "y", "k", "value")
     return ops.score_next_event(test, model, order).withColumn("p", F.round("p", 9))

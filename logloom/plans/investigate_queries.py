@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logloom.functions import sysmon, text as T
-from logloom.operators import aggregates, detect, investigate as ops, parse, windows
+from logloom.operators import aggregates, detect, investigate as ops, parse, templates, windows
 from logloom.plans.detect_queries import MODEL_SQL, scored_windows
 from logloom.plans.join_queries import FEED_SQL, feed
 from logloom.plans.registry import query
@@ -280,7 +280,7 @@ def i14_evidence_sample(spark, d):
 
 @query()
 def w20_template_mining(spark, d):
-    return ops.mine_templates(A.linux_lines(spark, d).select("line_id", "raw_line"), "raw_line").select("line_id", "template")
+    return templates.mine_templates(A.linux_lines(spark, d).select("line_id", "raw_line"), "raw_line", "line_id").select("line_id", "cluster_id", "template")
 
 
 @query(f"WITH {LOG_SQL}, {LINUX_SQL}, x AS (SELECT line_id, CASE event_type WHEN 'view' THEN 'LinuxSyslog process=systemd action=started_session' WHEN 'signup' THEN 'LinuxAuth process=sshd action=ssh_accepted_publickey' WHEN 'purchase' THEN 'LinuxAuth process=sudo action=sudo_command' ELSE 'LinuxAuth process=cron action=cron_session_open' END AS event_template FROM linux WHERE event_type <> 'error'), f AS (SELECT event_template, row_number() OVER (ORDER BY min(line_id)) AS event_id FROM x GROUP BY 1) SELECT line_id, event_id, event_template FROM x JOIN f USING (event_template)")

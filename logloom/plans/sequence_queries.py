@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logloom.operators import windows as ops
+from logloom.operators.scan import key_blocks
 from logloom.plans.registry import query
 from logloom.sources import adapters as A
 from logloom.sources.adapters import LOG_SQL
@@ -47,8 +48,8 @@ seq AS (SELECT session_id, list(event_template ORDER BY line_id) AS q, max(y) AS
 
 def sessions(spark, d):
     """Chunks of 30 rows of each host as sessions: session_id, q (events), label, first_row."""
-    w = ops.W.partitionBy("host").orderBy("line_id")
-    log = A.structured_log(spark, d).withColumn("session_id", F.concat("host", F.lit("#"), F.floor((F.row_number().over(w) - 1) / 30).cast("string")))
+    rows, _ = key_blocks(A.structured_log(spark, d), ["host"], "line_id")
+    log = rows.withColumn("session_id", F.concat("host", F.lit("#"), F.floor(F.col("__i") / 30).cast("string")))
     got = ops.session_rollup(log, "session_id", "line_id", ("event_template", "y", "line_id"))
     return got.select("session_id", F.col("event_template_list").alias("q"), F.array_max("y_list").alias("label"), F.array_min("line_id_list").alias("first_row"))
 

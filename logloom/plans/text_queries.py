@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logloom.functions import sysmon, text as T
-from logloom.operators import detect, parse
+from logloom.operators import detect, parse, templates
 from logloom.plans.registry import query
 from logloom.sources import adapters as A
 from logloom.sources.adapters import LINUX_SQL, LOG_SQL, PAGES_SQL, SYSMON_SQL
@@ -85,6 +85,13 @@ def p10_template_strategies(spark, d):
     return A.structured_log(spark, d).select("line_id", *made)
 
 
+@query()
+def p10_drain_strategy(spark, d):
+    """Clusters of event contents by the drain strategy."""
+    rows = A.sysmon_rows(spark, d).select("line_id", "host", "content")
+    return templates.template_table(templates.with_templates(rows, "drain", "line_id", message="content"))
+
+
 _KV = r"""\b([A-Za-z_][\w.-]{0,63})=("[^"]*"|''[^'']*''|[^\s,;]+)"""
 
 

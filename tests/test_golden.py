@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions import sysmon, text as T
-from logloom.operators import detect, evaluate, investigate, parse, windows
+from logloom.operators import detect, evaluate, investigate, parse, templates, windows
 
 
 def one(spark, column, **values):
@@ -115,7 +115,7 @@ def test_number_rows_is_dense_and_ordered(spark):
 
 def test_template_mining(spark):
     rows = spark.createDataFrame([(i, f"user u{i} logged in from host{i}") for i in range(20)] + [(99, "disk full")], "i int, m string")
-    got = {r["i"]: r["template"] for r in investigate.mine_templates(rows, "m").collect()}
+    got = {r["i"]: r["template"] for r in templates.mine_templates(rows, "m", "i").collect()}
     assert len({got[i] for i in range(20)}) == 1 and got[0].count("<*>") == 2 and got[99] == "disk full"
 
 
@@ -190,6 +190,8 @@ def test_web_server_lines(spark):
     assert one(spark, T.apache_template(F.col("l")), l="[Sun Oct 01 00:00:09 2023] [core:warn] [pid 1] no such file ../x") == "ApacheError level=core action=file_probe"
     assert one(spark, T.apache_epoch(F.col("l")), l="[Sun Oct 01 00:00:09 2023] [warn] x") == 1696118409
     assert one(spark, T.apache_template(F.col("l")), l="100% odd") == "ApacheLog action=request"
+    for request, action in (("/a?x=%3Cscript%3E&y=100%", "xss_probe"), ("/%2e%2e/%", "file_probe"), ("/a%zz?q=un%69on", "sql_probe"), ("/l%6Fgin%ff+%", "login"), ("/x%2", "request")):
+        assert one(spark, T.request_action(F.col("l")), l=request) == action, request
 
 
 def test_block_log_content(spark):
