@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.operators.scan import key_blocks, own_rows
 from logloom.operators.windows import number_rows
+from logloom.sources.tables import stored
 
 
 def template_catalogue(df: DataFrame, *keys: str) -> DataFrame:
@@ -74,14 +76,52 @@ def expand_by_count(df: DataFrame, count: str) -> DataFrame:
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(count).cast("int"))))
 
 
-def ema_fold(df: DataFrame, keys: list[str], order: str, success: str, latency: str, rate: float = 0.05, latency_rate: float = 0.1, digits: int = 6) -> DataFrame:
-    """Moving means of success and latency in call order, rounded at each step, with totals. A key's calls are folded as one list."""
-    calls = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(success).cast("double").alias("s"), F.col(latency).cast("double").alias("l"))))
-    start = F.struct(F.lit(None).cast("double").alias("s"), F.lit(None).cast("double").alias("l"))
-    step = lambda old, new, r: F.coalesce(F.round((1 - r) * old + r * new, digits), F.round(new, digits))
-    fold = F.aggregate("calls", start, lambda a, c: F.struct(step(a["s"], c["s"], rate).alias("s"), step(a["l"], c["l"], latency_rate).alias("l")))
-    got = df.groupBy(*keys).agg(calls.alias("calls"), F.count("*").alias("n_calls"), F.sum(F.col(success).cast("bigint")).alias("n_success"))
-    return got.select(*keys, "n_calls", "n_success", fold.alias("m")).select(*keys, "n_calls", "n_success", F.col("m.s").alias("success_ema"), F.col("m.l").alias("latency_ema"))
+def rounded(value: Column, digits: int) -> Column:
+    """The double nearest to the value with so many digits, by its exact binary value (ties to even)."""
+    return F.regexp_replace(F.format_number(value, digits), ",", "").cast("double")
+
+
+def ema_fold(
+    df: DataFrame, keys: list[str], order: str, success: str, latency: str, rate: float = 0.05, latency_rate: float = 0.1, digits: int = 3, latency_digits: int = 2,
+    start: float = 0.5, latency_start: float = 1.0, tail: int = 4096, chunk: int = 65_536,
+) -> DataFrame:
+    """(keys, n_calls, n_success, success_rate, success_ema, latency_ema): moving means of success and latency in call order, rounded at each step,
+    and totals. A null success is a failure, a null latency leaves its mean as it is.
+
+    A step never changes the order of two means, so that a fold of a key's last `tail` calls from the lowest and from the highest mean that its
+    values allow bounds the fold of all calls: where both end alike, that is the result, and no other call is looked at. (Rounding makes means of
+    unlike starts meet soon.) Keys for which they don't are folded from their first call on, `chunk` calls at a time with the means carried. So no
+    more than a chunk of a key's calls is ever one list.
+    """
+    one = lambda: F.coalesce(F.col(success).cast("double"), F.lit(0.0))
+    calls = df.select(*keys, F.col(order).alias("o"), one().alias("s"), F.col(latency).cast("double").alias("l"))
+    step = lambda old, new, r, d: F.coalesce(rounded(old * (1 - r) + new * r, d), old)
+    fold = lambda s, l: F.aggregate("calls", F.struct(s.alias("s"), l.alias("l")), lambda a, c: F.struct(step(a["s"], c["s"], rate, digits).alias("s"), step(a["l"], c["l"], latency_rate, latency_digits).alias("l")))  # noqa: E731, E741
+    listed = lambda rows, *also: rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("o", "s", "l"))).alias("calls"), *also)
+    same = lambda a, b: F.expr(" AND ".join(f"{a}.`{k}` <=> {b}.`{k}`" for k in keys))
+
+    totals = stored(calls.groupBy(*keys).agg(F.count("*").alias("n_calls"), F.sum("s").cast("bigint").alias("n_success"), F.min("s").alias("s0"), F.max("s").alias("s1"), F.min("l").alias("l0"), F.max("l").alias("l1")))
+    last = calls.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("o"), F.desc("s"), F.desc("l")))).filter(F.col("n") <= tail).drop("n")
+    whole = F.col("n_calls") <= tail
+    low = lambda c, first, d: F.when(whole, first).otherwise(F.least(F.col(c), F.lit(first)) - 10.0**-d)
+    high = lambda c, first, d: F.when(whole, first).otherwise(F.greatest(F.col(c), F.lit(first)) + 10.0**-d)
+    rows = listed(last).alias("a").join(totals.alias("b"), same("a", "b")).select("b.*", "calls")
+    rows = rows.withColumn("x", fold(low("s0", start, digits), low("l0", latency_start, latency_digits))).withColumn("y", fold(high("s1", start, digits), high("l1", latency_start, latency_digits)))
+    ends = stored(rows.select(*keys, "n_calls", "n_success", "x", (F.col("x") == F.col("y")).alias("is_known")))
+    result = [ends.filter("is_known").select(*keys, "n_calls", "n_success", F.col("x.s").alias("success_ema"), F.col("x.l").alias("latency_ema"))]
+    unknown = ends.filter("NOT is_known")
+    most = unknown.agg(F.max("n_calls")).first()[0]
+    if most:
+        dealt, _ = key_blocks(calls.alias("a").join(unknown.select(*keys).alias("b"), same("a", "b"), "left_semi"), keys, "o")
+        parts = stored(own_rows(dealt.withColumn("part", F.floor(F.col("__i") / chunk))))
+        state = unknown.select(*keys, F.lit(start).alias("ms"), F.lit(latency_start).alias("ml"))
+        for part in range(-(-most // chunk)):
+            now = listed(parts.filter(F.col("part") == part))
+            joined = state.alias("b").join(now.alias("a"), same("a", "b"), "left").select("b.*", F.coalesce("calls", F.array().cast(now.schema["calls"].dataType)).alias("calls"))
+            state = stored(joined.select(*keys, fold(F.col("ms"), F.col("ml")).alias("m")).select(*keys, F.col("m.s").alias("ms"), F.col("m.l").alias("ml")))
+        result.append(unknown.alias("a").join(state.alias("b"), same("a", "b")).select("a.*", F.col("ms").alias("success_ema"), F.col("ml").alias("latency_ema")).drop("x", "is_known"))
+    got = result[0] if len(result) == 1 else result[0].unionByName(result[1])
+    return got.select(*keys, "n_calls", "n_success", rounded(F.col("n_success") / F.col("n_calls"), 3).alias("success_rate"), "success_ema", "latency_ema")
 
 
 def most_frequent(df: DataFrame, keys: list[str], value: str, measure: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.operators.joins import token_containment
+from logloom.operators.similarity import token_containment
 
 SEPARATOR = "\x1f"
 

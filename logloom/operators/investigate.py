@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.functions.text import action_category, bound
+from logloom.operators.similarity import first_unlike
 from logloom.operators.windows import first_n
 
 
@@ -212,21 +213,12 @@ VALUE_TOKENS = r"`[^`]*`|\b\d+(?:\.\d+)*\b|\b[0-9a-f]{8,}\b"
 STOP_WORDS = ("dan", "atau", "yang", "pada", "dengan", "untuk", "dari", "ke", "di", "sebelum", "agar", "bisa", "serta", "berikut", "ini", "itu", "the", "and")
 
 
-def near_duplicate_texts(df: DataFrame, case: str, order: str, text: str, similarity: float = 0.65) -> DataFrame:
+def near_duplicate_texts(df: DataFrame, case: str, order: str, text: str, similarity: float = 0.65, head: int = 8192) -> DataFrame:
     """Texts of each case in order without those that repeat one kept before: equal but for case, of the same action category, or with a word
-    set (values, short and stop words left out) of at least that Jaccard similarity. A case's list of recommendations is folded in one row."""
-    low = F.lower(F.col(text))
-    words = F.array_distinct(F.filter(F.regexp_extract_all(F.regexp_replace(low, VALUE_TOKENS, " "), F.lit("[a-z]+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS)))
-    item = F.struct(F.col(order).alias("o"), F.col(text).alias("t"), low.alias("l"), action_category(F.col(text)).alias("c"), words.alias("w"))
-    rows = df.filter(F.coalesce(F.trim(text), F.lit("")) != "").groupBy(case).agg(F.sort_array(F.collect_list(item)).alias("items"))
-
-    def repeats(x: Column, y: Column) -> Column:
-        close = (F.size(x["w"]) > 0) & (F.size(y["w"]) > 0) & (F.size(F.array_intersect(x["w"], y["w"])) >= similarity * F.size(F.array_union(x["w"], y["w"])))
-        return (x["l"] == y["l"]) | F.coalesce(x["c"] == y["c"], F.lit(False)) | close
-
-    none = F.filter("items", lambda x: F.lit(False))
-    kept = F.aggregate("items", none, lambda acc, x: F.when(F.exists(acc, lambda y: repeats(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
-    return rows.select(case, F.explode(kept).alias("x")).select(case, F.col("x.o").alias(order), F.col("x.t").alias(text))
+    set (values, short and stop words left out) of at least that Jaccard similarity. Null and blank texts are left out."""
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.regexp_replace(F.lower(F.col(text)), VALUE_TOKENS, " "), F.lit("[a-z]+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS)))
+    rows = df.filter(F.coalesce(F.trim(text), F.lit("")) != "")
+    return first_unlike(rows, case, order, words, action_category(F.col(text)), similarity, text, head)
 
 
 def _held(rules: list[tuple], name: str) -> Column:

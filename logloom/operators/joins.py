@@ -58,38 +58,6 @@ def mark_retained(windows: DataFrame, retained: DataFrame, key: str) -> DataFram
     return windows.join(retained.select(key, F.lit(True).alias("is_retained")).dropDuplicates([key]), key, "left").fillna(False, ["is_retained"])
 
 
-def nearest_known(unseen: DataFrame, known: DataFrame, key: str, vector: str, least: float = 0.9, broadcast_rows: int = 20_000) -> DataFrame:
-    """For each unseen vector the first known one (by key) with a cosine above least: (key, match, cosine).
-
-    Known vectors are the vocabulary: up to broadcast_rows of them go to every task, more are dealt to blocks, and each block is joined with
-    all unseen ones in turn; the first match over all blocks is kept.
-    """
-    unit = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y.cast("double") * y)))
-    k = known.select(F.col(key).alias("match"), unit(F.col(vector)).alias("kv"))
-    u = unseen.select(F.col(key), unit(F.col(vector)).alias("uv"))
-    blocks = max(1, -(-known.count() // broadcast_rows))
-    found = None
-    for b in range(blocks):
-        part = F.broadcast(k.filter(F.pmod(F.xxhash64("match"), F.lit(blocks)) == b))
-        cosine = F.aggregate(F.zip_with("uv", "kv", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-        near = u.join(part, cosine > least).select(key, F.struct("match", cosine.alias("cosine")).alias("m")).groupBy(key).agg(F.min("m").alias("m"))
-        found = near if found is None else found.unionByName(near)
-    return found.groupBy(key).agg(F.min("m").alias("m")).select(key, "m.match", "m.cosine")
-
-
-def token_containment(queries: DataFrame, known: DataFrame, key: str, text: str, least_matched: int = 4, least_known: int = 5, least_query: int = 4, least_score: float = 0.65) -> DataFrame:
-    """For each query text the known text of which it holds most: matched tokens, score = matched / known tokens; best by matched, score, known
-    size, then the first known key. Texts meet through an inverted index of tokens."""
-    tokens = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9_]+"), lambda t: t != ""))
-    q = queries.select(F.col(key), tokens(F.col(text)).alias("qt")).filter(F.size("qt") >= least_query)
-    k = known.select(F.col(key).alias("match"), tokens(F.col(text)).alias("kt")).filter(F.size("kt") >= least_known)
-    pairs = q.select(key, F.explode("qt").alias("t")).join(k.select("match", F.size("kt").alias("n_known"), F.explode("kt").alias("t")), "t")
-    score = F.col("matched") / F.col("n_known")
-    got = pairs.groupBy(key, "match", "n_known").agg(F.count("*").alias("matched")).withColumn("score", score).filter((F.col("matched") >= least_matched) & (F.col("score") >= least_score))
-    best = got.groupBy(key).agg(F.max(F.struct("matched", "score", "n_known", (-F.col("match")).alias("m"))).alias("b"))
-    return best.select(key, (-F.col("b.m")).alias("match"), F.col("b.matched").alias("matched"), F.round("b.score", 6).alias("score"))
-
-
 def compare_counts(a: DataFrame, b: DataFrame, key: str, count: str) -> DataFrame:
     """How counts of the same keys changed: zero_to_nonzero, nonzero_to_zero, more, fewer, same."""
     x, y = F.col("x"), F.col("y")

@@ -141,7 +141,11 @@ def a29_audit_totals(spark, d):
     return _by_k(spark, d).groupBy("section").agg(F.sum("windows").alias("windows"), F.sum("anomalies").alias("anomalies"), F.count_if(F.col("anomalies") == 0).alias("zero_rows"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LOG_SQL}, r AS (SELECT host, event_type, y, value, row_number() OVER (PARTITION BY host, event_type ORDER BY line_id) AS i FROM log),
+f AS (SELECT DISTINCT host, event_type, CAST(0 AS BIGINT) AS i, CAST(0.5 AS DOUBLE) AS s, CAST(1 AS DOUBLE) AS l FROM log
+  UNION ALL SELECT f.host, f.event_type, r.i, CAST(printf('%.3f', s * CAST(0.95 AS DOUBLE) + y * CAST(0.05 AS DOUBLE)) AS DOUBLE), CAST(printf('%.2f', l * CAST(0.9 AS DOUBLE) + value * CAST(0.1 AS DOUBLE)) AS DOUBLE) FROM f JOIN r ON r.host = f.host AND r.event_type = f.event_type AND r.i = f.i + 1)
+SELECT host, event_type, n_calls, n_success, CAST(printf('%.3f', n_success / CAST(n_calls AS DOUBLE)) AS DOUBLE) AS success_rate, success_ema, latency_ema
+FROM (SELECT host, event_type, max(i) AS n_calls, arg_max(s, i) AS success_ema, arg_max(l, i) AS latency_ema FROM f GROUP BY ALL) JOIN (SELECT host, event_type, CAST(sum(y) AS BIGINT) AS n_success FROM log GROUP BY ALL) USING (host, event_type)""")
 def a35_tool_performance(spark, d):
     log = A.structured_log(spark, d)
     return ops.ema_fold(log, ["host", "event_type"], "line_id", "y", "value")

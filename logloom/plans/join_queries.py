@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logloom.operators import joins as ops
+from logloom.operators import joins as ops, similarity
 from logloom.operators import windows
 from logloom.plans.registry import query
 from logloom.plans.sequence_queries import _SESSIONS, sessions
@@ -120,15 +120,15 @@ def j12_retained_windows(spark, d):
 SELECT vec_id, min(match) AS match, round(arg_min(c, match), 6) AS cosine FROM p GROUP BY vec_id""")
 def j13_nearest_known(spark, d):
     e = A.table(spark, d, "embeddings")
-    return ops.nearest_known(e.filter("vec_id % 2 = 1"), e.filter("vec_id % 2 = 0"), "vec_id", "embedding", 0.4).withColumn("cosine", F.round("cosine", 6))
+    return similarity.nearest_known(e.filter("vec_id % 2 = 1"), e.filter("vec_id % 2 = 0"), "vec_id", "embedding", 0.4).withColumn("cosine", F.round("cosine", 6))
 
 
-@query("""WITH t AS (SELECT page_id, list_distinct(list_filter(regexp_split_to_array(lower(url), '[^a-z0-9_]+'), lambda x: x <> '')) AS t FROM pages), q AS (SELECT page_id, unnest(t) AS w FROM t WHERE page_id % 2 = 1 AND len(t) >= 4), k AS (SELECT page_id AS match, len(t) AS n_known, unnest(t) AS w FROM t WHERE page_id % 2 = 0 AND len(t) >= 5),
+@query("""WITH t AS (SELECT page_id, list_distinct(list_filter(regexp_split_to_array(lower(url), '[^a-z0-9]+'), lambda x: x NOT IN ('', 'num', 'ip', 'ipport', 'path', 'regpath', 'guid', 'uuid', 'hex', 'sid', 'hash', 'trunc'))) AS t FROM pages), q AS (SELECT page_id, unnest(t) AS w FROM t WHERE page_id % 2 = 1 AND len(t) >= 4), k AS (SELECT page_id AS match, len(t) AS n_known, unnest(t) AS w FROM t WHERE page_id % 2 = 0 AND len(t) >= 5),
 p AS (SELECT page_id, match, n_known, count(*) AS matched FROM q JOIN k USING (w) GROUP BY ALL), s AS (SELECT *, matched / CAST(n_known AS DOUBLE) AS score FROM p WHERE matched >= 4)
 SELECT page_id, match, matched, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY matched DESC, score DESC, n_known DESC, match) AS r FROM s WHERE score >= 0.65) WHERE r = 1""")
 def j14_token_containment(spark, d):
     p = A.table(spark, d, "pages")
-    return ops.token_containment(p.filter("page_id % 2 = 1"), p.filter("page_id % 2 = 0"), "page_id", "url")
+    return similarity.token_containment(p.filter("page_id % 2 = 1"), p.filter("page_id % 2 = 0"), "page_id", "url")
 
 
 @query(f"""WITH {LOG_SQL}, a AS (SELECT user_id, count(*) FILTER (y = 1 AND k < 20) AS x FROM log GROUP BY 1), b AS (SELECT user_id, count(*) FILTER (y = 1 AND k > 75) AS y FROM log GROUP BY 1)
