@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.operators.parse import event_identity, important_fields, line_summary
 from logloom.operators.similarity import token_containment
 
 SEPARATOR = "\x1f"
@@ -108,6 +109,45 @@ def candidate_tier(df: DataFrame, medium_from: float = 0.70) -> DataFrame:
     return df.withColumn("candidate_tier", tier).withColumn("candidate_reasons", F.when(F.col("is_anomaly"), reasons).otherwise(F.array().cast("array<string>")))
 
 
+def window_payload(windows: DataFrame, lines: DataFrame, line: str, template: str, parameters: str) -> DataFrame:
+    """(window_id, lines): the lines of each window (window_id, start_row, target_row, is_anomaly; bounds included) in order, as structs of line number,
+    template, parameters, important fields, the event's provider and id, the line's summary, and whether it is the target of an anomaly.
+
+    Windows are unfolded to line numbers and joined; a window's list is as long as the window.
+    """
+    fields = important_fields(F.col(parameters))
+    provider, event_id = event_identity(F.col(template))
+    told = lines.select(F.col(line).alias("line_number"), F.col(template).alias("event_template"), F.col(parameters).alias("parameters"), fields.alias("important_fields"), provider.alias("provider"), event_id.alias("event_id"))
+    told = told.withColumn("line_summary", line_summary(F.col("event_template"), F.col("important_fields")))
+    held = windows.select("window_id", "target_row", "is_anomaly", F.explode(F.sequence(F.col("start_row").cast("bigint"), F.col("target_row").cast("bigint"))).alias("line_number")).join(told, "line_number")
+    one = F.struct("line_number", "event_template", "parameters", "important_fields", "provider", "event_id", "line_summary", (F.col("is_anomaly") & (F.col("line_number") == F.col("target_row"))).alias("is_anomalous_line"))
+    return held.groupBy("window_id").agg(F.collect_list(one).alias("lines")).withColumn("lines", F.array_sort("lines", lambda a, b: (a["line_number"] - b["line_number"]).cast("int")))
+
+
+def count_model(rows: DataFrame, history: str, also: list[str], label: str, bits: int = 16, penalty: float = 0.01, rounds: int = 100):
+    """Logistic regression on columns and on how often each event is in the history: every event counts, in one of 2^bits places by its hash, so that
+    no vocabulary is gathered. Nulls of columns are 0. Gives the function that adds score, the probability of label 1."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    def features(df: DataFrame) -> DataFrame:
+        filled = df.withColumns({f"__{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in also})
+        counted = HashingTF(inputCol=history, outputCol="__counts", numFeatures=1 << bits).transform(filled)
+        return VectorAssembler(inputCols=[f"__{c}" for c in also] + ["__counts"], outputCol="__features").transform(counted)
+
+    known = features(rows.filter(F.col(label).isNotNull())).withColumn("__label", F.col(label).cast("double"))
+    model = LogisticRegression(maxIter=rounds, regParam=penalty, tol=1e-9, featuresCol="__features", labelCol="__label", rawPredictionCol="__raw", probabilityCol="__probability", predictionCol="__prediction").fit(known)
+    made = [f"__{c}" for c in also] + ["__counts", "__features", "__raw", "__probability", "__prediction"]
+    return lambda df: model.transform(features(df)).withColumn("score", vector_to_array("__probability")[1]).drop(*made)
+
+
+def cross_scored(rows: DataFrame, history: str, also: list[str], label: str, fold: str, **options) -> DataFrame:
+    """Every row of folds 0 and 1 with the score of the model of the other fold."""
+    out = [count_model(rows.filter(F.col(fold) != i), history, also, label, **options)(rows.filter(F.col(fold) == i)) for i in (0, 1)]
+    return out[0].unionByName(out[1])
+
+
 def topk_flags(df: DataFrame, ks: list[int], topk: str = "topk", target: str = "target") -> DataFrame:
     """One row for each k: whether the target is among the first k of a list that was scored once."""
     at = F.array_position(topk, F.col(target))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from logloom.functions import text as T
 from logloom.operators import aggregates, detect as ops, windows
 from logloom.plans.registry import query
 from logloom.sources import adapters as A
-from logloom.sources.adapters import LOG_SQL
+from logloom.sources.adapters import LOG_SQL, SYSMON_SQL
 
 ORDER = 3
 _SEP = "chr(31)"
@@ -24,9 +25,9 @@ scored AS (SELECT host, line_id AS target_row, b.e AS target, array_to_string(h,
   FROM b JOIN t ON t.ord = best[1] AND t.suffix = best[2] LEFT JOIN m ON m.ord = best[1] AND m.suffix = best[2] AND m.e = b.e)"""
 
 
-def scored_windows(spark, d, order: int = ORDER):
+def scored_windows(spark, d, order: int = ORDER, log=None):
     """Windows of the last fifth of each host, scored by a model of the first four fifths: host, target_row, target, history, y, k, value, order_used, p, rank, topk."""
-    rows = windows.split_histories(A.structured_log(spark, d), ["host"], "line_id", "event_template", order, 0.8).withColumnRenamed("event_template", "target")
+    rows = windows.split_histories(A.structured_log(spark, d) if log is None else log, ["host"], "line_id", "event_template", order, 0.8).withColumnRenamed("event_template", "target")
     model = ops.fit_next_event(rows.filter("is_train"), order)
     test = rows.filter(~F.col("is_train") & (F.size("history") == order)).select("host", F.col("line_id").alias("target_row"), "target", "history", "y", "k", "value")
     return ops.score_next_event(test, model, order).withColumn("p", F.round("p", 9))
@@ -47,23 +48,15 @@ def d01_next_event_scores(spark, d):
 
 @query()
 def d02_order_and_count_model(spark, d):
-    """Logistic regression on the next-event score and the counts of the history (a held-out probability for each window)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizer, VectorAssembler
+    """Probability of an attack for every window, from a model of the other half of the windows."""
+    rows = scored_windows(spark, d).withColumn("fold", (F.col("target_row") % 2).cast("int"))
+    return ops.cross_scored(rows, "history", ["p", "rank"], "y", "fold", bits=12, rounds=30).select("host", "target_row", "y", F.round("score", 6).alias("score"))
 
-    rows = scored_windows(spark, d).withColumn("rank0", F.coalesce(F.col("rank"), F.lit(0)).cast("double")).withColumn("label", F.col("y").cast("double"))
-    counts = CountVectorizer(inputCol="history", outputCol="counts", vocabSize=1000).fit(rows).transform(rows)
-    data = VectorAssembler(inputCols=["p", "rank0", "counts"], outputCol="features").transform(counts)
-    model = LogisticRegression(maxIter=20, regParam=0.01).fit(data.filter("target_row % 2 = 0"))
-    from pyspark.ml.functions import vector_to_array
 
-    return model.transform(data.filter("target_row % 2 = 1")).select("host", "target_row", "y", F.round(vector_to_array("probability")[1], 6).alias("score"))
-
-
-@query(f"WITH {LOG_SQL}, f AS (SELECT event_template AS event, min(line_id) AS o FROM log WHERE k < 50 AND y = 0 GROUP BY 1), v AS (SELECT event, row_number() OVER (ORDER BY o) AS event_idx FROM f) SELECT line_id, event_template, coalesce(event_idx, (SELECT count(*) + 1 FROM v)) AS event_idx FROM log LEFT JOIN v ON event = event_template")
+@query(f"WITH {LOG_SQL}, f AS (SELECT event_template AS event, min(line_id) AS o FROM log WHERE y = 0 AND k % 4 <> 3 GROUP BY 1), v AS (SELECT event, row_number() OVER (ORDER BY o) AS event_idx FROM f) SELECT line_id, event_template, coalesce(event_idx, (SELECT count(*) + 1 FROM v)) AS event_idx FROM log LEFT JOIN v ON event = event_template")
 def d03_event_ids(spark, d):
     log = A.structured_log(spark, d)
-    known = log.filter("k < 50 AND y = 0").select(F.col("line_id").alias("o"), F.array("event_template").alias("q"))
+    known = log.filter("y = 0 AND k % 4 <> 3").select(F.col("line_id").alias("o"), F.array("event_template").alias("q"))
     return ops.event_ids(log, aggregates.vocabulary(known, "q", "o"), "event_template").select("line_id", "event_template", "event_idx")
 
 
@@ -85,8 +78,8 @@ _UNKNOWN = f"""{MODEL_SQL}, u AS (SELECT *, list_count(list_filter(string_split(
 v AS (SELECT *, unknown_count / 4.0 AS unknown_ratio, k / 100.0 AS heuristic_score FROM u)"""
 
 
-def _unknown(spark, d):
-    rows = scored_windows(spark, d)
+def _unknown(spark, d, log=None):
+    rows = scored_windows(spark, d, log=log)
     known = lambda e: ~e.startswith("signup")
     n, share = ops.unknown_share(F.col("history"), F.col("target"), known)
     return rows.withColumn("unknown_count", n).withColumn("unknown_ratio", share).withColumn("unknown_target", ~known(F.col("target"))).withColumn("heuristic_score", F.col("k") / F.lit(100.0))
@@ -106,8 +99,8 @@ dec AS (SELECT *, CASE WHEN unk AND heuristic_score >= 0.75 THEN 'evtx_heuristic
   CAST(CASE WHEN unk AND heuristic_score >= 0.75 THEN heuristic_score WHEN unk THEN {1.0 if mode == 'anomaly' else 0.0} ELSE greatest(0.0, 1 - p) END AS DOUBLE) AS anomaly_score FROM z)"""
 
 
-def _decided(spark, d, mode):
-    return ops.decide(_unknown(spark, d), 3, mode)
+def _decided(spark, d, mode, log=None):
+    return ops.decide(_unknown(spark, d, log), 3, mode)
 
 
 def _register_modes():
@@ -140,11 +133,22 @@ def d08_short_file_fallback(spark, d):
     return ops.short_file_fallback(log, "file", 60, F.col("k") / F.lit(100.0)).select("file", "line_id", "fallback_score")
 
 
-@query(f"WITH {LOG_SQL}, r AS (SELECT unnest(range(greatest(0, CAST(ceil((line_id - 1 - 9) / 10.0) AS BIGINT)), (line_id - 1) // 10 + 1)) AS window_id, line_id, event_template FROM log) SELECT window_id, string_agg(line_id || ':' || event_template || CASE WHEN line_id = window_id * 10 + 10 THEN '*' ELSE '' END, '|' ORDER BY line_id) AS payload FROM r GROUP BY window_id")
+_SUMMARY = "event_template || ' | image=' || image || ' | command_line=' || command_line || ' | target_object=' || target_object || ' | destination_ip=' || destination_ip"
+
+
+@query(f"""WITH {LOG_SQL}, {SYSMON_SQL}, w AS (SELECT DISTINCT (line_id - 1) // 10 AS window_id, (line_id - 1) // 10 * 10 + 10 AS target_row FROM log), a AS (SELECT window_id, target_row, coalesce(y, 0) = 1 AS is_anomaly FROM w LEFT JOIN log ON line_id = target_row),
+r AS (SELECT window_id, line_id, image, username, command_line, destination_ip, is_anomaly AND line_id = target_row AS is_anomalous_line, {_SUMMARY} AS line_summary FROM sysmon JOIN a ON window_id = (line_id - 1) // 10)
+SELECT window_id, count(*) AS n_lines, count(*) FILTER (is_anomalous_line) AS n_flagged, md5(string_agg(line_id || '~' || image || '~' || username || '~' || command_line || '~' || destination_ip || '~' || line_summary || '~' || CASE WHEN is_anomalous_line THEN '1' ELSE '0' END, chr(10) ORDER BY line_id)) AS payload_md5 FROM r GROUP BY window_id""")
 def d09_window_payload(spark, d):
-    rows = windows.window_rows(A.structured_log(spark, d), F.col("line_id") - 1, 10, 10)
-    text = F.concat(F.col("line_id").cast("string"), F.lit(":"), "event_template", F.when(F.col("line_id") == F.col("window_id") * 10 + 10, "*").otherwise(""))
-    return rows.groupBy("window_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("line_id", text.alias("x"))))["x"], "|").alias("payload"))
+    """Payloads of all windows of ten lines, whose last line is the target; the digest is over their lines with fields, summary and flag."""
+    lines = A.sysmon_rows(spark, d).withColumn("parameters", T.key_values(F.col("content")))
+    flagged = A.structured_log(spark, d).select((F.floor((F.col("line_id") - 1) / 10)).alias("window_id"), (F.floor((F.col("line_id") - 1) / 10) * 10 + 10).alias("target_row")).distinct()
+    truth = A.structured_log(spark, d).select(F.col("line_id").alias("target_row"), (F.col("y") == 1).alias("is_anomaly"))
+    found = flagged.join(truth, "target_row", "left").select("window_id", (F.col("target_row") - 9).alias("start_row"), "target_row", F.coalesce("is_anomaly", F.lit(False)).alias("is_anomaly"))
+    payload = ops.window_payload(found, lines, "line_id", "event_template", "parameters")
+    f = lambda x, n: F.coalesce(x["important_fields"][n], F.lit(""))
+    text = F.array_join(F.transform("lines", lambda x: F.concat_ws("~", x["line_number"].cast("string"), f(x, "image"), f(x, "user"), f(x, "command_line"), f(x, "destination_ip"), x["line_summary"], x["is_anomalous_line"].cast("int").cast("string"))), "\n")
+    return payload.select("window_id", F.size("lines").cast("bigint").alias("n_lines"), F.size(F.filter("lines", lambda x: x["is_anomalous_line"])).cast("bigint").alias("n_flagged"), F.md5(text).alias("payload_md5"))
 
 
 @query(f"WITH {MODEL_SQL} SELECT target_row, k2 AS k, NOT coalesce(list_position(string_split(topk, '|'), target) BETWEEN 1 AND k2, FALSE) AS is_miss FROM scored, (SELECT unnest([1, 3, 5, 9]) AS k2)")

@@ -291,56 +291,6 @@ def c01_normal_linux_table(spark, d):
     return rows.join(F.broadcast(ids), "event_template").select("line_id", "event_id", "event_template")  # a row for each template
 
 
-@query(f"WITH {LOG_SQL}, {LINUX_SQL}, r AS (SELECT host, t, line_id, CASE WHEN contains(raw_line, 'Failed password') THEN 'attack' ELSE '-' END AS label FROM linux) SELECT row_number() OVER (ORDER BY host, t, line_id) AS line_no, host, label FROM r")
-def c02_rule_labelled_table(spark, d):
-    rules = spark.createDataFrame([("r1", "brute", ["failed password"])], "rule_id string, rule_label string, filters array<string>")
-    rows = T.rule_labels(A.linux_lines(spark, d).select("line_id", "host", "t", "raw_line"), rules, "line_id", "raw_line")
-    return windows.number_rows(rows.select("host", "t", "line_id", "label"), "host", "t", "line_id", name="line_no").select("line_no", "host", "label")
-
-
-@query(f"WITH {LOG_SQL} SELECT host, count(*) AS n, count(*) FILTER (y = 1 AND k % 3 = 0) AS n_attack FROM log GROUP BY host")
-def c03_sidecar_labelled_table(spark, d):
-    from logloom.operators.joins import sidecar_labels
-
-    log = A.structured_log(spark, d)
-    side = log.filter("y = 1 AND k % 3 = 0").select("host", "line_id", F.lit("x").alias("label"))
-    got = sidecar_labels(log.select("host", "line_id"), side, ["host", "line_id"])
-    return got.groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "attack").alias("n_attack"))
-
-
-@query(f"WITH {LOG_SQL} SELECT row_number() OVER (ORDER BY host, t, line_id) AS line_no, t, y FROM log")
-def c04_host_log_table(spark, d):
-    rows = A.linux_lines(spark, d).join(A.structured_log(spark, d).select("line_id", "y"), "line_id")
-    return windows.number_rows(rows.select("host", "t", "line_id", "y"), "host", "t", "line_id", name="line_no").select("line_no", "t", "y")
-
-
-@query()
-def c05_canonical_training_table(spark, d):
-    normal = A.structured_log(spark, d).filter("y = 0")
-    burst = windows.unknown_bursts(normal, "host", "line_id", "event_template", 0.03)
-    made = windows.start_sessions(burst, "host", "line_id", "t", "event_template", 100, 10)
-    ids = windows.first_seen_ids(made, "event", "row_order", "event_id").select("event", "event_id")
-    return made.join(F.broadcast(ids), "event").select("session_id", "row_order", "event", "event_id")  # a row for each template
-
-
-@query()
-def c06_enriched_table(spark, d):
-    rows = A.sysmon_rows(spark, d).withColumn("enriched", sysmon.enriched_template(F.col("event_template"), F.col("content")))
-    return rows.groupBy("enriched").agg(F.count("*").alias("n_rows"), F.sum("y").alias("n_attacks"))
-
-
-@query(f"WITH {LOG_SQL}, a AS (SELECT count(*) AS n FROM log WHERE y = 1), r AS (SELECT line_id, y, row_number() OVER (ORDER BY md5('42|' || line_id), line_id) AS i FROM log WHERE y = 0) SELECT y, count(*) AS n FROM (SELECT y FROM r, a WHERE i <= 2 * n UNION ALL SELECT y FROM log WHERE y = 1) GROUP BY y")
-def c07_balanced_table(spark, d):
-    log = A.structured_log(spark, d)
-    return windows.balanced(log.filter("y = 0"), log.filter("y = 1"), "line_id").groupBy("y").agg(F.count("*").alias("n"))
-
-
-@query(f"WITH {MODEL_SQL} SELECT host, target_row, target, round(1 - p, 6) AS anomaly_score FROM scored WHERE (rank IS NULL OR rank > 3) AND host = 'host_1' ORDER BY 1 - p DESC, target_row LIMIT 20")
-def c08_quick_analysis(spark, d):
-    got = scored_windows(spark, d).filter("(rank IS NULL OR rank > 3) AND host = 'host_1'").withColumn("s", 1 - F.col("p"))
-    return got.orderBy(F.desc("s"), "target_row").limit(20).select("host", "target_row", "target", F.round("s", 6).alias("anomaly_score"))
-
-
 @query(f"WITH {MODEL_SQL}, k AS (SELECT host, kk AS topk, count(*) AS windows, count(*) FILTER (rank IS NULL OR rank > kk) AS anomalies FROM scored, (SELECT unnest([1, 3, 5, 9]) AS kk) GROUP BY ALL) SELECT topk, count(*) AS files, count(*) FILTER (anomalies > 0) AS detected, round(sum(anomalies) / CAST(sum(windows) AS DOUBLE), 6) AS noise FROM k GROUP BY topk")
 def c09_corpus_validation(spark, d):
     flags = detect.topk_flags(scored_windows(spark, d).drop("k"), [1, 3, 5, 9]).drop("topk").withColumnRenamed("k", "topk").withColumn("is_miss", F.coalesce("is_miss", F.lit(True)))
@@ -348,14 +298,6 @@ def c09_corpus_validation(spark, d):
     return per.groupBy("topk").agg(F.count("*").alias("files"), F.count_if(F.col("anomalies") > 0).alias("detected"), F.round(F.sum("anomalies") / F.sum("windows"), 6).alias("noise"))
 
 
-@query(f"WITH {MODEL_SQL}, cm AS (SELECT count(*) FILTER (y = 0 AND NOT m) AS tn, count(*) FILTER (y = 0 AND m) AS fp, count(*) FILTER (y = 1 AND NOT m) AS fn, count(*) FILTER (y = 1 AND m) AS tp FROM (SELECT y, (rank IS NULL OR rank > 9) AS m FROM scored)) SELECT tn, fp, fn, tp, round(tp / CAST(tp + fn AS DOUBLE), 9) AS recall FROM cm")
-def c10_formal_evaluation(spark, d):
-    from logloom.operators.evaluate import confusion, metrics
-
-    rows = scored_windows(spark, d).withColumn("y_pred", (F.col("rank").isNull() | (F.col("rank") > 9)).cast("int"))
-    return metrics(confusion(rows, "y", "y_pred")).select("tn", "fp", "fn", "tp", "recall")
-
-
 @query(f"""WITH {_ANS}, z AS (SELECT 1 AS round, * FROM a1 WHERE seq % 2 = 0 UNION ALL SELECT 2, * FROM a1), e AS (SELECT round, case_id, count(*) FILTER (verdict = 'error') AS n_errors FROM z GROUP BY ALL), s AS (SELECT * FROM z WHERE verdict <> 'error' AND status NOT IN ('skipped', 'error') AND ioc <> ''),
 g AS (SELECT e.round, e.case_id, any_value(n_errors) AS n_errors, count(s.seq) AS n, max(confidence) AS best, count(DISTINCT source) AS n_sources FROM e LEFT JOIN s ON e.round = s.round AND e.case_id = s.case_id GROUP BY ALL)
 SELECT round, case_id, n_sources, n_errors, {_CONFIDENCE} AS confidence, CASE WHEN n > 0 THEN 'evidence_collected' ELSE 'inconclusive' END AS status FROM g""")
