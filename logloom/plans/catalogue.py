@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logloom.plans import aggregate_queries, dataset_queries, detect_queries, evaluate_queries, investigate_queries, join_queries, sequence_queries, source_queries, text_queries  # noqa: F401
+from logloom.plans import aggregate_queries, dataset_queries, detect_queries, evaluate_queries, investigate_queries, join_queries, report_queries, sequence_queries, source_queries, text_queries  # noqa: F401
 from logloom.plans.registry import QUERIES, SQL
 
 
