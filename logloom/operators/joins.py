@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.operators.windows import first_n
 from logloom.sources.tables import stored
 
 
@@ -66,13 +67,17 @@ def compare_counts(a: DataFrame, b: DataFrame, key: str, count: str) -> DataFram
 
 
 def feed_matches(iocs: DataFrame, feed: DataFrame, related: int = 5) -> DataFrame:
-    """Feed rows of each indicator: all of exact value, and up to `related` that share only its host. Both have ioc; feed has feed_id too."""
+    """Feed rows of each indicator: all of exact value, and up to `related` that share only its host. Both have ioc; feed has feed_id too.
+
+    Of a host's feed rows only the first 2 * related go on, no more than `related` of each value: of these at most `related` are an indicator's own.
+    """
     norm = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), "^[a-z]+://", ""), "/+$", "")
     host = lambda c: F.regexp_extract(norm(c), "^([^/:?#]+)", 1)
     a = iocs.select("ioc", norm(F.col("ioc")).alias("n"), host(F.col("ioc")).alias("h"))
     b = feed.select("feed_id", norm(F.col("ioc")).alias("fn"), host(F.col("ioc")).alias("h"))
     exact = a.join(b.withColumnRenamed("fn", "n").drop("h"), "n").select("ioc", "feed_id", F.lit("exact").alias("match"))
-    near = a.join(b, "h").filter(F.col("n") != F.col("fn")).select("ioc", "feed_id", F.lit("related").alias("match"))
+    few = first_n(first_n(b, ["h", "fn"], ["feed_id"], related), ["h"], ["feed_id"], 2 * related)
+    near = a.join(few, "h").filter(F.col("n") != F.col("fn")).select("ioc", "feed_id", F.lit("related").alias("match"))
     near = near.withColumn("r", F.row_number().over(W.partitionBy("ioc").orderBy("feed_id"))).filter(F.col("r") <= related).drop("r")
     return exact.unionByName(near)
 
