@@ -2,14 +2,19 @@
 
 A token is a run of at least MIN_LENGTH characters of A-Za-z0-9+/_- (and = at its end) whose encoding can be told: hex (digits and letters
 a-f of one case), base32 (A-Z and 2-7, letters and digits) or base64 (upper case, lower case and digits). Prose has none.
-On the token's symbols three tests ask whether they are drawn evenly and independently: chi-squared over the alphabet, runs above and below
-its middle, and the correlation of neighbours. Fisher's method joins the three p-values. In each class of encoding and length (powers of
-two), the Benjamini-Hochberg procedure at FALSE_DISCOVERY picks the tokens that are not random, so that a class's number of tokens and
-its length's power set the limit; the tokens left are reported as spans of kind random, unless a pattern's span holds them already.
+Two questions are put to a token. Could a regular one (a name, words and counters joined) look like it? That hypothesis is tested by how rare
+its letters are in text, and by how often the class of characters changes; in each class of encoding and length (powers of two) the
+Benjamini-Hochberg procedure at FALSE_DISCOVERY rejects it, so that a class's number of tokens sets the limit, and what bounds the share of
+regular tokens is what is reported: tokens whose length has no power are not. And are its symbols drawn evenly and independently? Chi-squared over
+the alphabet, runs above and below its middle, and the correlation of neighbours, joined by Fisher's method, refute that for patterns
+that repeat. Tokens that are not regular by the first and not refuted by the second are spans of kind random, unless a pattern's span holds
+them already.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +28,11 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}=*"
 MIN_LENGTH = 20
 KINDS = ("assign", "access", "hex", "random")
 FALSE_DISCOVERY = 0.05
+LEAST_EVEN = 0.001
+#: Letters of English text, a to z, in per cent.
+LETTERS = (8.167, 1.492, 2.782, 4.253, 12.702, 2.228, 2.015, 6.094, 6.966, 0.153, 0.772, 4.025, 2.406, 6.749, 7.507, 1.929, 0.095, 5.987, 6.327, 9.056, 2.758, 0.978, 2.360, 0.150, 1.974, 0.074)
+SPREAD = 1.3  # names spread more than letters drawn one by one
+CHANGES = {"hex": 0.3, "base32": 0.15, "base64": 0.4}  # how often the class of characters changes in a regular token, at most
 BIN, BINS = 0.02, 3000
 BLOCK = 256
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
@@ -79,8 +89,14 @@ def _outside(spans: Column) -> Column:
 
 
 def _upper_tail(z: Column) -> Column:
-    """P(Z > z) of the normal distribution, by a logistic approximation (error under 0.0002), kept over 1e-12."""
-    return F.greatest(1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z)), F.lit(1e-12))
+    """P(Z > z) of the normal distribution, kept over 1e-300: a polynomial below 2.5, a continued fraction beyond (relative error under 1e-5)."""
+    density = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    near = density * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))  # Zelen and Severo
+    far = z
+    for k in range(12, 0, -1):
+        far = z + k / far
+    return F.greatest(F.when(z < 0, 1 - near).when(z < 2.5, near).otherwise(density / far), F.lit(1e-300))
 
 
 def encoding(token: Column) -> Column:
@@ -138,6 +154,29 @@ def _p_value(x: Column) -> Column:
     return _bound(F.struct(squares.alias("chi"), F.aggregate(codes, start, add).alias("s")), joined)
 
 
+def regularity(token: Column) -> Column:
+    """The p-value of the hypothesis that the token is a regular one: Fisher's join of two upper tails, of the rareness of its letters (where the
+    encoding has all letters) and of the number of changes between upper case, lower case, digits and signs."""
+    rare = [-math.log2(f / 100) for f in LETTERS]
+    mean = sum(f / 100 * w for f, w in zip(LETTERS, rare, strict=True))
+    deviation = SPREAD * math.sqrt(sum(f / 100 * (w - mean) ** 2 for f, w in zip(LETTERS, rare, strict=True)))
+    table = F.array(*map(F.lit, rare))
+
+    def joined(x: Column) -> Column:
+        n = F.length(x["body"]).cast("double")
+        letters = F.lower(F.regexp_replace(x["body"], "[^A-Za-z]", ""))
+        m = F.length(letters).cast("double")
+        total = F.aggregate(F.split(letters, ""), F.lit(0.0), lambda a, c: a + F.coalesce(F.try_element_at(table, F.ascii(c) - 96), F.lit(0.0)))
+        rate = F.when(x["encoding"] == "hex", CHANGES["hex"]).when(x["encoding"] == "base32", CHANGES["base32"]).otherwise(CHANGES["base64"])
+        changes = F.length(F.regexp_replace(x["body"], "[A-Z]+|[a-z]+|[0-9]+|[+/_-]+", "x")) - 1
+        by_letters = F.when((x["encoding"] == "hex") | (m == 0), 1.0).otherwise(_upper_tail((total - mean * m) / (deviation * F.sqrt(F.greatest(m, F.lit(1.0))))))
+        by_changes = _upper_tail((changes - rate * (n - 1)) / F.sqrt(rate * (1 - rate) * (n - 1)))
+        both = _bound(-(F.log(by_letters) + F.log(by_changes)), lambda half: F.exp(-half) * (1 + half))
+        return F.when(x["encoding"] == "hex", by_changes).otherwise(both)
+
+    return _bound(F.struct(encoding(token).alias("encoding"), F.regexp_replace(token, "=+$", "").alias("body")), joined)
+
+
 def scan(docs: DataFrame, text: str = "text", false_discovery: float = FALSE_DISCOVERY) -> DataFrame:
     """Add spans: array<struct<start, kind, end>> sorted by start, then kind (a number, see KINDS); code points, end exclusive.
 
@@ -150,15 +189,15 @@ def scan(docs: DataFrame, text: str = "text", false_discovery: float = FALSE_DIS
     others = [c for c in docs.columns if c not in (text, "spans")]
     told = F.filter(matches(t, TOKEN), lambda m: encoding(m["text"]).isNotNull())
     found = docs.select(*others, base.alias("__base"), told.alias("__tokens"))
-    tested = F.transform("__tokens", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), randomness(m["text"]).alias("x")))
+    tested = F.transform("__tokens", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), randomness(m["text"]).alias("x"), regularity(m["text"]).alias("p")))
     found = found.withColumn("__tested", tested)
     level = lambda p: F.least(F.floor(-F.log(F.greatest(p, F.lit(1e-300))) / BIN), F.lit(BINS)).cast("int")
     klass = lambda x: F.concat(x["encoding"], F.lit(":"), F.floor(F.log2(x["n"])).cast("string"))
-    judged = F.transform("__tested", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), klass(m["x"]).alias("class"), level(_p_value(m["x"])).alias("level")))
+    judged = F.transform("__tested", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), klass(m["x"]).alias("class"), level(m["p"]).alias("level"), (_p_value(m["x"]) >= LEAST_EVEN).alias("even")))
     found = materialize(found.withColumn("__judged", judged).drop("__tested", "__tokens"))
     cut = rejected_levels(found.select(F.explode("__judged").alias("j")).select("j.class", "j.level"), false_discovery)
     limits = F.create_map(*[F.lit(v) for kv in [("", BINS + 1), *cut.items()] for v in kv])
-    random = F.transform(F.filter("__judged", lambda m: m["level"] < F.coalesce(F.try_element_at(limits, m["class"]), F.lit(BINS + 1))), lambda m: F.struct(m["start"].alias("start"), F.lit(3).alias("kind"), m["end"].alias("end")))
+    random = F.transform(F.filter("__judged", lambda m: m["even"] & (m["level"] >= F.coalesce(F.try_element_at(limits, m["class"]), F.lit(BINS + 1)))), lambda m: F.struct(m["start"].alias("start"), F.lit(3).alias("kind"), m["end"].alias("end")))
     return found.select(*others, _outside(F.sort_array(F.concat("__base", random))).alias("spans"))
 
 

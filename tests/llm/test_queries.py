@@ -34,7 +34,7 @@ def remainder(key, n):
 
 
 def tail(z):
-    return max(1 / (1 + math.exp(min(700, 1.5976 * z + 0.07056 * z**3))), 1e-12)
+    return max(math.erfc(z / math.sqrt(2)) / 2, 1e-300)
 
 
 def plain_p(token):
@@ -79,7 +79,60 @@ def test_battery_against_plain_python(spark):
         want = plain_p(t)
         assert (got[i][0] is None) == (want is None), t
         if want is not None:
-            assert math.isclose(got[i][1], want, rel_tol=1e-6, abs_tol=1e-12), (t, got[i], want)
+            assert math.isclose(got[i][1], want, rel_tol=1e-4, abs_tol=1e-12), (t, got[i], want)
+
+
+def plain_regularity(token):
+    body = token.rstrip("=")
+    kind = plain_encoding(body)
+    rare = {c: -math.log2(f / 100) for c, f in zip("abcdefghijklmnopqrstuvwxyz", secrets.LETTERS, strict=True)}
+    mean = sum(2**-w * w for w in rare.values())
+    deviation = secrets.SPREAD * math.sqrt(sum(2**-w * (w - mean) ** 2 for w in rare.values()))
+    letters = [rare[c] for c in body.lower() if c in rare]
+    kinds = ["U" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "s" for c in body]
+    changes, rate, n = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)), secrets.CHANGES[kind], len(body)
+    by_changes = tail((changes - rate * (n - 1)) / math.sqrt(rate * (1 - rate) * (n - 1)))
+    if kind == "hex":
+        return by_changes
+    half = -math.log(tail((sum(letters) - mean * len(letters)) / (deviation * math.sqrt(len(letters))))) - math.log(by_changes)
+    return math.exp(-half) * (1 + half)
+
+
+def plain_encoding(body):
+    chars, digits, low, up = set(body), set("0123456789"), set("abcdefghijklmnopqrstuvwxyz"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    if (chars <= digits | set("abcdef") or chars <= digits | set("ABCDEF")) and chars & digits and chars - digits:
+        return "hex"
+    if chars <= up | set("234567") and chars & up and chars & set("234567"):
+        return "base32"
+    return "base64" if chars & up and chars & low and chars & digits else None
+
+
+PARTS = "get set user name account session query result manager handler request response buffer index table column value key cache node tree list filter parse render update delete create insert select service factory builder provider context config option event worker queue vector matrix token password database connection transaction template document property method object package import internal private static window dialog button status version release branch commit merge http json proxy".split()
+
+
+def test_reports_are_rejections(spark):
+    """Of 1,000 names in camel case with two digits at most 5 % are reported, of 200 random tokens of 24 characters at least 90 %; tails are those of erfc."""
+    rng = np.random.default_rng(21)
+    draw = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    plain = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    names, tokens = [], []
+    while len(names) < 1000:
+        t = "".join(w.capitalize() for w in rng.choice(PARTS, int(rng.integers(3, 6))))
+        at = int(rng.integers(1, len(t) + 1))
+        t = f"{t[:at]}{rng.integers(0, 100):02d}{t[at:]}"
+        names += [t] if len(t) >= 20 else []
+    while len(tokens) < 200:
+        t = draw(plain, 24)
+        tokens += [t] if plain_encoding(t) == "base64" else []
+    every = names + tokens
+    got = {r["i"]: [s for s in r["spans"] if s["kind"] == 3] for r in secrets.scan(spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(every)], "i int, text string")).collect()}
+    assert sum(bool(got[i]) for i in range(1000)) <= 50 and sum(bool(got[i]) for i in range(1000, 1200)) >= 180
+    more = every[::40] + ["AAAA2222BBBB3333CCCC", draw(secrets.ALPHABETS["base32"], 40), "0123456789abcdef0123", draw("0123456789abcdef", 64), "aB3_-" * 8 + "==", draw(plain, 3000)]
+    for r in spark.createDataFrame([(t,) for t in more], "t string").select("t", secrets.regularity(F.col("t")).alias("p")).collect():
+        assert math.isclose(r["p"], plain_regularity(r["t"]), rel_tol=1e-4, abs_tol=1e-250), r
+    z = [x / 7 for x in range(-40, 210)]
+    for r in spark.createDataFrame([(x,) for x in z], "z double").select("z", secrets._upper_tail(F.col("z")).alias("p")).collect():
+        assert math.isclose(r["p"], tail(r["z"]), rel_tol=2e-5), r
 
 
 def test_long_tokens_and_many_matches(spark):
