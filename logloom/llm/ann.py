@@ -160,7 +160,7 @@ def calibrate(index: Index, x: np.ndarray, boundary: float, recall: float, queri
     index.beam = int(min(len(c), max(64, 1.25 * np.quantile(within, 0.99))))
 
 
-def fit(vectors: DataFrame, rows: int, list_size: int = 256, max_sample: int = 20_000, boundary: float = 0.25, recall: float = 0.94, copies: int = 4, queries: int = 256) -> Index | None:
+def fit(vectors: DataFrame, rows: int, list_size: int = 256, max_sample: int = 20_000, boundary: float = 0.25, recall: float = 0.97, copies: int = 4, queries: int = 256) -> Index | None:
     """Fit centroids and limits to a bounded sample, chosen by a hash: about max_sample vectors, or 16 for each list where that is more, fewer
     where they would take over SAMPLE_BYTES.
 
