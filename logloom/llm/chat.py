@@ -55,7 +55,8 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """(conv_id, formatted, loss_spans): each conversation as one string, and where its loss roles' texts stand in it (code points, end exclusive).
+    """(conv_id, formatted, loss_spans, loss_turns): each conversation as one string, where its loss roles' texts stand in it (code points, end
+    exclusive), and in which turn (from 1), how far from the turn's beginning.
 
     Null roles and texts count as empty; repeated rows stay apart; extra columns are dropped; no messages give no rows."""
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
@@ -65,15 +66,29 @@ def render(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) ->
     m = messages.select("conv_id", "turn", "role", "text", head.alias("head"), text.alias("body"))
     m = m.select("conv_id", "role", F.concat("head", "body", F.lit(CLOSE)).alias("piece"), F.length("head").cast("bigint").alias("skip"), F.length("body").cast("bigint").alias("size"), F.row_number().over(order).alias("n"), F.coalesce(F.sum(F.length("head") + F.length("body") + len(CLOSE)).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("at"))
     span = F.when(F.col("role").isin(*loss_roles), F.struct((F.col("at") + F.col("skip")).alias("start"), (F.col("at") + F.col("skip") + F.col("size")).alias("end")))
-    got = m.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("n", "piece"))).alias("pieces"), F.sort_array(F.collect_list(span)).alias("loss_spans"))
-    return got.select("conv_id", F.array_join(F.col("pieces")["piece"], "").alias("formatted"), "loss_spans")
+    place = F.when(F.col("role").isin(*loss_roles), F.struct(F.col("n").alias("turn"), F.col("skip").alias("skip")))
+    got = m.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("n", "piece"))).alias("pieces"), F.sort_array(F.collect_list(span)).alias("loss_spans"), F.sort_array(F.collect_list(place)).alias("loss_turns"))
+    return got.select("conv_id", F.array_join(F.col("pieces")["piece"], "").alias("formatted"), "loss_spans", "loss_turns")
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def loss_text(formatted: Column, spans: Column, turns: Column) -> Column:
+    """The texts under the loss mask, unescaped and joined: each is cut from its own turn, so that work grows with the conversation's length alone."""
+    size = len(OPEN)
+    cut = lambda blocks, s: F.substring(F.element_at(blocks, s["turn"] + 1), (s["skip"] - size + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+    both = F.zip_with(spans, turns, lambda s, t: F.struct(s["start"].alias("start"), s["end"].alias("end"), t["turn"].alias("turn"), t["skip"].alias("skip")))
+    return F.array_join(_bound(F.split(formatted, OPEN), lambda blocks: F.transform(both, lambda s: unescape(cut(blocks, s)))), "")
 
 
 def read_back(formatted: Column) -> Column:
-    """The turns of a rendered conversation as array<struct<role, text>>."""
-    blocks = F.slice(F.split(formatted, OPEN), 2, F.greatest(F.size(F.split(formatted, OPEN)) - 1, F.lit(0)))
-    role = lambda b: F.substring_index(b, "\n", 1)
-    return F.transform(blocks, lambda b: F.struct(_unescape_role(role(b)).alias("role"), unescape(F.substring(b, F.length(role(b)) + 2, F.length(b) - F.length(role(b)) - 1 - len(CLOSE))).alias("text")))
+    """The turns of a rendered conversation as array<struct<role, text>>; an empty text has none, null gives null."""
+    blocks = _bound(F.split(formatted, OPEN), lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))))
+    turn = lambda b, role: F.struct(_unescape_role(role).alias("role"), unescape(F.substring(b, F.length(role) + 2, F.length(b) - F.length(role) - 1 - len(CLOSE))).alias("text"))
+    return F.transform(blocks, lambda b: _bound(F.substring_index(b, "\n", 1), lambda role: turn(b, role)))
 
 
 def event_log(rows: DataFrame) -> DataFrame:
@@ -99,5 +114,5 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(attack).alias("text"))
     got = render(fold(event_log(rows.unionByName(extra)))).withColumn("turns", read_back(F.col("formatted")))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    loss = loss_text(F.col("formatted"), F.col("loss_spans"), F.col("loss_turns"))
     return got.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), loss.alias("loss"), "formatted").select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
