@@ -268,3 +268,14 @@ def a43_call_summary(spark, d):
     counts = fixed_status_counts(rows, ["case_id"], "status", ["success", "error", "skipped", "cached"]).join(rows.groupBy("case_id").agg(F.count("*").alias("n_calls")), "case_id")
     iocs, results = ops.ranked_list(rows, ["case_id"], [F.col("page_id")], "url", 10, "sample_iocs"), ops.ranked_list(rows.filter("status = 'success'"), ["case_id"], [F.col("page_id")], "url", 20, "sample_results")
     return counts.join(iocs, "case_id").join(results, "case_id", "left").fillna("", ["sample_results"])
+
+
+@query(f"""WITH {LOG_SQL}, x AS (SELECT user_id AS file, unnest([3, 5, 10, 14]) AS topk, k, y, event_template FROM log), c AS (SELECT file, topk, event_template, count(*) AS n FROM x WHERE y = 1 AND k > topk * 6 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY file, topk ORDER BY n DESC, event_template) AS i FROM c) SELECT file, topk, string_agg(event_template || '=' || n, '|' ORDER BY i) AS top_events FROM r WHERE i <= 8 GROUP BY file, topk""")
+def a26_top_events(spark, d):
+    """The eight most frequent events of each file's anomalies, for each k."""
+    from logloom.operators.aggregates import top_values
+
+    rows = A.structured_log(spark, d).select(F.col("user_id").alias("file"), F.explode(F.array(*map(F.lit, (3, 5, 10, 14)))).alias("topk"), "k", "y", "event_template").filter(F.col("k") > F.col("topk") * 6).filter("y = 1")
+    top = top_values(rows, ["file", "topk"], "event_template", 8).withColumn("text", F.concat("event_template", F.lit("="), F.col("n_rows").cast("string")))
+    return ops.ranked_list(top, ["file", "topk"], [F.col("rank")], "text", 8, "top_events")

@@ -27,8 +27,8 @@ def by_key(rows):
     return of
 
 
-@pytest.mark.parametrize("span", [5, 40, 10_000, None])
-@pytest.mark.parametrize("halo", [0, 1, 7])
+@pytest.mark.parametrize("span", [5, 40, None])
+@pytest.mark.parametrize("halo", [0, 7])
 def test_key_blocks(spark, span, halo):
     rows = log(spark)
     df = spark.createDataFrame(rows, "k string, o bigint, e string, v int")
@@ -42,7 +42,7 @@ def test_key_blocks(spark, span, halo):
             assert got[k, r[1]] == (i, len(own), sum(x[3] for x in own[: i + 1]), [x[2] for x in own[max(0, i - halo) : i]]), (k, i)
     assert (blocks["hot"] > 5) == (span in (5, 40))
     most = made.groupBy("k", "__b").count().agg(F.max("count")).first()[0]
-    assert span in (10_000, None) or most <= 2 * (span + 2 * max(halo, 1)) + halo
+    assert span is None or most <= 2 * (span + 2 * max(halo, 1)) + halo
 
 
 def test_operators_by_blocks(spark, monkeypatch):
@@ -158,7 +158,7 @@ def messages(n=700):
     return [(i, m) for i, m in enumerate([*rows, None, "", " \t ", "x " * 3000, rows[0], "10.0.0.1 0x1f <*> <*>"])]
 
 
-@pytest.mark.parametrize(("span", "fan"), [(10_000, 8), (10, 2), (25, 3)])
+@pytest.mark.parametrize(("span", "fan"), [(10_000, 8), (10, 3)])
 def test_templates_against_plain_python(spark, span, fan):
     rows = messages()
     df = spark.createDataFrame(rows, "i bigint, m string").withColumn("template", F.lit("clash"))
