@@ -31,25 +31,42 @@ def _has(text: Column, *words: str) -> Column:
     return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
 
 
+def _low(v: Column | str, use) -> Column:
+    """use(t) of the cleaned text in lower case, made once: inside lambdas nothing is shared."""
+    return bound(F.lower(_clean(v)), use)
+
+
 def path_class(v: Column | str) -> Column:
-    t = F.lower(_clean(v))
+    return _low(v, _path)
+
+
+def _path(t: Column) -> Column:
     return F.when(t == "", "unknown").when(_has(t, "\\users\\") & _has(t, "\\temp\\"), "user_temp").when(_has(t, "\\users\\"), "user_path").when(_has(t, "\\windows\\"), "windows").when(_has(t, "\\program files"), "program_files").otherwise("other")
 
 
 def process_class(v: Column | str) -> Column:
-    t = F.lower(_clean(v))
+    return _low(v, _process)
+
+
+def _process(t: Column) -> Column:
     stem = F.regexp_replace(F.regexp_extract(F.regexp_replace(t, "^[\"']+|[\"']+$", ""), r"([^\\/]*)$", 1), r"\.exe$", "")
     place = F.when(_has(t, "\\users\\") & _has(t, "\\temp\\"), "user_temp").when(_has(t, "\\users\\"), "user_path").when(_has(t, "\\program files"), "program_files").when(_has(t, "\\windows\\"), "windows").otherwise("other")
     return F.when(t == "", "unknown").when(t == "system", "system").otherwise(F.coalesce(_lookup(PROGRAMS, stem), place))
 
 
 def user_class(v: Column | str) -> Column:
-    t = F.lower(_clean(v))
+    return _low(v, _user)
+
+
+def _user(t: Column) -> Column:
     return F.when(t == "", "unknown").when(_has(t, "nt authority\\system") | t.endswith("\\system") | (t == "system"), "system").when(_has(t, "network service"), "network_service").when(_has(t, "local service"), "local_service").when(t.endswith("$"), "machine").otherwise("user")
 
 
 def ip_class(v: Column | str) -> Column:
-    t = _clean(v)
+    return bound(_clean(v), _ip)
+
+
+def _ip(t: Column) -> Column:
     a, b = octet(t, 1), octet(t, 2)
     private = (a == 10) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | (a == 0) | (a >= 240)
     four = F.when(a == 127, "loopback").when((a == 169) & (b == 254), "link_local").when(a.between(224, 239), "multicast").when(private, "private").otherwise("public")
@@ -59,29 +76,43 @@ def ip_class(v: Column | str) -> Column:
 
 
 def port_class(v: Column | str) -> Column:
-    t = _clean(v)
-    port = t.try_cast("double").cast("int")
+    return bound(_clean(v).try_cast("double").cast("int"), _port)
+
+
+def _port(port: Column) -> Column:
     return F.when(port.isNull(), "unknown").otherwise(F.coalesce(_lookup(PORTS, port), F.when(port < 1024, "privileged").when(port < 49152, "high").otherwise("ephemeral")))
 
 
 def command_class(v: Column | str) -> Column:
-    t = F.lower(_clean(v))
+    return _low(v, _command)
+
+
+def _command(t: Column) -> Column:
     return F.when(t == "", "empty").when(_has(t, "encodedcommand") | t.rlike(r"\s-enc(?:odedcommand)?\b"), "encoded").when(_has(t, "downloadstring", "invoke-webrequest", "curl ", "wget "), "download").when(_has(t, "bypass", "hidden", " -nop", " -w hidden"), "suspicious").when(_has(t, "whoami", " nltest", " net view", " net user", " ipconfig"), "discovery").otherwise("other")
 
 
 def access_class(v: Column | str) -> Column:
-    t = F.lower(_clean(v))
+    return _low(v, _access)
+
+
+def _access(t: Column) -> Column:
     value = F.when(t.rlike("^0x[0-9a-f]{1,15}$"), F.conv(F.substring(t, 3, 100), 16, 10).cast("bigint")).when(t.rlike(r"^[+-]?\d{1,18}$"), t.try_cast("bigint"))
     return F.when(value.isNull(), "unknown").when(value.bitwiseAND(F.lit(0x0010 | 0x0400 | 0x1000 | 0x1F0000)) != 0, "high").otherwise("low")
 
 
 def registry_class(v: Column | str) -> Column:
-    t = F.lower(_clean(v))
+    return _low(v, _registry)
+
+
+def _registry(t: Column) -> Column:
     return F.when(t == "", "unknown").when(_has(t, "currentversion\\run", "\\runonce"), "autorun").when(_has(t, "\\services\\"), "services").when(_has(t, "\\sam\\", "\\security\\"), "sensitive").when(t.startswith("hklm") | _has(t, "\\hkey_local_machine\\"), "hklm").when(t.startswith("hkcu") | _has(t, "\\hkey_current_user\\"), "hkcu").otherwise("other")
 
 
 def query_class(v: Column | str) -> Column:
-    t = F.regexp_replace(F.lower(_clean(v)), r"\.+$", "")
+    return bound(F.regexp_replace(F.lower(_clean(v)), r"\.+$", ""), _query)
+
+
+def _query(t: Column) -> Column:
     return F.when(t == "", "unknown").when(t.endswith(".local") | _has(t, ".local.") | t.endswith(".lan"), "internal").when(t.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), ip_class(t)).otherwise("domain")
 
 
