@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logloom.llm.common import materialize, read, small
 from logloom.operators.windows import number_rows
 
+LANDING = 12  # documents of a group that are decided together at last
 BLOCK = 1024  # documents whose flight is one task's step
 LARGE = 1000
 COPIES = 4096
@@ -43,8 +44,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share
     return rows.select("source", "source_size", "n", F.least(shared, F.lit(float(most)) * F.col("source_size")).alias("target"))
 
 
-def flight(size: np.ndarray, p: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Move inclusion probabilities until at most two are neither 0 nor 1; sums of p and of p * size stay.
+def flight(size: np.ndarray, p: np.ndarray, draws: np.ndarray, left: int = 2) -> np.ndarray:
+    """Move inclusion probabilities until at most `left` (two or more) are neither 0 nor 1; sums of p and of p * size stay.
 
     Each step projects the largest undecided document's direction onto the null space of both constraints and goes along it, forth or back at
     random so that expectations stay, until a probability meets 0 or 1. So large documents are decided first, against many small ones, and
@@ -54,7 +55,7 @@ def flight(size: np.ndarray, p: np.ndarray, draws: np.ndarray) -> np.ndarray:
     open_ = np.flatnonzero((p > 0) & (p < 1))
     x = size.astype(np.float64) / max(1.0, float(size.max(initial=0)))
     for draw in draws:
-        if len(open_) <= 2:
+        if len(open_) <= left:
             break
         s, q = x[open_], p[open_]
         centred = s - s.mean()
@@ -83,12 +84,12 @@ def _three(s: np.ndarray) -> np.ndarray:
 
 
 def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Decide the few open documents: of all ways, the one whose words come nearest to their expectation, then whose number does."""
+    """Decide the few open documents: of the ways whose number is within one of its expectation, that whose words come nearest to theirs."""
     open_ = np.flatnonzero((p > 0) & (p < 1))
     if len(open_):
         ways = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
         words, documents = np.abs(ways @ size[open_] - p[open_] @ size[open_]), np.abs(ways.sum(axis=1) - p[open_].sum())
-        p[open_] = ways[np.lexsort((documents, np.round(words, 6)))[0]]
+        p[open_] = ways[np.lexsort((documents, np.round(words, 6), documents > 1))[0]]
     return p
 
 
@@ -97,8 +98,9 @@ def _flight_of_block(seed: int, level: int):
         part = part.sort_by([("size", "descending"), ("order", "ascending"), ("key", "ascending"), ("copy", "ascending")])
         size, p, order = (part[c].to_numpy() for c in ("size", "p", "order"))
         rng = np.random.default_rng([seed, level, *np.array([order.min(), order.max(), part["block"][0].as_py()], np.int64).view(np.uint64).tolist()])
-        p = flight(size, p, rng.random(2 * len(size)))
-        return part.set_column(part.schema.get_field_index("p"), "p", pa.array(land(size, p) if part["blocks"][0].as_py() <= 1 else p))
+        last = part["blocks"][0].as_py() <= 1
+        p = flight(size, p, rng.random(2 * len(size)), LANDING if last else 2)
+        return part.set_column(part.schema.get_field_index("p"), "p", pa.array(land(size, p) if last else p))
 
     return fly
 
