@@ -122,9 +122,12 @@ def quadrant(y_true: str = "y_true", y_pred: str = "y_pred") -> Column:
 
 def align_windows(windows: DataFrame, labels: DataFrame, policy: str = "any", ratio: float = 0.5) -> DataFrame:
     """Truth of each window (window_id, start_idx, end_idx, target_row): the label of its target row if that has one, else any, majority or
-    ratio of its rows' labels. Windows without any label are left out. labels: (row, y)."""
+    ratio of its rows' labels. Windows without any label are left out. labels: (row, y).
+
+    Both sides of the join by row are shuffled: Spark takes unfolded windows for as few rows as there are windows, and would broadcast them.
+    """
     share = {"any": F.max("y"), "majority": (F.avg("y") >= 0.5).cast("int"), "ratio": (F.avg("y") >= ratio).cast("int")}[policy]
-    inside = windows.select("window_id", F.explode(F.sequence("start_idx", "end_idx")).alias("row")).join(labels, "row").groupBy("window_id").agg(share.alias("by_rows"))
+    inside = windows.select("window_id", F.explode(F.sequence("start_idx", "end_idx")).alias("row")).join(labels.hint("merge"), "row").groupBy("window_id").agg(share.alias("by_rows"))
     exact = labels.select(F.col("row").alias("target_row"), F.col("y").alias("by_target"))
     out = windows.join(exact, "target_row", "left").join(inside, "window_id", "left").withColumn("y_true", F.coalesce("by_target", "by_rows"))
     return out.filter("y_true IS NOT NULL").withColumn("label_source", F.when(F.col("by_target").isNotNull(), "target_line").otherwise(policy)).drop("by_target", "by_rows")

@@ -23,8 +23,9 @@ def sidecar_labels(lines: DataFrame, sidecar: DataFrame, keys: list[str]) -> Dat
 
 
 def rows_in_windows(windows: DataFrame, rows: DataFrame, position: str, start: Column, end: Column) -> DataFrame:
-    """Rows whose position lies in a window, bounds included: windows are unfolded to positions, and positions joined."""
-    return windows.withColumn(position, F.explode(F.sequence(start.cast("bigint"), end.cast("bigint")))).join(rows, position)
+    """Rows whose position lies in a window, bounds included: windows are unfolded to positions, and positions joined (both
+    sides shuffled: Spark takes unfolded windows for as few rows as there are windows, and would broadcast them)."""
+    return windows.withColumn(position, F.explode(F.sequence(start.cast("bigint"), end.cast("bigint")))).join(rows.hint("merge"), position)
 
 
 def best_answer(iocs: DataFrame, answers: DataFrame, value: str, priority: str, order: str, columns: list[str]) -> DataFrame:
