@@ -15,6 +15,7 @@ from logloom.sources.tables import stored
 #: Words of masks, which are no tokens of a template.
 PLACEHOLDERS = ("num", "ip", "ipport", "path", "regpath", "guid", "uuid", "hex", "sid", "hash", "trunc")
 POSTINGS = 4096
+RARE = 256
 BLOCK_BYTES = 8 << 20
 PIVOTS = 64
 
@@ -26,24 +27,32 @@ def template_tokens(text: Column) -> Column:
 
 
 def _by_rarity(sets: DataFrame, frequency: DataFrame, key: str) -> DataFrame:
-    """(key, tokens): the tokens of each set that have a frequency, rarest first."""
-    rows = sets.select(key, F.explode("set").alias("t")).join(frequency, "t").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("r"))
-    return rows.select(key, F.col("r.t").alias("tokens"))
+    """(key, tokens): the numbers of each set's tokens that have a frequency (t, df, number), rarest first."""
+    rows = sets.select(key, F.explode("set").alias("t")).join(frequency, "t").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("df", "number"))).alias("r"))
+    return rows.select(key, F.col("r.number").alias("tokens"))
 
 
-def containment_candidates(queries: DataFrame, known: DataFrame, least_matched: int, least_score: float, postings: int = POSTINGS) -> DataFrame:
-    """(qi, ki, n_known, token, qt, kt): pairs of a query set and a known set that share a token of both their prefixes.
+def containment_candidates(queries: DataFrame, known: DataFrame, least_matched: int, least_score: float, postings: int = POSTINGS, most: int | None = None) -> DataFrame:
+    """(qi, ki, n_known, token, qt, kt): pairs of a query set and a known set that share a token of both their prefixes; tokens are numbers.
 
-    queries: (qi, set), known: (ki, set). Tokens are ordered by rarity among known sets. A known set of n tokens of which m must match meets on its
-    n - m + 1 rarest, a query on all but its least_matched - 1 commonest; a token that all texts hold is in no prefix. The postings of a token that
-    many prefixes hold are dealt to salts on both sides, so that no task joins more than `postings` squared pairs.
+    queries: (qi, set), known: (ki, set), or (ki, set, n_known) where a set is a part of n_known tokens. Tokens are ordered by rarity among known sets.
+    A known set of n_known tokens of which m must match meets on all but its m - 1 commonest, a query on all but its least_matched - 1 commonest; a
+    token that all texts hold is in no prefix. With `most`, sets meet on tokens of up to so many known sets only: pairs whose rarest shared token is
+    commoner are left out. The postings of a token that many prefixes hold are dealt to salts on both sides, so that no task joins more than
+    `postings` squared pairs.
     """
-    frequency = stored(known.select(F.explode("set").alias("t")).groupBy("t").agg(F.count("*").alias("df")))
+    frequency = known.select(F.explode("set").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    frequency = stored(frequency.withColumn("number", F.monotonically_increasing_id()))
     n = F.size("set")
-    needed = F.greatest(F.lit(least_matched), F.ceil(n * least_score - 1e-6))
-    k = known.join(_by_rarity(known, frequency, "ki"), "ki").select("ki", n.alias("n_known"), F.col("tokens").alias("kt"), F.explode(F.slice("tokens", F.lit(1), (n - needed + 1).cast("int"))).alias("token"))
+    known = known if "n_known" in known.columns else known.withColumn("n_known", n)
+    needed = F.greatest(F.lit(least_matched), F.ceil(F.col("n_known") * least_score - 1e-6))
+    met = lambda kept: F.explode(F.slice("tokens", F.lit(1), kept.cast("int"))).alias("token")
+    k = known.filter(n >= needed).join(_by_rarity(known, frequency, "ki"), "ki").select("ki", "n_known", F.col("tokens").alias("kt"), met(n - needed + 1))
     q = _by_rarity(queries, frequency, "qi").filter(F.size("tokens") >= least_matched)
-    q = q.select("qi", F.col("tokens").alias("qt"), F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - least_matched + 1)).alias("token"))
+    q = q.select("qi", F.col("tokens").alias("qt"), met(F.size("tokens") - least_matched + 1))
+    if most is not None:
+        rare = stored(frequency.filter(F.col("df") <= most).select(F.col("number").alias("token")))
+        q, k = q.join(rare, "token"), k.join(rare, "token")
     salts = lambda side, name: side.groupBy("token").agg(F.ceil(F.count("*") / postings).cast("int").alias(name))
     dealt = stored(salts(q, "qs").join(salts(k, "ks"), "token"))
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -52,18 +61,38 @@ def containment_candidates(queries: DataFrame, known: DataFrame, least_matched:
     return q.join(k, ["token", "a", "b"]).drop("a", "b")
 
 
-def token_containment(queries: DataFrame, known: DataFrame, key: str, text: str, least_matched: int = 4, least_known: int = 5, least_query: int = 4, least_score: float = 0.65, postings: int = POSTINGS) -> DataFrame:
+def _best_match(queries: DataFrame, known: DataFrame, least_matched: int, least_score: float, postings: int, most: int | None = None) -> DataFrame:
+    """(qi, b): the best known set of each query by matched, score, n_known, then least match. known: (ki, set, n_known, match)."""
+    pairs = containment_candidates(queries, known.select("ki", "set", "n_known"), least_matched, least_score, postings, most).withColumn("both", F.array_intersect("qt", "kt"))
+    matched, score = F.size("both").cast("bigint"), F.size("both") / F.col("n_known")
+    pairs = pairs.filter(F.element_at("both", 1) == F.col("token")).select("qi", "ki", "n_known", matched.alias("matched"), score.alias("score"))
+    got = pairs.filter((F.col("matched") >= least_matched) & (F.col("score") >= least_score)).join(known.select("ki", "match"), "ki")
+    return got.groupBy("qi").agg(F.max(F.struct("matched", "score", "n_known", (-F.col("match")).alias("m"))).alias("b"))
+
+
+def token_containment(queries: DataFrame, known: DataFrame, key: str, text: str, least_matched: int = 4, least_known: int = 5, least_query: int = 4, least_score: float = 0.65, postings: int = POSTINGS, rare: int = RARE) -> DataFrame:
     """For each query text the known text of which it holds most: (key, match, matched, score), score = matched / known tokens; best by matched,
-    score, known size, then the least known key (a number). Texts of equal token sets are looked up once; pairs are counted where they first meet."""
+    score, known size, then the least known key (a number). Texts of equal token sets are looked up once; pairs are counted where they first meet.
+
+    A token of up to `rare` known sets is rare. Pairs that share one meet on it, at most `rare` for each token of a query. Other pairs share common
+    tokens only: for these all known sets of one size and the same common tokens are one, that of the least key, and all queries of the same common
+    tokens are one. Where such a pair shares a rare token after all it counts too few here, and the same pair counts in full above.
+    """
     asked = queries.select(F.col(key).alias("__k"), template_tokens(F.col(text)).alias("set")).filter(F.size("set") >= least_query)
     q = stored(asked.select("set").distinct().withColumn("qi", F.monotonically_increasing_id()))
     k = known.select(F.col(key).alias("match"), template_tokens(F.col(text)).alias("set")).filter(F.size("set") >= least_known)
-    k = stored(k.groupBy("set").agg(F.min("match").alias("match")).withColumn("ki", F.monotonically_increasing_id()))
-    pairs = containment_candidates(q, k.select("ki", "set"), least_matched, least_score, postings).withColumn("both", F.array_intersect("qt", "kt"))
-    matched, score = F.size("both").cast("bigint"), F.size("both") / F.col("n_known")
-    pairs = pairs.filter(F.element_at("both", 1) == F.col("token")).select("qi", "ki", "n_known", matched.alias("matched"), score.alias("score"))
-    got = pairs.filter((F.col("matched") >= least_matched) & (F.col("score") >= least_score)).join(k.select("ki", "match"), "ki")
-    best = got.groupBy("qi").agg(F.max(F.struct("matched", "score", "n_known", (-F.col("match")).alias("m"))).alias("b"))
+    k = stored(k.groupBy("set").agg(F.min("match").alias("match")).withColumn("ki", F.monotonically_increasing_id()).withColumn("n_known", F.size("set")))
+    best = _best_match(q, k, least_matched, least_score, postings, rare)
+
+    common = stored(k.select(F.explode("set").alias("t")).groupBy("t").count().filter(F.col("count") > rare).select("t"))
+    part = lambda df, *also: df.select(*also, F.explode("set").alias("t")).join(common, "t").groupBy(*also).agg(F.sort_array(F.collect_list("t")).alias("set")).filter(F.size("set") >= least_matched)
+    qp = stored(part(q, "qi"))
+    qc = stored(qp.select("set").distinct().withColumn("ci", F.monotonically_increasing_id()))
+    kc = stored(part(k, "ki", "n_known", "match").groupBy("set", "n_known").agg(F.min("match").alias("match")).withColumn("ki", F.monotonically_increasing_id()))
+    of_part = _best_match(qc.select(F.col("ci").alias("qi"), "set"), kc, least_matched, least_score, postings)
+    of_part = qp.join(qc, "set").join(of_part.withColumnRenamed("qi", "ci"), "ci").select("qi", "b")
+
+    best = best.unionByName(of_part).groupBy("qi").agg(F.max("b").alias("b"))
     found = q.join(best, "qi").select("set", (-F.col("b.m")).alias("match"), F.col("b.matched").alias("matched"), F.round("b.score", 6).alias("score"))
     return asked.join(found, "set").select(F.col("__k").alias(key), "match", "matched", "score")
 

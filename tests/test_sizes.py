@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from logloom.operators import evaluate, joins
+from logloom.operators import evaluate, joins, similarity
 from logloom.plans import catalogue
 
 
@@ -28,3 +28,23 @@ def test_evidence_ids_of_pages_beyond_999(spark, tmp_path):
     want = con.execute("SELECT domain, evidence_ids, first_id FROM (" + catalogue.oracle_sql()["j19_evidence_lookup"] + ") ORDER BY domain").fetchall()
     got = catalogue.queries()["j19_evidence_lookup"](spark, str(tmp_path)).orderBy("domain").select("domain", "evidence_ids", "first_id").collect()
     assert list(map(tuple, got)) == want
+
+
+def test_containment_of_common_tokens(spark):
+    """Addresses of few forms and a number each: candidates stay far below the pairs of a form, and the best matches are those of all pairs."""
+    rows = [(i, f"{('https', 'http')[i % 2]} {('www', 'blog')[i // 2 % 2]} site{i // 4 % 3} example {('com', 'org')[i // 12 % 2]} en n{i // 3}") for i in range(900)]
+    df = spark.createDataFrame(rows, "k bigint, t string").withColumn("set", similarity.template_tokens(F.col("t")))
+    queries, known = df.filter("k % 2 = 1"), df.filter("k % 2 = 0")
+    sets = lambda side: {r["k"]: set(r["set"]) for r in side.collect()}
+    asked, held = sets(queries), sets(known)
+    want = {}
+    for q, own in asked.items():
+        ranks = [(len(own & o), len(own & o) / len(o), len(o), -k) for k, o in held.items() if len(own & o) >= 4 and len(own & o) / len(o) >= 0.65]
+        if ranks:
+            m, score, _, k = max(ranks)
+            want[q] = (-k, m, round(score, 6))
+    for rare in (1, 8, 10_000):
+        got = similarity.token_containment(queries, known, "k", "t", rare=rare)
+        assert {r["k"]: tuple(r)[1:] for r in got.collect()} == want
+    pairs = similarity.containment_candidates(queries.withColumnRenamed("k", "qi"), known.withColumnRenamed("k", "ki"), 4, 0.65, most=8).count()
+    assert pairs <= 8 * 900
