@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.text import IPV4, bound, first_value, fold_space, key_values, octet
+from logloom.functions.text import IPV4, bound, columns, first_value, fold_space, folded_pairs, octet
 
 #: Program names and their classes.
 PROGRAMS = {
@@ -19,8 +22,8 @@ PORTS = {53: "dns", 80: "web", 443: "web", 445: "smb", 139: "smb", 135: "rpc", 3
 
 
 def _clean(v: Column | str) -> Column:
-    t = fold_space(F.coalesce(F.col(v) if isinstance(v, str) else v, F.lit("")))
-    return F.when(F.lower(t) == "nan", "").otherwise(t)
+    folded = fold_space(F.coalesce(F.col(v) if isinstance(v, str) else v, F.lit("")))
+    return bound(folded, lambda t: F.when(F.lower(t) == "nan", "").otherwise(t))
 
 
 def _lookup(table: dict, key: Column) -> Column:
@@ -28,7 +31,7 @@ def _lookup(table: dict, key: Column) -> Column:
 
 
 def _has(text: Column, *words: str) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
 
 
 def _low(v: Column | str, use) -> Column:
@@ -134,8 +137,9 @@ def enriched_template(template: Column, content: Column, event_id: Column | None
     if mode == "none":
         return _clean(template)
     given = F.lit("") if event_id is None else _clean(event_id.cast("string"))
-    source = F.struct(_clean(template).alias("plain"), key_values(F.coalesce(F.nullif(_clean(content), F.lit("")), _clean(template))).alias("pairs"), given.alias("given"))
-    return bound(source, _enriched)
+    source = F.struct(_clean(template).alias("plain"), _clean(content).alias("content"), given.alias("given"))
+    pairs = lambda x: columns(folded_pairs(F.when(x["content"] == "", x["plain"]).otherwise(x["content"])), lambda ps: ps)
+    return bound(bound(source, lambda x: F.struct(x["plain"].alias("plain"), pairs(x).alias("pairs"), x["given"].alias("given"))), _enriched)
 
 
 def _enriched(x: Column) -> Column:

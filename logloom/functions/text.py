@@ -26,7 +26,7 @@ def mask_tokens(text: Column) -> Column:
 
 
 def fold_space(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"\s{2,}|[^\S ]", " "))
 
 
 def servicing_line(line: Column) -> Column:
@@ -320,20 +320,30 @@ KEY_VALUE = r"\b([A-Za-z_][\w.-]{0,63})=(\"[^\"]*\"|'[^']*'|.*?)(?=\s+[A-Za-z_][
 
 def key_values(text: Column) -> Column:
     """array<struct<key, value>> of key=value text whose values may hold spaces; empty values are left out."""
-    keys, values = F.regexp_extract_all(fold_space(text), F.lit(KEY_VALUE), F.lit(1)), F.regexp_extract_all(fold_space(text), F.lit(KEY_VALUE), F.lit(2))
-    pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), F.regexp_replace(F.trim(v), "^[\"']+|[\"']+$", "").alias("value")))
+    return folded_pairs(fold_space(text))
+
+
+def folded_pairs(text: Column) -> Column:
+    """key_values() of text whose space is folded already."""
+    value = lambda m: F.btrim(F.trim(F.substr(m, F.instr(m, "=") + 1)), F.lit("\"'"))
+    pairs = F.transform(F.regexp_extract_all(text, F.lit(KEY_VALUE), F.lit(0)), lambda m: F.struct(F.substring_index(m, "=", 1).alias("key"), value(m).alias("value")))
     return F.filter(pairs, lambda p: p["value"] != "")
 
 
 def _value_of(pairs: Column, key: str) -> Column:
-    return F.try_element_at(F.filter(pairs, lambda p: p["key"] == key), F.lit(1))["value"]
+    return F.get(pairs["value"], F.array_position(pairs["key"], F.lit(key)).cast("int") - 1)
 
 
 def first_value(pairs: Column, *keys: str) -> Column:
-    """Value of the first of the keys that is there (a repeated key's first value); empty if none."""
+    """Value of the first of the keys that is there (a repeated key's first value); empty if none. pairs: key_values(), or columns() of it."""
     return F.coalesce(*[_value_of(pairs, k) for k in keys], F.lit(""))
 
 
+def columns(pairs: Column, use) -> Column:
+    """use(x) where x holds the keys and the values of the pairs as two arrays, made once."""
+    return bound(bound(pairs, lambda ps: F.struct(ps["key"].alias("key"), ps["value"].alias("value"))), use)
+
+
 def low_signal_ioc(value: Column) -> Column:
     return F.lower(value).isin("localhost", "127.0.0.1", "0.0.0.0", "::1") | (F.length(value) < 4)
 

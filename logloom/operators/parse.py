@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +43,15 @@ SUMMARY_FIELDS = ("image", "command_line", "parent_image", "target_object", "des
 def important_fields(pairs: Column) -> Column:
     """struct of the important fields: the value of the first pair that has one and whose key is or starts with a name of the field; null if none."""
     keyed = F.transform(pairs, lambda p: F.struct(F.regexp_replace(F.lower(p["key"]), "[^a-z0-9]", "").alias("key"), p["value"].alias("value")))
+    keyed = F.filter(keyed, lambda p: p["value"] != "")
 
-    def pick(of: Column, names: tuple[str, ...]) -> Column:
-        held = F.filter(of, lambda p: F.exists(F.array(*map(F.lit, names)), lambda n: F.startswith(p["key"], n)) & (p["value"] != ""))
-        return F.try_element_at(held, F.lit(1))["value"]
+    def pick(x: Column, names: tuple[str, ...]) -> Column:
+        """Pairs are looked through only where the text of all keys, each after a line feed, holds a name of the field."""
+        held = F.filter(x["of"], lambda p: reduce(or_, [p["key"].startswith(n) for n in names]))
+        return F.when(reduce(or_, [F.contains(x["keys"], F.lit("\n" + n)) for n in names]), F.try_element_at(held, F.lit(1))["value"])
 
-    return T.bound(keyed, lambda of: F.struct(*[pick(of, names).alias(n) for n, names in IMPORTANT.items()]))
+    told = lambda of: F.struct(of.alias("of"), F.concat(F.lit("\n"), F.array_join(of["key"], "\n")).alias("keys"))
+    return T.bound(T.bound(keyed, told), lambda x: F.struct(*[pick(x, names).alias(n) for n, names in IMPORTANT.items()]))
 
 
 def attack_context(template: Column, fields: Column) -> Column:
@@ -89,7 +95,8 @@ ARTIFACTS = {"event_id": ("EventID", "EventId"), "provider": ("Provider",), "cha
 
 
 def artifacts(pairs: Column) -> Column:
-    return F.struct(*[F.nullif(T.first_value(pairs, *keys), F.lit("")).alias(n) for n, keys in ARTIFACTS.items()])
+    """struct of the artifacts: the value of the first key that is there, null if none; pairs are made once for all."""
+    return T.columns(pairs, lambda ps: F.struct(*[F.nullif(T.first_value(ps, *keys), F.lit("")).alias(n) for n, keys in ARTIFACTS.items()]))
 
 
 #: Words that a report's checks look for.

@@ -48,3 +48,10 @@ def test_containment_of_common_tokens(spark):
         assert {r["k"]: tuple(r)[1:] for r in got.collect()} == want
     pairs = similarity.containment_candidates(queries.withColumnRenamed("k", "qi"), known.withColumnRenamed("k", "ki"), 4, 0.65, most=8).count()
     assert pairs <= 8 * 900
+
+
+def test_key_values_are_parsed_once_for_a_row(spark):
+    sf = "/root/testdata/sf0.001"
+    for name in ("p34_artifacts", "p25_enriched_template", "p26_important_fields"):
+        made = catalogue.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert made.count("regexp_extract_all(") == 1, name
