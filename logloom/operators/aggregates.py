@@ -136,10 +136,26 @@ def first_distinct(df: DataFrame, keys: list[str], value: str, order: str, n: in
     return first.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("__o", value))).filter(F.col("rank") <= n).drop("__o")
 
 
-def word_idf(words: DataFrame, document: str, word: str) -> DataFrame:
-    """(word, idf): natural log of documents over documents that hold the word."""
-    n = words.select(document).distinct().count()
-    return words.groupBy(word).agg(F.countDistinct(document).alias("df")).select(word, F.round(F.log(F.lit(float(max(1, n))) / F.col("df")), 9).alias("idf"))
+def word_idf(docs: DataFrame, document: str, words: str, word: str = "word", only: DataFrame | None = None) -> DataFrame:
+    """(word, idf): natural log of documents over documents that hold the word; of rows with a list of words, or of those that `only` (word) names.
+
+    A row's list is made distinct, so that rows of a document id that comes once are counted where they are and only counts are shuffled; rows of
+    an id that comes again are counted by distinct pairs. A null id is no document; words of such rows alone have an infinite idf.
+    """
+    ids = stored(docs.filter(F.size(words) > 0).groupBy(F.col(document).alias("__d")).agg(F.count("*").alias("__n")))
+    n, most = ids.agg(F.count("__d"), F.coalesce(F.max(F.when(F.col("__d").isNotNull(), F.col("__n"))), F.lit(1))).first()
+    held = lambda rows: rows.select(F.col(document).alias("__d"), F.explode(F.array_distinct(words)).alias(word))
+    cut = lambda rows: rows if only is None else rows.join(only, word, "left_semi")
+    once = docs
+    if most > 1:
+        again = ids.filter((F.col("__n") > 1) & F.col("__d").isNotNull()).select("__d")
+        same = F.col(document) == F.col("__d")
+        once = docs.join(again, same, "left_anti")
+    counts = cut(held(once)).groupBy(word).agg(F.count("__d").alias("df"))
+    if most > 1:
+        more = cut(held(docs.join(again, same, "left_semi"))).groupBy(word).agg(F.countDistinct("__d").alias("df"))
+        counts = counts.unionByName(more).groupBy(word).agg(F.sum("df").alias("df"))
+    return counts.select(word, F.round(F.when(F.col("df") > 0, F.log(F.try_divide(F.lit(float(n)), F.col("df")))).otherwise(float("inf") if n else float("nan")), 9).alias("idf"))
 
 
 def weighted_vectors(words: DataFrame, vectors: DataFrame, keys: list[str], word: str, vector: str, weight: Column | None = None) -> DataFrame:

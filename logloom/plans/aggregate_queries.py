@@ -171,9 +171,12 @@ LINES_A_ROW = 1_000
 _WORDS = "w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), v AS (SELECT 'the' AS word, [1.0, 0.5] AS vec UNION ALL SELECT 'and', [0.25, 2.0] UNION ALL SELECT 'of', [3.0, -1.0])"
 
 
+def _word_lists(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("words"))
+
+
 def _words(spark, d):
-    docs = A.table(spark, d, "documents")
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    words = _word_lists(spark, d).select("doc_id", F.explode("words").alias("word"))
     vectors = spark.createDataFrame([("the", [1.0, 0.5]), ("and", [0.25, 2.0]), ("of", [3.0, -1.0])], "word string, vec array<double>")
     return words, vectors
 
@@ -186,13 +189,14 @@ def a38_template_vectors(spark, d):
 
 @query(f"WITH {_WORDS} SELECT word, round(ln((SELECT CAST(count(DISTINCT doc_id) AS DOUBLE) FROM w) / count(DISTINCT doc_id)), 9) AS idf FROM w GROUP BY word")
 def a38_word_idf(spark, d):
-    return ops.word_idf(_words(spark, d)[0], "doc_id", "word")
+    return ops.word_idf(_word_lists(spark, d), "doc_id", "words")
 
 
 @query(f"WITH {_WORDS}, i AS (SELECT word, ln((SELECT CAST(count(DISTINCT doc_id) AS DOUBLE) FROM w) / count(DISTINCT doc_id)) AS idf FROM w GROUP BY word), x AS (SELECT doc_id, unnest(range(0, 2)) AS dim, vec, round(idf, 9) AS idf FROM w JOIN v USING (word) JOIN i USING (word)) SELECT doc_id, dim, round(sum(vec[dim + 1] * idf), 6) AS value FROM x GROUP BY ALL")
 def a38_idf_weighted_vectors(spark, d):
     words, vectors = _words(spark, d)
-    weighed = words.join(ops.word_idf(words, "doc_id", "word"), "word")
+    named = vectors.select("word")
+    weighed = words.join(F.broadcast(ops.word_idf(_word_lists(spark, d), "doc_id", "words", only=F.broadcast(named))), "word")
     return ops.weighted_vectors(weighed, vectors, ["doc_id"], "word", "vec", F.col("idf")).withColumn("dim", F.col("dim").cast("bigint"))
 
 

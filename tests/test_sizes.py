@@ -55,3 +55,18 @@ def test_key_values_are_parsed_once_for_a_row(spark):
     for name in ("p34_artifacts", "p25_enriched_template", "p26_important_fields"):
         made = catalogue.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert made.count("regexp_extract_all(") == 1, name
+
+
+def test_idf_shuffles_counts_and_takes_repeated_ids(spark, tmp_path):
+    rows = [(1, "a b a"), (1, "b c"), (2, "a"), (3, ""), (4, None), (None, "a z"), (None, "z"), (5, "The c and"), (6, "the")]
+    con = duckdb.connect()
+    for name, of in (("repeated", rows), ("single", [r for r in rows if r[0] is None or r[0] > 1])):
+        spark.createDataFrame(of, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/{name}/documents.parquet/*.parquet'")
+        for q in ("a38_word_idf", "a38_idf_weighted_vectors"):
+            want = con.execute(catalogue.oracle_sql()[q])
+            columns = [c[0] for c in want.description]
+            got = catalogue.queries()[q](spark, f"{tmp_path}/{name}").select(*columns).collect()
+            assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall())), (name, q)
+    made = plan(catalogue.queries()["a38_word_idf"](spark, f"{tmp_path}/single"))
+    assert "hashpartitioning(word" in made and "hashpartitioning(word#" in made and "__d" not in made.split("Exchange hashpartitioning(")[1].split(")")[0]
