@@ -159,20 +159,24 @@ SYSLOG_STARTS = (("started session", "started_session"), ("removed session", "re
 
 
 def auth_action(process: Column, message: Column) -> Column:
-    low = F.lower(message)
-    out = F.when((process == "sudo") & F.contains(low, F.lit("command=")), F.lit("sudo_command"))
-    for words, action in AUTH_ACTIONS:
-        name = F.concat(F.when(process == "cron", "cron_").otherwise("pam_"), F.lit(action)) if action.startswith("session") else F.lit(action)
-        out = out.when(F.contains(low, F.lit(words)), name)
-    return out.otherwise(generic_action(message))
+    def of(x: Column) -> Column:
+        out = F.when((x["process"] == "sudo") & F.contains(x["low"], F.lit("command=")), F.lit("sudo_command"))
+        for words, action in AUTH_ACTIONS:
+            name = F.concat(F.when(x["process"] == "cron", "cron_").otherwise("pam_"), F.lit(action)) if action.startswith("session") else F.lit(action)
+            out = out.when(F.contains(x["low"], F.lit(words)), name)
+        return out.otherwise(generic_action(x["message"]))
+
+    return bound(F.struct(process.alias("process"), F.lower(message).alias("low"), message.alias("message")), of)
 
 
 def syslog_action(message: Column) -> Column:
-    low = F.lower(message)
-    out = F.when(F.lit(False), F.lit(""))
-    for words, action in SYSLOG_STARTS:
-        out = out.when(low.startswith(words), F.lit(action))
-    return out.when(F.contains(low, F.lit("failed")), F.lit("failed")).otherwise(generic_action(message))
+    def of(x: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
+        for words, action in SYSLOG_STARTS:
+            out = out.when(x["low"].startswith(words), F.lit(action))
+        return out.when(F.contains(x["low"], F.lit("failed")), F.lit("failed")).otherwise(generic_action(x["message"]))
+
+    return bound(F.struct(F.lower(message).alias("low"), message.alias("message")), of)
 
 
 #: Fixed value: pairs of audit lines.
@@ -207,17 +211,21 @@ def _audit_of(pairs: Column) -> Column:
 
 def linux_template(line: Column, source: Column) -> Column:
     """Low-cardinality template of a Linux line; source as linux_source() gives it, null: linux."""
-    prefix = F.when(source == "auth", "LinuxAuth").when(source == "syslog", "LinuxSyslog").otherwise("LinuxLog")
 
     def plain(x: Column) -> Column:
         action = F.when(x["source"] == "auth", auth_action(x["process"], x["message"])).otherwise(syslog_action(x["message"]))
         return F.when(x["is_old"], F.concat(x["prefix"], F.lit(" process="), x["process"], F.lit(" action="), action)).otherwise(F.concat(x["prefix"], F.lit(" process=unknown action="), generic_action(x["text"])))
 
-    def parts(text: Column) -> Column:
-        return F.struct(text.alias("text"), linux_process(text).alias("process"), fold_space(F.regexp_extract(text, RFC3164, 4)).alias("message"), text.rlike(RFC3164).alias("is_old"), prefix.alias("prefix"), source.alias("source"))
+    def of(source: Column) -> Column:
+        prefix = F.when(source == "auth", "LinuxAuth").when(source == "syslog", "LinuxSyslog").otherwise("LinuxLog")
+
+        def parts(text: Column) -> Column:
+            return F.struct(text.alias("text"), linux_process(text).alias("process"), fold_space(F.regexp_extract(text, RFC3164, 4)).alias("message"), text.rlike(RFC3164).alias("is_old"), prefix.alias("prefix"), source.alias("source"))
+
+        audit = (source == "audit") | F.trim(line).startswith("type=")
+        return F.when(audit, audit_template(line)).otherwise(bound(bound(fold_space(line), parts), plain))
 
-    audit = (source == "audit") | F.trim(line).startswith("type=")
-    return F.when(audit, audit_template(line)).otherwise(bound(bound(fold_space(line), parts), plain))
+    return bound(source, of)
 
 
 def linux_epoch(line: Column, year: int = 2022) -> Column:

@@ -15,8 +15,9 @@ from logloom.sources.tables import stored
 
 
 def structured_table(df: DataFrame, order: list[str], template: str = "event_template", line: str = "line_no", event: str = "event_no") -> DataFrame:
-    """Rows numbered in a total order (line), and their templates in the order in which they first come (event)."""
-    numbered = windows.number_rows(df, *order, name=line)
+    """Rows numbered in a total order (line), and their templates in the order in which they first come (event). The rows are stored before they are
+    dealt by range: that reads them twice, to find the ranges and to deal, and would make their times and templates twice."""
+    numbered = windows.number_rows(stored(df), *order, name=line)
     ids = windows.first_seen_ids(numbered, template, line, event).select(template, event)
     return numbered.join(ids, template)
 

@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from logloom.operators import evaluate, joins, similarity
+from logloom.operators import datasets, evaluate, joins, similarity
 from logloom.plans import catalogue
 
 
@@ -70,3 +70,18 @@ def test_idf_shuffles_counts_and_takes_repeated_ids(spark, tmp_path):
             assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall())), (name, q)
     made = plan(catalogue.queries()["a38_word_idf"](spark, f"{tmp_path}/single"))
     assert "hashpartitioning(word" in made and "hashpartitioning(word#" in made and "__d" not in made.split("Exchange hashpartitioning(")[1].split(")")[0]
+
+
+def test_rows_are_made_once_for_a_numbered_table(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def template(i):
+        made.add(1)
+        return f"t{i % 3}"
+
+    rows = spark.range(500, numPartitions=4).select("id", template("id").alias("event_template"), (-F.col("id")).alias("t"))
+    got = datasets.structured_table(rows, ["t", "id"]).orderBy("line_no").collect()
+    assert made.value == 500
+    assert [r["id"] for r in got] == list(range(499, -1, -1)) and [r["line_no"] for r in got] == list(range(1, 501))
+    assert {(r["event_template"], r["event_no"]) for r in got} == {("t1", 1), ("t0", 2), ("t2", 3)}
