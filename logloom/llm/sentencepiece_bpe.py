@@ -1,6 +1,6 @@
 """SentencePiece merge-type encoding by backtracking, and decoding.
 
-Chunks (a run of space marks and the word after it) are encoded once and kept in a bounded cache; no piece of the vocabulary spans the
+Chunks (a run of space marks and the word after it) are encoded once for a batch and kept in a bounded cache; no piece of the vocabulary spans the
 border of two chunks (checked when the model is loaded), so chunks are independent.
 """
 
@@ -17,6 +17,7 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
@@ -55,7 +56,7 @@ class Codec:
     piece: list[str]
     byte_of: dict[int, int]
     byte_id: list[int]
-    max_cached: int = 100_000
+    max_cached: int = 150_000
 
     def __post_init__(self):
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.score):
@@ -63,8 +64,10 @@ class Codec:
         self.chars = {p for p in self.score if len(p) == 1}
         if any(c not in self.chars for p in self.score for c in p):
             raise ValueError("a piece has a character that is no piece itself")
-        self.cache, self.pairs = Recent(self.max_cached), Recent(self.max_cached)
-        self.digits, self.surfaces = list(map(str, range(len(self.piece)))), [p.replace(MARK, " ") for p in self.piece]
+        self.cache, self.pairs = Recent(self.max_cached), Recent(100_000)
+        self.digits = pa.array(map(str, range(len(self.piece))), pa.large_string())
+        self.surfaces = pa.array([p.replace(MARK, " ") for p in self.piece], pa.large_string())
+        self.is_byte = np.isin(np.arange(len(self.piece)), list(self.byte_of))
         self.halves: dict[str, tuple[str, str]] = {}
         own = [p for p in self.score if self.merge(p, self.halves) == [p]]
         self.trie = ahocorasick.Automaton()
@@ -189,8 +192,6 @@ class Codec:
 
     def surface(self, ids: list[int]) -> str:
         """Text of the ids, spaces for marks; runs of byte pieces are read as UTF-8, what isn't is U+FFFD."""
-        if self.byte_of.keys().isdisjoint(ids):
-            return "".join([self.surfaces[i] for i in ids])
         out, raw = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -199,7 +200,7 @@ class Codec:
             if raw:
                 out.append(raw.decode("utf-8", "replace"))
                 raw = bytearray()
-            out.append(self.surfaces[i])
+            out.append(self.piece[i].replace(MARK, " "))
         return "".join(out) + raw.decode("utf-8", "replace")
 
     def decode(self, ids: list[int]) -> str:
@@ -213,29 +214,73 @@ class Codec:
             return [c[1:] for c in _CHUNKS.findall(MARK + text.replace(" ", MARK))]
         return words
 
-    def known(self, chunk: str) -> tuple[tuple[int, ...], str, str]:
-        """Ids, their comma-joined text and their decoded text, of a chunk without its first mark."""
+    def known(self, chunk: str) -> tuple[int, ...]:
+        """Ids of a chunk without its first mark."""
         got = self.cache.get(chunk)
         if got is None:
-            ids = self.chunk_ids(MARK + chunk)
-            got = tuple(ids), ",".join([self.digits[i] for i in ids]), self.surface(ids)
+            got = tuple(self.chunk_ids(MARK + chunk))
             if len(chunk) <= 64:
                 self.cache.put(chunk, got)
         return got
 
-    def encode(self, text: str | None) -> tuple[list[tuple[tuple[int, ...], str, str]], int]:
-        """The chunks' results, and the number of ids."""
-        if not text:
-            return [], 0
-        get, known = self.cache.young.get, self.known
-        made = []
-        for c in self.chunks(text):
+    def encode(self, text: str | None) -> tuple[list[tuple[tuple[int, ...]]], int]:
+        """The chunks' ids, each in a tuple of its own, and the number of ids."""
+        made = [(self.known(c),) for c in self.chunks(text)] if text else []
+        return made, sum([len(m[0]) for m in made])
+
+    def split(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The chunks of all texts in their order, each different one once, and how many each text has."""
+        texts = texts.cast(pa.large_string())
+        odd = pc.or_(pc.match_substring(texts, MARK), pc.match_substring(texts, "  "))
+        odd = pc.or_(odd, pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+        odd = pc.fill_null(pc.or_(odd, pc.equal(texts, "")), True)
+        plain = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        other = [self.chunks(t) if t else [] for t in texts.filter(odd).to_pylist()]
+        flat = pa.concat_arrays([pc.list_flatten(plain), pa.array(chain.from_iterable(other), texts.type)])
+        odd = odd.to_numpy(zero_copy_only=False)
+        size = np.empty(len(odd), np.int64)
+        size[~odd], size[odd] = pc.list_value_length(plain).to_numpy(), list(map(len, other))
+        if not odd.any():
+            return flat.dictionary_encode(), size
+        at = np.empty(len(size), np.int64)
+        at[~odd], at[odd] = np.cumsum(size[~odd]) - size[~odd], size[~odd].sum() + np.cumsum(size[odd]) - size[odd]
+        order = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return flat.dictionary_encode().take(pa.array(order)), size
+
+    def encode_all(self, texts: pa.Array, outputs: tuple[str, ...]) -> dict[str, pa.Array]:
+        """What outputs of encode() names, for all texts at once: each different chunk is looked up once, the rest is gathered by number."""
+        chunks, size = self.split(texts)
+        get, known, of = self.cache.young.get, self.known, []
+        for c in chunks.dictionary.to_pylist():
             got = get(c)
             if got is None:
                 got = known(c)
                 get = self.cache.young.get
-            made.append(got)
-        return made, sum([len(m[0]) for m in made])
+            of.append(got)
+        length = np.fromiter(map(len, of), np.int64, len(of))
+        flat = np.fromiter(chain.from_iterable(of), np.int32, int(length.sum()))
+        start = np.cumsum(length) - length
+        chunk = chunks.indices.to_numpy()
+        n = length[chunk]
+        ids = flat[np.repeat(start[chunk] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        ends = np.append(0, np.cumsum(size))
+        ends_of_ids = np.append(0, np.cumsum(n))[ends]
+        listed = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+        made = {}
+        if "n_tokens" in outputs:
+            made["n_tokens"] = pa.array(np.diff(ends_of_ids))
+        if "ids" in outputs:
+            made["ids"] = listed(ends_of_ids, pa.array(ids))
+        if "ids_text" in outputs:
+            made["ids_text"] = pc.binary_join(listed(ends_of_ids, self.digits.take(pa.array(ids))), pa.scalar(",", pa.large_string()))
+        if "decoded" in outputs:
+            surface = pc.binary_join(listed(np.append(start, len(flat)), self.surfaces.take(pa.array(flat))), pa.scalar("", pa.large_string()))
+            raw = np.zeros(len(of), bool)
+            raw[np.repeat(np.arange(len(of)), length)[self.is_byte[flat]]] = True
+            if raw.any():
+                surface = pc.replace_with_mask(surface, pa.array(raw), pa.array([self.surface(of[i]) for i in np.flatnonzero(raw)], surface.type))
+            made["decoded"] = pc.utf8_slice_codeunits(pc.binary_join(listed(ends, surface.take(chunks.indices)), pa.scalar("", pa.large_string())), 1)
+        return made
 
 
 @lru_cache(maxsize=2)
@@ -263,21 +308,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", outputs: tuple[str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> list:
-        codec = load(shared.value)
-        made: dict[str, list] = {o: [] for o in outputs}
-        for t in batch.column(batch.schema.get_field_index(text)):
-            got, n = codec.encode(t.as_py())
-            if "n_tokens" in made:
-                made["n_tokens"].append(n)
-            if "ids" in made:
-                made["ids"].append(np.fromiter(chain.from_iterable([g[0] for g in got]), np.int32, n))
-            if "ids_text" in made:
-                made["ids_text"].append(",".join([g[1] for g in got]))
-            if "decoded" in made:
-                made["decoded"].append("".join([g[2] for g in got])[1:])
-        if "ids" in made:
-            ends = np.cumsum([0, *map(len, made["ids"])], dtype=np.int32)
-            made["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *made["ids"]])))
+        made = load(shared.value).encode_all(batch.column(batch.schema.get_field_index(text)), outputs)
         return [made[o] for o in outputs]
 
     return with_columns(docs, ", ".join(f"{o} {kinds[o]}" for o in outputs), run)

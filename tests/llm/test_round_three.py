@@ -207,3 +207,23 @@ def test_long_conversations_take_linear_work(spark):
     assert got["loss"] == "".join(texts[i][1] for i in range(1, n, 2))
     assert all(got["formatted"][s["start"] : s["end"]].replace("\\l", "<").replace("\\b", "\\") == texts[t["turn"] - 1][1] for s, t in list(zip(got["loss_spans"], got["loss_turns"], strict=True))[:50])
     assert chat.render(rows.limit(0)).count() == 0
+
+
+def test_each_different_chunk_of_a_batch_is_looked_up_once(monkeypatch):
+    import pyarrow as pa
+    import sentencepiece
+
+    from logloom.llm import sentencepiece_bpe
+
+    data = sentencepiece_bpe.model_bytes()
+    lib, codec = sentencepiece.SentencePieceProcessor(model_proto=data), sentencepiece_bpe.load.__wrapped__(data)
+    codec.cache.most, asked = 2, []  # a cache that holds less than a text's words
+    monkeypatch.setattr(codec, "chunk_ids", lambda chunk, own=codec.chunk_ids: asked.append(chunk) or own(chunk))
+    odd = ["", None, " a", "a ", "a  b", "\u2581x", "x\u2581\u2581y", "   ", "\U0001f600 ok\x00 \u00e9", "\ufffd", "\U0001f469\u200d\U0001f4bb b"]
+    texts = ["one two three four five six", *odd] * 20
+    array = pa.array(["cut off", *texts], pa.string()).slice(1)
+    got = {k: v.to_pylist() for k, v in codec.encode_all(array, ("n_tokens", "ids", "ids_text", "decoded")).items()}
+    assert len(asked) == len(set(asked))
+    for i, x in enumerate(texts):
+        ids = lib.encode(x or "")
+        assert (got["n_tokens"][i], got["ids"][i], got["ids_text"][i], got["decoded"][i]) == (len(ids), ids, ",".join(map(str, ids)), lib.decode(ids)), x
