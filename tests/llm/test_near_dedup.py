@@ -80,3 +80,20 @@ def test_rows_of_one_key_are_judged_by_their_texts(spark, odd, empty):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == sorted([(0, a), (1, a), (2, b)])
     assert sorted(r["doc_id"] or 0 for r in near_dedup.keep_one_of_each(odd).collect()) == [0, 1, 4, 5, 6]
     assert near_dedup.keep_one_of_each(empty).count() == 0
+
+
+def test_sets_are_moved_for_close_pairs_only(spark, monkeypatch):
+    rows = edited(9)
+    source = spark.createDataFrame([(k, t, k) for k, t in rows], "key bigint, text string, th bigint").repartition(3)
+    table = near_dedup.materialize(near_dedup.set_table(source, 5))
+    h = {k: near_dedup.identity(near_dedup.shingle_set(t, 5)) for k, t in rows}
+    sets = {h[k]: shingles(t) for k, t in rows}
+    pairs = [tuple(sorted(x)) for x in combinations(sets, 2)]
+    made, store = [], near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda df: made.append(store(df)) or made[-1])
+    got = near_dedup.verified(source, table, spark.createDataFrame(pairs, "a bigint, b bigint"), 5, 4, 5)
+    want = {(a, b) for a, b in pairs if similar(sets[a], sets[b])}
+    assert {tuple(r) for r in got.collect()} == want
+    near = {x for pair in pairs if len(sets[pair[0]] ^ sets[pair[1]]) < 150 for x in pair}
+    assert len(near) < len(sets)  # texts that share a passage only
+    assert [df.filter(df.h.isin(list(set(sets) - near))).count() for df in made if "tokens" in df.columns] == [0]
