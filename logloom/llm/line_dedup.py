@@ -6,14 +6,16 @@ number, then token set. A line goes if an earlier line's token set has a Jaccard
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import materialize, read, release, slices, small
+from logloom.llm.common import materialize, read, release, slices, small, with_columns
 from logloom.llm.words import Lines, by_group, mix
 
 FREQUENCY_BITS = 23
@@ -21,6 +23,7 @@ PAGE_BITS = 13
 HOT_TOKEN = 1_000  # lines; the pairs of a word on more lines are dealt out by salts
 SMALL_BUCKET, TILE = 24, 128
 HELD_ROWS, HELD_PAIRS = 100_000, 500_000
+RANGE_ROWS, DEALT_ROWS = 200_000, 100_000  # entries of a range of buckets, and entries that a task deals out at a time
 CLOSEST, CLOSEST_IF_SURE = 32, 4  # earlier lines that a line is compared with in a bucket at first; what these leave open is searched in full
 WIDE = 48  # sets of so many words have sketches of two halves
 BROADCAST_ROWS = 2_000_000
@@ -127,17 +130,36 @@ def in_order(x: Lines, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return x.token[order], level[order], np.arange(len(x.token)) - x.start[x.line]
 
 
-_ENTRY = "bucket bigint, h bigint, sketch bigint, sketch2 bigint, key bigint, number bigint, sizes bigint"
-_ENTRIES = pa.schema([(n, pa.int64()) for n in ("bucket", "h", "sketch", "sketch2", "key", "number", "sizes")])
+_ENTRY = "range int, bucket array<bigint>, h array<bigint>, sketch array<bigint>, sketch2 array<bigint>, key array<bigint>, number array<int>, n array<int>, place array<int>"
+_ENTRIES = pa.schema([("range", pa.int32())] + [(n, pa.list_(pa.int64())) for n in ("bucket", "h", "sketch", "sketch2", "key")] + [(n, pa.list_(pa.int32())) for n in ("number", "n", "place")])
 _WORD = _U(2**64 - 2**16)
 
 
-def prefixes(docs: DataFrame, levels, p: int, q: int) -> DataFrame:
-    """One row for each word of a line's prefix; words that no other line holds are left out. Of equal token sets in a block of rows the first
-    one stands for all. A bucket is the word's first 48 bits; lines of a word on more than HOT_TOKEN lines are dealt to parts of it by h."""
+def ranges_for(levels: np.ndarray, parts: int, p: int, q: int) -> int:
+    """Into how many ranges of buckets the prefixes are dealt, a multiple of parts: a range has about RANGE_ROWS entries, however many lines there are."""
+    words = lines_at(np.arange(256)) @ sum(np.bincount(x, minlength=256) for x in np.array_split(levels, 64))
+    return min(parts * max(1, math.ceil(words * (q - p) / q / RANGE_ROWS / parts)), 2**31 - 1)
+
+
+def _dealt(held: list[tuple[np.ndarray, ...]], ranges: int) -> pa.RecordBatch:
+    """Entries as one row for each range of buckets: ranges are in the order of buckets."""
+    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+    order = np.argsort(columns[0])
+    columns = [c[order] for c in columns]
+    of = ((columns[0] >> 32) + (1 << 31)) * ranges >> 32
+    at = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    ends = pa.array(np.append(at, len(of)).astype(np.int32))
+    return _batch(_ENTRIES, of[at].astype(np.int32), *(pa.ListArray.from_arrays(ends, pa.array(c, f.type.value_type)) for c, f in zip(columns, list(_ENTRIES)[1:], strict=True)))
+
+
+def prefixes(docs: DataFrame, levels, ranges: int, p: int, q: int) -> DataFrame:
+    """An entry for each word of a line's prefix, many to a row: those of one range of buckets. Words that no other line holds are left out. Of equal
+    token sets in a block of rows the first one stands for all. A bucket is the word's first 48 bits; lines of a word on more than HOT_TOKEN lines are
+    dealt to parts of it by h."""
 
     def run(batches):
         table = levels.value
+        held, size = [], 0
         for whole in batches:
             for rows in slices(whole):
                 x = Lines(rows.column(1))
@@ -154,11 +176,56 @@ def prefixes(docs: DataFrame, levels, p: int, q: int) -> DataFrame:
                 word, level, place, line = word[keep], level[keep], place[keep], x.line[keep]
                 parts = np.minimum(np.ceil(lines_at(level) / HOT_TOKEN), 60_000).astype(np.uint64)
                 part = np.where(parts > 1, h[line] % parts + _U(1), _U(0))
-                yield _batch(_ENTRIES, ((word & _WORD) | part).view(np.int64), h[line].view(np.int64), sketch[line].view(np.int64), sketch2[line].view(np.int64), keys[line], x.number[line], x.n[line] << 32 | place)
+                held.append((((word & _WORD) | part).view(np.int64), h[line].view(np.int64), sketch[line].view(np.int64), sketch2[line].view(np.int64), keys[line], x.number[line].astype(np.int32), x.n[line].astype(np.int32), place.astype(np.int32)))
+                size += len(line)
+                if size >= DEALT_ROWS:
+                    yield _dealt(held, ranges)
+                    held, size = [], 0
+        if size:
+            yield _dealt(held, ranges)
 
     return docs.select("key", "text").mapInArrow(run, _ENTRY)
 
 
+def _by_range(batches):
+    """The entries of one range of buckets after the other, ordered by bucket, at most about HELD_ROWS at a time. The rows are ordered by range."""
+    held: list[dict[str, np.ndarray]] = []
+    last, most = None, 4 * RANGE_ROWS
+
+    def done():
+        c = {k: np.concatenate([x[k] for x in held]) for k in held[0]}
+        o = np.argsort(c["bucket"])
+        for i in range(0, len(o), HELD_ROWS):
+            piece = _pick(c, o[i : i + HELD_ROWS])
+            yield piece | {"n": piece["n"].astype(np.int64), "place": piece["place"].astype(np.int64), "number": piece["number"].astype(np.int64)}
+
+    for batch in batches:
+        of = batch.column(0).to_numpy()
+        ends = batch.column(1).offsets.to_numpy()
+        names = batch.schema.names[1:]
+        values = [batch.column(i + 1).flatten().to_numpy(zero_copy_only=False) for i in range(len(names))]
+        ends = ends - ends[0] if len(ends) else ends
+        at = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.empty(0, np.int64)
+        for i, j in zip(at.tolist(), np.append(at[1:], len(of)).tolist(), strict=True):
+            if held and of[i] != last:
+                yield from done()
+                held = []
+            last = of[i]
+            held.append({k: v[ends[i] : ends[j]] for k, v in zip(names, values, strict=True)})
+            if sum(len(x["h"]) for x in held) >= most:  # a range of many copies
+                held = [_first_of_each({k: np.concatenate([x[k] for x in held]) for k in held[0]})]
+                most = max(most, 2 * len(held[0]["h"]))
+    if held:
+        yield from done()
+
+
+def _by_row(batches):
+    for batch in batches:
+        c = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
+        sizes = c.pop("sizes")
+        yield c | {"n": sizes >> 32, "place": sizes & 0xFFFFFFFF}
+
+
 # what meets in a bucket
 
 
@@ -246,8 +313,11 @@ def _pairs(c: dict[str, np.ndarray], p: int, q: int):
     at = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.empty(0, np.int64)
     size = np.diff(np.append(at, len(b)))
     here, d, found, held = np.flatnonzero(np.repeat(size <= SMALL_BUCKET, size)), 1, [], 0
+    folded = c["sketch"] ^ c["sketch2"]
 
     def passed(x, y):
+        near = np.bitwise_count(folded[x] ^ folded[y]) <= (c["n"][x] + c["n"][y]) * (q - p) // (p + q)  # as _distance has it at most; few are left
+        x, y = x[near], y[near]
         bits, differ = _distance(c, x, y, p, q)
         ok = bits <= differ
         return *_in_turn(c, x[ok], y[ok]), bits[ok], differ[ok], np.ones(int(ok.sum()), bool)
@@ -281,8 +351,12 @@ _MET = "h bigint, key bigint, number bigint, h2 bigint, key2 bigint, number2 big
 _PAIRS = pa.schema([(n, pa.int64()) for n in ("h", "key", "number", "h2", "key2", "number2")] + [("bits", pa.int32()), ("complete", pa.bool_()), ("bucket", pa.int64()), ("sizes", pa.int64())])
 
 
+def _parts(df: DataFrame) -> int:
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the rows take several times their size while they meet
+
+
 def meet(entries: DataFrame, p: int, q: int, parts_meet: bool = False) -> DataFrame:
-    """Rows of a bucket meet: (h, key, number) of a later line and (h2, key2, number2) of a close earlier one, how many bits of their sketches differ,
+    """Entries (of prefixes(), or with parts_meet of hot_entries()) of a bucket meet: (h, key, number) of a later line and (h2, key2, number2) of a close earlier one, how many bits of their sketches differ,
     and whether these are all of the bucket's that may be similar. Parts of a hot word only lose repeated token sets (unless parts_meet): they
     come out as they are (bits null, the sketches as h2 and key2), for hot_entries."""
 
@@ -301,13 +375,10 @@ def meet(entries: DataFrame, p: int, q: int, parts_meet: bool = False) -> DataFr
                 none = pa.nulls(len(x), pa.int64())
                 yield _batch(_PAIRS, c["h"][x], c["key"][x], c["number"][x], c["h"][y], c["key"][y], c["number"][y], bits.astype(np.int32), complete, none, none)
 
-        for batch in batches:
-            c = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
+        for c in (_by_row if parts_meet else _by_range)(batches):
             if not len(c["bucket"]):
                 continue
-            sizes = c.pop("sizes")
-            c |= {"n": sizes >> 32, "place": sizes & 0xFFFFFFFF, "sketch": c["sketch"].view(np.uint64), "sketch2": c["sketch2"].view(np.uint64)}
-            held.append(c)
+            held.append(c | {"sketch": c["sketch"].view(np.uint64), "sketch2": c["sketch2"].view(np.uint64)})
             n = sum(len(x["h"]) for x in held)
             if n < HELD_ROWS:
                 continue
@@ -322,8 +393,11 @@ def meet(entries: DataFrame, p: int, q: int, parts_meet: bool = False) -> DataFr
             yield from done(held)
         release()
 
-    parts = 2 * int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the rows take several times their size while they meet
-    return entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _MET)
+    if parts_meet:
+        dealt = entries.repartition(_parts(entries), "bucket").sortWithinPartitions("bucket")
+    else:
+        dealt = entries.repartitionById(_parts(entries), "range").sortWithinPartitions("range")
+    return dealt.mapInArrow(run, _MET)
 
 
 def hot_entries(met: DataFrame) -> DataFrame | None:
@@ -413,9 +487,8 @@ def searched(docs: DataFrame, few: pa.Table, tokens: pa.Table, levels, p: int, q
         hit: set[int] = set()
         for whole in batches:
             for rows in slices(whole):
-                x = Lines(rows.column(1))
+                x = Lines(rows.column(1), lambda word: marked[(word >> _U(64 - FREQUENCY_BITS)).astype(np.int64)])
                 keys = rows.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False)
-                x.keep(np.unique(x.line[marked[(x.token >> _U(64 - FREQUENCY_BITS)).astype(np.int64)]]))
                 word, _, place = in_order(x, levels.value)
                 at = np.flatnonzero((place < prefix_length(x.n, p, q)[x.line]) & np.isin(word, known))
                 for line, t in {(int(x.line[k]), int(word[k])) for k in at}:
@@ -438,7 +511,8 @@ def similar_later_lines(docs: DataFrame, lines: DataFrame, similarity: float = 0
     spark = docs.sparkSession
     p, q = _shares(similarity)
     levels = spark.sparkContext.broadcast(word_levels(lines))
-    met = materialize(meet(prefixes(docs, levels, p, q), p, q))
+    ranges = ranges_for(levels.value, _parts(docs), p, q)
+    met = materialize(meet(prefixes(docs, levels, ranges, p, q), p, q))
     pairs, more = met.filter("bits is not null"), hot_entries(met)
     if more is not None:
         pairs = pairs.unionByName(materialize(meet(more, p, q, parts_meet=True)))
@@ -469,20 +543,32 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", simila
     table = materialize(line_table(source))
     lines = table.filter("page is null").select("h", "g", "key", "number", "th")
     similar = similar_later_lines(source.select("key", "text"), table, similarity).select("h", F.col("key").alias("k"), F.col("number").cast("int").alias("number"))
-    first = lines.groupBy("h", "g").agg(F.min(F.struct(F.coalesce("key", F.lit(NULL_KEY)).alias("k"), "number", "th")).alias("first")).select("h", "first.*")
-    kept = first.join(small(similar), ["h", "k", "number"], "left_anti").select("k", "number", "th")
-    gone = materialize(lines.select(F.coalesce("key", F.lit(NULL_KEY)).alias("k"), "th", "number").join(kept, ["k", "number", "th"], "left_anti"))
+    place = F.coalesce("key", F.lit(NULL_KEY)).alias("k"), "number", "th"
+    many = small(lines.groupBy("h", "g").agg(F.count("*").alias("rows")).filter("rows > 1").select("h", "g"))
+    again = materialize(lines.join(many, ["h", "g"], "left_semi").select("h", "g", *place))
+    first = again.groupBy("h", "g").agg(F.min(F.struct("k", "number", "th")).alias("first")).select("first.*")
+    copies = again.select("k", "number", "th").join(small(first), ["k", "number", "th"], "left_anti")
+    near = lines.select("h", *place).join(small(similar), ["h", "k", "number"], "left_semi").select("k", "number", "th")
+    gone = materialize(copies.unionByName(near))
     by_doc = gone.groupBy(F.col("k").alias("__key"), F.col("th").alias("__th")).agg(F.collect_set("number").alias("__gone"))
     if gone.count() <= BROADCAST_ROWS:
         by_doc = F.broadcast(by_doc)
-    joined = docs.join(by_doc, (F.coalesce(F.col(key).cast("bigint"), F.lit(NULL_KEY)) == F.col("__key")) & (F.xxhash64(text) == F.col("__th")), "left")
-    parts = F.split(F.col(text), "\n", -1)
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).cast("bigint")
-    stay = F.array_except(F.sequence(F.lit(0), n_lines.cast("int") - 1), "__gone")
-    left = F.element_at(F.transform(F.array(parts), lambda own: F.transform(stay, lambda i: F.get(own, i))), 1)  # the text is split once
-    n_removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("bigint")
-    own = [F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*own, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    joined = docs.join(by_doc, (F.coalesce(F.col(key).cast("bigint"), F.lit(NULL_KEY)) == F.col("__key")) & (F.xxhash64(text) == F.col("__th")), "left").drop("__key", "__th")
+
+    def left(batch: pa.RecordBatch) -> list:
+        own, without = (batch.column(batch.schema.get_field_index(c)) for c in (text, "__gone"))
+        raw, some = own.cast(pa.binary()), without.is_valid()
+        n_lines = pc.fill_null(pc.add(pc.count_substring(raw, b"\n"), 1), 0).cast(pa.int64())
+        stay = []
+        for t, numbers in zip(raw.filter(some), without.filter(some).to_pylist(), strict=True):
+            numbers = set(numbers)
+            stay.append(b"\n".join([x for i, x in enumerate(t.as_py().split(b"\n")) if i not in numbers]))
+        made = pc.replace_with_mask(raw, some, pa.array(stay, pa.binary()))
+        return [made.view(pa.string()), n_lines, pc.fill_null(pc.list_value_length(without), 0).cast(pa.int64())]
+
+    name = "`" + text.replace("`", "``") + "`"
+    got = with_columns(joined, f"{name} string, n_lines bigint, n_removed bigint", left, keep=[c for c in docs.columns if c != text])
+    return got.select(*[f"`{c}`" for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,9 +90,10 @@ def by_group(group: np.ndarray, *value: np.ndarray) -> np.ndarray:
 
 
 class Lines:
-    """The lines with words of a text column: owner (row), number (of the line in its text), and their distinct word hashes by line."""
+    """The lines with words of a text column: owner (row), number (of the line in its text), and their distinct word hashes by line. With asked (which
+    of the hashes it gets are sought), only lines that hold a sought one."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, asked=None):
         data, at = bytes_of(column)
         starts = word_starts(data, at)
         word = word_hashes(data, starts)
@@ -104,6 +105,12 @@ class Lines:
         has = size > 0
         self.owner, self.number, size = of[has], number[has], size[has]
         line = np.repeat(np.arange(len(size)), size)
+        if asked is not None:
+            held = np.zeros(len(size), bool)
+            held[line[asked(word)]] = True
+            word = word[held[line]]
+            self.owner, self.number, size = self.owner[held], self.number[held], size[held]
+            line = np.repeat(np.arange(len(size)), size)
         order = by_group(line, word)
         word = word[order]
         new = np.ones(len(word), bool)
@@ -120,15 +127,6 @@ class Lines:
         n = self.n.astype(np.uint64)
         return tuple(mix(self._sums(mix(self.token + np.uint64(seed))) + n) for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
-    def keep(self, lines: np.ndarray) -> None:
-        """Only these lines (numbers in order) stay."""
-        of = np.full(len(self.n), -1)
-        of[lines] = np.arange(len(lines))
-        held = of[self.line] >= 0
-        self.token, self.line = self.token[held], of[self.line[held]]
-        self.owner, self.number, self.n = self.owner[lines], self.number[lines], self.n[lines]
-        self.start = np.cumsum(self.n) - self.n
-
     def sketch(self, wide: int) -> tuple[np.ndarray, np.ndarray]:
         """Parity of the words in each of 64 classes: two sets' sketches differ in no more bits than the sets differ in words. Sets of at
         least `wide` words have two halves, by a further bit of a word's hash, which together are the sketch of a smaller set (whose second half is 0)."""

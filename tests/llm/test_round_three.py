@@ -227,3 +227,71 @@ def test_each_different_chunk_of_a_batch_is_looked_up_once(monkeypatch):
     for i, x in enumerate(texts):
         ids = lib.encode(x or "")
         assert (got["n_tokens"][i], got["ids"][i], got["ids_text"][i], got["decoded"][i]) == (len(ids), ids, ",".join(map(str, ids)), lib.decode(ids)), x
+
+
+# line dedup: entries are dealt out many to a row
+
+
+def test_line_entries_go_by_ranges_of_buckets(spark, monkeypatch):
+    from logloom.llm import line_dedup
+    from logloom.llm.common import materialize
+    from test_operators import brute_lines
+
+    rng = np.random.default_rng(9)
+    base = [[f"w{x}" for x in rng.integers(0, 400, rng.integers(3, 30))] for _ in range(90)]
+
+    def line():
+        own = list(base[rng.integers(90)])
+        own[rng.integers(len(own))] = f"y{rng.integers(40)}"
+        return " ".join(own)
+
+    docs = [(i, "\n".join(line() for _ in range(6))) for i in range(120)]
+    frame = spark.createDataFrame(docs, "key bigint, text string").repartition(3)
+    table = materialize(line_dedup.line_table(frame.withColumn("th", F.xxhash64("text"))))
+    levels = line_dedup.word_levels(table)
+    ranges = line_dedup.ranges_for(levels, 8, 4, 5)
+    rows = line_dedup.prefixes(frame, spark.sparkContext.broadcast(levels), ranges, 4, 5).collect()
+    assert ranges == 8 and len(rows) <= 3 * 8 and sum(len(r["bucket"]) for r in rows) > 1000
+    for r in rows:
+        assert {((b >> 32) + 2**31) * ranges >> 32 for b in r["bucket"]} == {r["range"]} and len({len(r[c]) for c in ("bucket", "h", "sketch", "sketch2", "key", "number", "n", "place")}) == 1
+    want = brute_lines(docs)
+    for most in (line_dedup.RANGE_ROWS, 20):  # few ranges, then many, dealt out in small pieces
+        monkeypatch.setattr(line_dedup, "RANGE_ROWS", most)
+        monkeypatch.setattr(line_dedup, "DEALT_ROWS", most)
+        got = line_dedup.dedup_lines(frame, key="key")
+        assert {r["key"]: r["text"] for r in got.collect()} == want
+
+
+def test_ranges_are_put_together_again_and_copies_go(monkeypatch):
+    from logloom.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "RANGE_ROWS", 25)
+    monkeypatch.setattr(line_dedup, "HELD_ROWS", 30)
+    rng = np.random.default_rng(2)
+    held, rows = [], []
+    for key in range(60):
+        bucket, h = rng.integers(-(2**63), 2**63 - 1, 4), np.array([7, 8, 9, key], np.int64)
+        bucket[:3] = [5, 5, -(2**62)]
+        held.append((bucket, h, h, h, np.full(4, key), *(np.full(4, x, np.int32) for x in (key, 3, 0))))
+        rows += list(zip(bucket.tolist(), h.tolist(), strict=True))
+    dealt = [line_dedup._dealt(held[i : i + 7], 16) for i in range(0, 60, 7)]
+    table = pa.Table.from_batches(dealt).sort_by("range").combine_chunks()
+    pieces = list(line_dedup._by_range(table.to_batches(max_chunksize=5)))
+    bucket, h, key = (np.concatenate([x[k] for x in pieces]) for k in ("bucket", "h", "key"))
+    assert (np.diff(bucket) >= 0).all() and max(len(x["h"]) for x in pieces) <= 30
+    found = list(zip(bucket.tolist(), h.tolist(), strict=True))
+    assert set(found) == set(rows) and len(found) < len(rows)
+    assert all(key[[i for i, f in enumerate(found) if f == x]].min() == 0 for x in ((5, 7), (5, 8), (-(2**62), 9)))
+
+
+def test_only_lines_with_a_sought_word_are_kept():
+    from logloom.llm.words import Lines
+
+    column = pa.array(["a b\nc d a", None, "d\n\n e e c", ""], pa.string())
+    every = Lines(column)
+    sought = every.token[every.line == 1][:1]  # a word of the second line
+    some = Lines(column, lambda word: np.isin(word, sought))
+    lines = [k for k in range(len(every.n)) if sought[0] in every.token[every.line == k]]
+    assert some.owner.tolist() == every.owner[lines].tolist() and some.number.tolist() == every.number[lines].tolist() and some.n.tolist() == every.n[lines].tolist()
+    assert some.token.tolist() == [t for k in lines for t in every.token[every.line == k].tolist()]
+    assert len(Lines(column, lambda word: np.zeros(len(word), bool)).n) == 0
