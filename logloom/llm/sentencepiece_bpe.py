@@ -11,7 +11,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -283,8 +283,7 @@ class Codec:
         return made
 
 
-@lru_cache(maxsize=2)
-def load(data: bytes) -> Codec:
+def codec_of(data: bytes) -> Codec:
     """Read a model of merge type with the identity normalizer and a dummy prefix; others are refused."""
     m = model_pb2.ModelProto()
     m.ParseFromString(data)
@@ -298,6 +297,21 @@ def load(data: bytes) -> Codec:
     return Codec(score, number, [p.piece if p.type == NORMAL else "" for p in m.pieces], byte_of, byte_id)
 
 
+load = lru_cache(maxsize=2)(codec_of)
+
+
+class Model:
+    """A model file's content as it is broadcast. Its codec is made where a task first asks for it, and belongs to the broadcast: a worker keeps it
+    from task to task of one job, and drops it, caches and all, before it does other work."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    @cached_property
+    def codec(self) -> Codec:
+        return codec_of(self.data)
+
+
 def encode(docs: DataFrame, model: bytes, text: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
     """Add what outputs names: n_tokens (bigint), ids (array<int>), ids_text (the ids, comma-joined) and decoded (the text that the ids decode to).
 
@@ -305,10 +319,10 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", outputs: tuple[str
     Repeated rows get the same result; extra columns pass, but for those of the outputs' names; an empty table stays empty.
     """
     kinds = {"n_tokens": "bigint", "ids": "array<int>", "ids_text": "string", "decoded": "string"}
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(Model(model))
 
     def run(batch: pa.RecordBatch) -> list:
-        made = load(shared.value).encode_all(batch.column(batch.schema.get_field_index(text)), outputs)
+        made = shared.value.codec.encode_all(batch.column(batch.schema.get_field_index(text)), outputs)
         return [made[o] for o in outputs]
 
     return with_columns(docs, ", ".join(f"{o} {kinds[o]}" for o in outputs), run)

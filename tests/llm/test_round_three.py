@@ -229,6 +229,22 @@ def test_each_different_chunk_of_a_batch_is_looked_up_once(monkeypatch):
         assert (got["n_tokens"][i], got["ids"][i], got["ids_text"][i], got["decoded"][i]) == (len(ids), ids, ",".join(map(str, ids)), lib.decode(ids)), x
 
 
+def test_workers_drop_the_codec_before_other_work(spark):
+    from logloom.llm import sentencepiece_bpe
+
+    docs = spark.range(0, 4000, 1, 4).select(F.concat_ws(" ", *[F.md5(F.concat("id", F.lit(f"-{i}"))) for i in range(20)]).alias("text"))
+    assert sentencepiece_bpe.encode(docs, sentencepiece_bpe.model_bytes(), outputs=("n_tokens",)).filter("n_tokens > 0").count() == 4000
+
+    def alive(batches):
+        import gc
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([sum(type(o).__name__ == "Codec" for o in gc.get_objects())])], ["n"])
+
+    assert {r["n"] for r in spark.range(0, 8, 1, 8).mapInArrow(alive, "n bigint").collect()} == {0}
+
+
 # line dedup: entries are dealt out many to a row
 
 
