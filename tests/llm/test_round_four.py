@@ -1,9 +1,10 @@
-"""Shards of nearest-neighbour lists against brute force."""
+"""Shards of nearest-neighbour lists against brute force, documents without an id."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline as cp
 from logloom.llm import ann
 
 
@@ -96,3 +97,12 @@ def test_a_repeated_key_takes_one_place(spark):
     rows = [(0, [0.0, 1.0])] + [(1, [0.0, 1.0 + i / 1000]) for i in range(30)] + [(i, [0.0, float(i)]) for i in range(2, 12)]
     got = ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), F.col("vec_id") == 0).orderBy("rank").collect()
     assert [(r["rank"], r["id"], r["score"]) for r in got] == [(i, i, float(i - 1)) for i in range(1, 11)]
+
+
+def test_documents_without_an_id_are_judged(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (None, a), (None, a + " z"), (None, b), (None, b), (None, b + " z"), (2**63 - 1, c), (None, c), (None, None), (-5, "one"), (None, "two")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    left = [(r["doc_id"], r["text"]) for r in cp.drop_near_duplicates(spark, docs, "").collect()]
+    assert {(3, a), (-5, "one"), (None, "two"), (None, None)} <= set(left) and len(left) == 6
+    assert sum((t or "").startswith("b0 ") for _, t in left) == 1 and sum(t == c for _, t in left) == 1
