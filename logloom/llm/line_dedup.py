@@ -269,13 +269,14 @@ def _distance(c, x, y, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(fits, bits, differ + 1), differ
 
 
-def _closest(c, later, earlier, bits, differ, complete):
-    """For each later line the closest earlier ones: CLOSEST, or CLOSEST_IF_SURE where one is so close that it hardly fails; complete turns false where there were more."""
+def _closest(c, later, earlier, bits, differ, complete, most=None):
+    """For each later line the closest earlier ones: as many as most, else CLOSEST, or CLOSEST_IF_SURE where one is so close that it hardly fails; complete turns false
+    where there were more."""
     o = np.lexsort((earlier, bits, later))
     later, earlier, bits, differ, complete = later[o], earlier[o], bits[o], differ[o], complete[o]
     at = np.flatnonzero(np.append(True, later[1:] != later[:-1])) if len(later) else np.empty(0, np.int64)
     size = np.diff(np.append(at, len(later)))
-    most = np.where(2 * bits[at] <= differ[at], CLOSEST_IF_SURE, CLOSEST)
+    most = np.full(len(at), most) if most else np.where(2 * bits[at] <= differ[at], CLOSEST_IF_SURE, CLOSEST)
     complete = np.repeat(np.logical_and.reduceat(complete, at) & (size <= most), size) if len(at) else complete
     keep = np.arange(len(later)) - np.repeat(at, size) < np.repeat(most, size)
     return later[keep], earlier[keep], bits[keep], differ[keep], complete[keep]
@@ -306,9 +307,9 @@ def _within(c: dict[str, np.ndarray], start: int, n: int, p: int, q: int):
         yield x, y
 
 
-def _pairs(c: dict[str, np.ndarray], p: int, q: int):
-    """Pieces of (later, earlier, bits, differ, complete) of row numbers of what passes the length, positional and sketch filters in each bucket.
-    c is ordered by bucket."""
+def _pairs(c: dict[str, np.ndarray], p: int, q: int, most: int | None = None):
+    """Pieces of (later, earlier, bits, differ, complete) of row numbers of what passes the length, positional and sketch filters in each bucket; of
+    later lines that are asked for, where a column asked says so. c is ordered by bucket."""
     b = c["bucket"]
     at = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.empty(0, np.int64)
     size = np.diff(np.append(at, len(b)))
@@ -320,7 +321,11 @@ def _pairs(c: dict[str, np.ndarray], p: int, q: int):
         x, y = x[near], y[near]
         bits, differ = _distance(c, x, y, p, q)
         ok = bits <= differ
-        return *_in_turn(c, x[ok], y[ok]), bits[ok], differ[ok], np.ones(int(ok.sum()), bool)
+        later, earlier, bits, differ = *_in_turn(c, x[ok], y[ok]), bits[ok], differ[ok]
+        if "asked" in c:
+            ok = c["asked"][later]
+            later, earlier, bits, differ = later[ok], earlier[ok], bits[ok], differ[ok]
+        return later, earlier, bits, differ, np.ones(len(later), bool)
 
     while len(here):
         here = here[here + d < len(b)]
@@ -328,7 +333,7 @@ def _pairs(c: dict[str, np.ndarray], p: int, q: int):
         found.append(passed(here + d, here))
         d += 1
     if found:
-        yield _closest(c, *_joined(found))
+        yield _closest(c, *_joined(found), most)
     found = []
     for start, n in zip(at[size > SMALL_BUCKET].tolist(), size[size > SMALL_BUCKET].tolist(), strict=True):
         own, more = [], 0
@@ -336,15 +341,15 @@ def _pairs(c: dict[str, np.ndarray], p: int, q: int):
             own.append(passed(x, y))
             more += len(own[-1][0])
             if more > HELD_PAIRS:
-                own = [_closest(c, *_joined(own))]
+                own = [_closest(c, *_joined(own), most)]
                 more = 0
         found += own
         held += more
         if held > HELD_PAIRS:
-            yield _closest(c, *_joined(found))
+            yield _closest(c, *_joined(found), most)
             found, held = [], 0
     if found:
-        yield _closest(c, *_joined(found))
+        yield _closest(c, *_joined(found), most)
 
 
 _MET = "h bigint, key bigint, number bigint, h2 bigint, key2 bigint, number2 bigint, bits int, complete boolean, bucket bigint, sizes bigint"
@@ -355,7 +360,7 @@ def _parts(df: DataFrame) -> int:
     return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the rows take several times their size while they meet
 
 
-def meet(entries: DataFrame, p: int, q: int, parts_meet: bool = False) -> DataFrame:
+def meet(entries: DataFrame, p: int, q: int, parts_meet: bool = False, most: int | None = None) -> DataFrame:
     """Entries (of prefixes(), or with parts_meet of hot_entries()) of a bucket meet: (h, key, number) of a later line and (h2, key2, number2) of a close earlier one, how many bits of their sketches differ,
     and whether these are all of the bucket's that may be similar. Parts of a hot word only lose repeated token sets (unless parts_meet): they
     come out as they are (bits null, the sketches as h2 and key2), for hot_entries."""
@@ -371,7 +376,7 @@ def meet(entries: DataFrame, p: int, q: int, parts_meet: bool = False) -> DataFr
                 n = len(a["h"])
                 yield _batch(_PAIRS, a["h"], a["key"], a["number"], a["sketch"].view(np.int64), a["sketch2"].view(np.int64), np.zeros(n, np.int64), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), a["bucket"], a["n"] << 32 | a["place"])
                 c = _pick(c, np.flatnonzero(~part))
-            for x, y, bits, _, complete in _pairs(c, p, q):
+            for x, y, bits, _, complete in _pairs(c, p, q, most):
                 none = pa.nulls(len(x), pa.int64())
                 yield _batch(_PAIRS, c["h"][x], c["key"][x], c["number"][x], c["h"][y], c["key"][y], c["number"][y], bits.astype(np.int32), complete, none, none)
 
@@ -414,6 +419,13 @@ def hot_entries(met: DataFrame) -> DataFrame | None:
     return dealt.select(bucket.alias("bucket"), "h", F.col("h2").alias("sketch"), F.col("key2").alias("sketch2"), "key", "number", "sizes")
 
 
+def asked_entries(hot: DataFrame, lines: DataFrame) -> DataFrame:
+    """The entries of hot_entries() in the buckets of the lines (h), which are marked as asked for."""
+    of = small(lines.select("h").distinct())
+    buckets = small(hot.join(of, "h", "left_semi").select("bucket").distinct())
+    return hot.join(buckets, "bucket", "left_semi").join(of.withColumn("asked", F.lit(True)), "h", "left").withColumn("asked", F.col("asked").isNotNull())
+
+
 # verification
 
 
@@ -513,18 +525,30 @@ def similar_later_lines(docs: DataFrame, lines: DataFrame, similarity: float = 0
     levels = spark.sparkContext.broadcast(word_levels(lines))
     ranges = ranges_for(levels.value, _parts(docs), p, q)
     met = materialize(meet(prefixes(docs, levels, ranges, p, q), p, q))
-    pairs, more = met.filter("bits is not null"), hot_entries(met)
-    if more is not None:
-        pairs = pairs.unionByName(materialize(meet(more, p, q, parts_meet=True)))
+    pairs, hot = met.filter("bits is not null").withColumn("cold", F.lit(True)), hot_entries(met)
+    if hot is not None:  # a line meets others of a hot word in as many buckets as there are salts: of each only the closest, at first
+        pairs = pairs.unionByName(materialize(meet(hot, p, q, parts_meet=True, most=1)).withColumn("cold", F.lit(False)))
     best = F.min(F.struct("bits", "key2", "number2", "h2"))
-    first = pairs.groupBy("h", "key", "number").agg(best.alias("b"), F.min("complete").alias("complete"))
-    first = materialize(first.select("h", "key", "number", "b.h2", "b.key2", "b.number2", "complete"))
+    all_of = F.min("complete").alias("complete"), F.coalesce(F.min(F.when(F.col("cold"), F.col("complete"))), F.lit(True)).alias("cold_complete")
+    first = pairs.groupBy("h", "key", "number").agg(best.alias("b"), *all_of)
+    first = materialize(first.select("h", "key", "number", "b.h2", "b.key2", "b.number2", "complete", "cold_complete"))
     found = verified(docs, first, p, q)
-    rest = pairs.join(found.select("h"), "h", "left_anti").select("h", "key", "number", "h2", "key2", "number2").distinct()
-    rest = materialize(rest.join(first.select("h", "h2"), ["h", "h2"], "left_anti"))
-    if not rest.isEmpty():
-        found = found.unionByName(verified(docs, rest, p, q))
-    open_ = materialize(first.filter("not complete").select("h", "key", "number").join(found.select("h"), "h", "left_anti"))
+
+    def tried_on(pairs: DataFrame, tried: DataFrame) -> None:
+        nonlocal found
+        rest = pairs.join(found.select("h"), "h", "left_anti").select("h", "key", "number", "h2", "key2", "number2").distinct()
+        rest = materialize(rest.join(tried.select("h", "h2"), ["h", "h2"], "left_anti"))
+        if not rest.isEmpty():
+            found = found.unionByName(verified(docs, rest, p, q))
+
+    tried_on(pairs, first)
+    open_ = materialize(first.filter("not complete").select("h", "key", "number", "cold_complete").join(found.select("h"), "h", "left_anti"))
+    if hot is not None and not open_.isEmpty():
+        again = materialize(meet(asked_entries(hot, open_), p, q, parts_meet=True))
+        tried_on(again, pairs)
+        incomplete = again.filter("not complete").select("h").union(open_.filter("not cold_complete").select("h")).distinct()
+        open_ = materialize(open_.join(incomplete, "h", "left_semi").join(found.select("h"), "h", "left_anti"))
+    open_ = open_.select("h", "key", "number")
     for block in range(blocks := -(-open_.count() // UNRESOLVED_BLOCK)):  # lines of which the closest ones failed, but there are more
         few = materialize(open_.filter(F.pmod(F.xxhash64("h"), F.lit(blocks)) == block))
         words = tokens_of(docs, _alone(few)).select("h", "tokens")

@@ -1,11 +1,11 @@
-"""Shards of nearest-neighbour lists against brute force, documents without an id."""
+"""Shards of nearest-neighbour lists against brute force, lines of hot words, documents without an id."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from logloom.llm import ann
+from logloom.llm import ann, line_dedup
 
 
 def brute(x, ids, q, k):
@@ -99,6 +99,45 @@ def test_a_repeated_key_takes_one_place(spark):
     assert [(r["rank"], r["id"], r["score"]) for r in got] == [(i, i, float(i - 1)) for i in range(1, 11)]
 
 
+def test_lines_of_a_hot_word_meet_in_few_rows(spark, monkeypatch):
+    """Near copies of one line, all of whose words are common: a line makes a row for each two salts at most, and only lines that are left open make more."""
+    monkeypatch.setattr(line_dedup, "HOT_TOKEN", 40)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join([*words, f"a{i % 20}", f"b{i // 20}"])) for i in range(400)]
+    rows, store = [], line_dedup.materialize
+
+    def counted(df):
+        got = store(df)
+        if "complete" in df.columns and "bucket" in df.columns:
+            rows.append(got.filter("bits is not null").groupBy("h").count())
+        return got
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()}
+    assert got == {k: t if k == 0 else "" for k, t in docs}
+    made = rows[1].agg(F.sum("count")).first()[0]
+    assert made <= 400 * 10 * 8  # ten salts, eight words of a prefix of 32 words at most
+    assert rows[1].agg(F.max("count")).first()[0] <= 10 * 8
+
+
+def test_lines_left_open_meet_all(spark, monkeypatch):
+    """Lines of hot words whose closest one by sketch is not similar, but another one is."""
+    monkeypatch.setattr(line_dedup, "HOT_TOKEN", 15)
+    rng, docs = np.random.default_rng(6), []
+    for i in range(150):
+        docs.append((i, " ".join(f"w{j}" for j in rng.choice(14, 9, replace=False))))
+    seen, want = [], {}
+    for k, t in docs:
+        s = frozenset(t.split())
+        want[k] = "" if any(5 * len(s & o) >= 4 * len(s | o) for o in seen) else t
+        seen.append(s)
+    for few in ({}, {"CLOSEST": 1, "CLOSEST_IF_SURE": 1}):
+        for name, value in few.items():
+            monkeypatch.setattr(line_dedup, name, value)
+        got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3))
+        assert {r["doc_id"]: r["text"] for r in got.collect()} == want
+
+
 def test_documents_without_an_id_are_judged(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(3, a), (None, a), (None, a + " z"), (None, b), (None, b), (None, b + " z"), (2**63 - 1, c), (None, c), (None, None), (-5, "one"), (None, "two")]
